@@ -78,3 +78,13 @@ def row_key(id_col: str = "doc_id", text: str = "text") -> Column:
 def fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % F.lit(folds)
+
+
+def narrowed(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of df whose 64-bit key may be among keys: a semi-join reduction by 2^20 residues at most.
+
+    The broadcast has a fixed bound (a million longs), whatever the number of keys; an exact join on key follows.
+    """
+    (residue,) = fresh(df, "residue")
+    some = keys.select(F.pmod(F.col(key), F.lit(1 << 20)).alias(residue)).distinct()
+    return df.withColumn(residue, F.pmod(F.col(key), F.lit(1 << 20))).join(F.broadcast(some), residue, "left_semi").drop(residue)
