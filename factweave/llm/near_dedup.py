@@ -3,8 +3,8 @@
 Each text becomes the set of its distinct k-word shingles. A SetSketch keeps, for each of m hash functions, the minimum
 of an exponential variable over the set, as a truncated exponent to base b; sketches of two sets merge by the register's
 maximum and agree in a register with a probability close to their Jaccard similarity. Bands of registers give the
-candidates, the joint likelihood of two sketches (with both set sizes known) drops hopeless ones, and the full shingle
-sets, built again from the whole texts, decide.
+candidates, the joint likelihood of two sketches (with both set sizes known) drops hopeless pairs with a bucket's pivot,
+and the full shingle sets, built again from the whole texts, decide every link.
 
 Defined results: a null or blank text has an empty set, is linked with nothing and is its own component; rows that repeat
 id and text share one class; a null id never is a component's name while the class has another; tables may be empty; other
@@ -30,8 +30,8 @@ from factweave.llm.common import fresh, materialize, row_key, whole_text
 from factweave.llm.graph import components
 
 REGISTERS, BASE, RATE = 252, 1.001, 20.0
-#: Members of a bucket for which pairs of different components are joined directly; larger buckets are met in blocks.
-DIRECT, BLOCK = 24, 512
+#: Rows of a block of a bucket.
+BLOCK = 512
 #: A candidate is dropped only if its likelihood estimate is this many standard errors below the threshold.
 SLACK = 5.0
 MISS = 1e-5
@@ -141,33 +141,67 @@ def _verify(pairs: DataFrame, members: DataFrame, k: int, percent: int) -> DataF
     return wide.select("a", "na", "ska", "ta", "b", "nb", "skb", "tb").mapInPandas(run, "a long, b long")
 
 
-def _blocked(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of large buckets: rows key, node, comp, n, pivot_comp, size, sketch.
-
-    Members outside the pivot's component (the seekers) meet the whole bucket. Both are cut into blocks, so a task holds
-    two blocks at most, and only pairs that the sketches leave possible come out.
+def _links_of_bucket(pdf: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
+    """Links (a, b) between the seekers and the residents of one pair of blocks, on their full sets: for each seeker, one
+    link at most to each other component. Set intersections of all pairs at once are a product of incidence matrices."""
+    n = len(pdf)
+    values, off = tokens.shingles(*tokens.words(*tokens.raw(pa.array(pdf.text, pa.large_string()))), k)
+    seeks, comp, node, size = pdf.seeks.to_numpy(bool), pdf.comp.to_numpy(), pdf.node.to_numpy(), np.diff(off)
+    ask, have = np.flatnonzero(seeks), np.flatnonzero(~seeks)
+    if not len(ask) or not len(have):
+        return pd.DataFrame({"a": node[:0], "b": node[:0]})
+    owner = np.repeat(np.arange(n), size)
+    order = np.full(n, -1)
+    order[ask], order[have] = np.arange(len(ask)), np.arange(len(have))
+    _, column = np.unique(values, return_inverse=True)
+    total = int(column.max(initial=-1)) + 1
+    mine = seeks[owner]
+    shared = (np.bincount(column[mine], minlength=total) > 0) & (np.bincount(column[~mine], minlength=total) > 0)
+    column, keep = (np.cumsum(shared) - 1)[column], shared[column]
+    column, owner, mine = column[keep], order[owner[keep]], mine[keep]
+    both, wide = np.zeros((len(ask), len(have)), np.float32), 4096
+    by = np.argsort(column, kind="stable")
+    column, owner, mine = column[by], owner[by], mine[by]
+    for at in range(0, int(shared.sum()), wide):
+        lo, hi = np.searchsorted(column, [at, at + wide])
+        c, o, m = column[lo:hi] - at, owner[lo:hi], mine[lo:hi]
+        x, y = np.zeros((len(ask), wide), np.float32), np.zeros((len(have), wide), np.float32)
+        x[o[m], c[m]] = 1
+        y[o[~m], c[~m]] = 1
+        both += x @ y.T
+    union = size[ask][:, None] + size[have][None, :] - both
+    hit_a, hit_b = np.nonzero((100 * both >= percent * union) & (comp[ask][:, None] != comp[have][None, :]))
+    found = pd.DataFrame({"a": node[ask[hit_a]], "b": node[have[hit_b]], "of": comp[have[hit_b]]})
+    return found.drop_duplicates(["a", "of"])[["a", "b"]]
+
+
+def _blocked(rows: DataFrame, pool: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) inside open buckets: rows key, node, comp, pivot_comp, size; pool node, text.
+
+    Members outside the pivot's component (the seekers) meet the whole bucket, for any pair of different components has
+    one of them at least. Both are cut into blocks, so a task holds two blocks at a time.
     """
-    floor = _gate(percent)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    spots = F.sequence(F.lit(0), blocks - 1)
-    seekers = rows.where("comp <> pivot_comp").select("key", "node", "comp", "n", "sketch", F.explode(spots).alias("there"), own.alias("here"), F.lit(True).alias("seeks"))
-    at = rows.where("comp <> pivot_comp").select("key", own.alias("here")).distinct()
-    others = rows.join(at, "key").select("key", "node", "comp", "n", "sketch", own.alias("there"), "here", F.lit(False).alias("seeks"))
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        ask, have = pdf[pdf.seeks], pdf[~pdf.seeks]
-        out = []
-        if len(ask) and len(have):
-            sk, n, comp, node = _matrix(have.sketch), have.n.to_numpy(float), have.comp.to_numpy(), have.node.to_numpy()
-            for row in ask.itertuples():
-                x = np.frombuffer(row.sketch, np.uint16)
-                hit = np.flatnonzero((comp != row.comp) & (np.minimum(n, row.n) * 100 >= np.maximum(n, row.n) * percent) & ((sk == x).mean(1) >= floor - 0.05))
-                hit = hit[estimate(np.broadcast_to(x, (len(hit), REGISTERS)), sk[hit], np.full(len(hit), float(row.n)), n[hit]) >= floor] if len(hit) else hit
-                out.append(pd.DataFrame({"a": row.node, "b": node[hit]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, "int64"), "b": np.zeros(0, "int64")})
-
-    return seekers.union(others.select(seekers.columns)).groupBy("key", "here", "there").applyInPandas(meet, "a long, b long")
+    seekers = rows.where("comp <> pivot_comp")
+    ask = seekers.select("key", own.alias("here"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("there"), "node", "comp", F.lit(True).alias("seeks"))
+    at = seekers.select("key", own.alias("here")).distinct()
+    have = rows.join(at, "key").select("key", "here", own.alias("there"), "node", "comp", F.lit(False).alias("seeks"))
+    both = ask.union(have).join(pool.select("node", "text"), "node")
+    dealt = both.repartition("key", "here", "there").sortWithinPartitions("key", "here", "there")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            ends = np.flatnonzero((pdf[["key", "here", "there"]].to_numpy()[1:] != pdf[["key", "here", "there"]].to_numpy()[:-1]).any(1)) + 1
+            rest = pdf.iloc[ends[-1] :] if len(ends) else pdf
+            for lo, hi in zip([0, *ends[:-1]], ends, strict=False):
+                yield _links_of_bucket(pdf.iloc[lo:hi], k, percent)
+        if rest is not None:
+            yield _links_of_bucket(rest, k, percent)
+
+    return dealt.mapInPandas(run, "a long, b long")
 
 
 def classes_and_components(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -195,14 +229,7 @@ def classes_and_components(docs: DataFrame, id_col: str, text: str, k: int, perc
     open_keys = named.where("comp <> pivot_comp").select("key").distinct()
     rest = materialize(named.join(open_keys, "key", "left_semi"), "rest")
 
-    small = rest.where(F.col("size") <= DIRECT)
-    seek = small.where("comp <> pivot_comp").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"))
-    meet = small.where("node <> pivot").select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    direct = seek.join(meet, "key").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    large = rest.where(F.col("size") > DIRECT).join(classes.select("node", "n", "sketch"), "node")
-    blocked = _blocked(large, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = _verify(materialize(direct.union(blocked).distinct(), "pairs"), pool, k, percent)
-    second = materialize(second, "links")
+    second = materialize(_blocked(rest, pool, k, percent), "links")
     final = components(first.union(second)) if not second.isEmpty() else comp
     return rows, classes.select("sig", "node").join(final, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
 

@@ -29,14 +29,27 @@ def planted(seed=3):
 
 def test_components_equal_brute_force(spark, monkeypatch):
     rows = planted()
-    for direct in (24, 3):
-        monkeypatch.setattr(near_dedup, "DIRECT", direct)
-        monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    for block in (512, 4):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
         for k, percent in ((3, 85), (5, 80)):
             got = {(r.id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(spark, rows), shingle=k, percent=percent).collect()}
             assert got == set(brute.near(rows, k, percent))
 
 
+def test_one_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    rows = []
+    for i in range(240):
+        own = list(base)
+        for _ in range(rng.randint(0, 9)):
+            own[rng.randrange(len(own))] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    got = {(r.id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(spark, rows), shingle=3, percent=85).collect()}
+    assert got == set(brute.near(rows, 3, 85)) and len({c for _, _, c in got}) > 1
+
+
 def test_query_on_documents(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
