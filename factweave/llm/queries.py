@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import fingerprint, mixing, near_dedup, packing, pii
-from factweave.llm.common import documents
+from factweave.llm import fingerprint, language, mixing, near_dedup, packing, pii, quality, toxicity
+from factweave.llm.common import documents, fold
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,5 +33,33 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_fingerprints, op4_minhash_near_dedup, op8_mixing, op10_pii)}
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, labels(spark, sf_dir), fold("id", 5) != 0)
+    found = toxicity.score(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, labels(spark, sf_dir), fold("id", 3) != 1)
+    found = quality.score(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs, fold("id", 4) != 2)
+    found = language.predict(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_best_fit_packing, op2_fingerprints, op3_toxicity, op4_minhash_near_dedup, op5_quality, op8_mixing, op9_language_id, op10_pii)
+}
 ORACLE: dict[str, str] = {"op8_mixing": mixing.ORACLE_SQL}

@@ -102,3 +102,28 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray
         parts.append(own)
         sizes[d] = len(own)
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)])
+
+
+_SHAPE = np.zeros(256, np.uint64)
+_SHAPE[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = _rng.integers(1, 2**63, sum(not chr(c).isalnum() for c in range(0x21, 0x7F)), dtype=np.uint64)
+_UPPER = np.zeros(256, np.int64)
+_UPPER[0x41:0x5B] = 1
+
+
+def words_and_shapes(body: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, shape hashes, bounds): a word's shape is its ASCII marks, counted from its end, and whether it shouts."""
+    hashes, bounds = words(body, off)
+    if not len(hashes):
+        return hashes, hashes, bounds
+    solid = ~_WS[body]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    heads = off[:-1][off[1:] > off[:-1]]
+    first[heads] = solid[heads]
+    letters = body[solid]
+    at = np.flatnonzero(first[solid])
+    length = np.diff(at, append=len(letters))
+    back = np.repeat(at + length, length) - np.arange(len(letters))
+    marks = np.add.reduceat(_SHAPE[letters] * power(int(length.max()) + 1)[back], at)
+    loud = np.add.reduceat(_UPPER[letters], at) >= 2
+    return hashes, mix(marks + loud.astype(np.uint64) * np.uint64(0x94D049BB133111EB)), bounds
