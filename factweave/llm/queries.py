@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import fingerprint, language, mixing, near_dedup, packing, pii, quality, toxicity
+from factweave.llm import fingerprint, language, lm, media, mixing, near_dedup, packing, pii, quality, toxicity
 from factweave.llm.common import documents, fold
 
 
@@ -58,8 +58,21 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {
-    f.__name__: f
-    for f in (op1_best_fit_packing, op2_fingerprints, op3_toxicity, op4_minhash_near_dedup, op5_quality, op8_mixing, op9_language_id, op10_pii)
-}
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = lm.Model(documents(spark, sf_dir), fold("doc_id", 7) != 2)
+    found = model.score().withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog, folder = media.media_table(documents(spark, sf_dir))
+    found = media.with_samples(catalog, folder).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), F.col("stored_sha256").alias("media_sha256"), "feature", "width", "height")
+
+
+_ALL = (
+    op1_best_fit_packing, op2_fingerprints, op3_toxicity, op4_minhash_near_dedup, op5_quality,
+    op6_lm_scoring, op7_media_columns, op8_mixing, op9_language_id, op10_pii,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE: dict[str, str] = {"op8_mixing": mixing.ORACLE_SQL}
