@@ -32,7 +32,7 @@ from factweave.llm.labelled import labelled_texts
 SAMPLE, LEXICON = 20_000, 320
 #: Lengths of the word beginnings that may be in the lexicon.
 STEMS = (5, 6, 7)
-_LOOKS = str.maketrans("013457@$!|", "oleastasil")
+_LOOKS = str.maketrans("013457@$!|", "oieastasil")
 _YOU = frozenset("you your yours youre yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
 _MARKS = re.compile(r"[^\w]|[\d_]")
 _RUNS = re.compile(r"(.)\1{2,}")
