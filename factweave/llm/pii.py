@@ -125,7 +125,9 @@ def revealing_terms(docs: DataFrame, based: DataFrame, text: str, support: int =
     terms = materialize(joint.select("term").distinct(), "terms")
     if terms.isEmpty():
         return joint.select("entity", "term")
-    spread = docs.select(F.explode(_words(whole_text(text))).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("docs_t"))
+    # Every word's document count is summed where the documents lie; only the counts move to meet the candidates.
+    spread = docs.select(F.explode(_words(whole_text(text))).alias("term")).groupBy(F.xxhash64("term").alias("key")).agg(F.count(F.lit(1)).alias("docs_t"))
+    spread = terms.withColumn("key", F.xxhash64("term")).join(spread, "key").drop("key")
     having = based.select("rk", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"]))))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("docs_e"))
     p_t, p_e = F.col("docs_t") / total, F.col("docs_e") / total
     p_te = F.least(F.least("docs_t", "docs_e"), F.col("both")) / total
