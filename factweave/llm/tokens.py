@@ -47,7 +47,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, off - base
 
 
-def slices(batch: pa.RecordBatch, text: str, budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, budget: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch cut between rows into parts of about budget bytes of text; a longer text is a part of its own."""
     if not batch.num_rows:
         return

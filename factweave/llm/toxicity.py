@@ -105,7 +105,7 @@ def features(texts: list[str], lexicon: dict[str, float]) -> np.ndarray:
     for i, text in enumerate(texts):
         found = tokens_of(text)
         many = Counter(found)
-        if len(known) > 400_000:
+        if len(known) > 100_000:
             known.clear()
         n, hits, weak, masked, hidden, you, stem_n, top, total, top_stem = max(1, len(found)), 0, 0, 0, 0, 0, 0, 0.0, 0.0, 0.0
         strong_words, you_words = set(), set()
