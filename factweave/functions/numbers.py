@@ -61,6 +61,20 @@ def compact(value: Column) -> Column:
     return out
 
 
+def byte_size(size: Column) -> Column:
+    """A size in B, KB or MB of 1024."""
+    out = F.concat(size.cast("string"), F.lit(" B"))
+    for power, unit in ((1, "KB"), (2, "MB")):
+        out = F.when(size >= 1024**power, F.concat(F.bround(size / 1024**power, 1).cast("string"), F.lit(f" {unit}"))).otherwise(out)
+    return out
+
+
+def axis_top(top: Column) -> Column:
+    """The least of 1, 2, 5 or 10 times a power of ten that is not below a positive value."""
+    step = F.pow(F.lit(10.0), F.floor(F.log10(top)))
+    return F.when(top <= step, step).when(top <= 2 * step, 2 * step).when(top <= 5 * step, 5 * step).otherwise(10 * step)
+
+
 @dataclass
 class Value:
     raw: str

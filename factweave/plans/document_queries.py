@@ -424,3 +424,69 @@ def compact_display(spark, sf):
 def document_arrival(spark, sf):
     """Q1: the order in which documents arrive, made explicit."""
     return sales(spark, sf).select("document_id", "fy", F.row_number().over(Window.partitionBy("k").orderBy("fy")).cast("bigint").alias("nth"))
+
+
+# Small lookups and display
+
+
+@query("SELECT item_id, text, CAST(length(text) AS INT) AS char_count FROM benchmark WHERE item_id = 3")
+def page_lookup(spark, sf):
+    """One page by its key."""
+    return layout.with_stats(spark.read.parquet(f"{sf}/benchmark.parquet").where("item_id = 3")).select("item_id", "text", "char_count")
+
+
+@query(f"{oracle.FACTS} SELECT document_id, any_value(document_name) AS document_name, count(*) AS facts FROM facts GROUP BY ALL")
+def documents_list(spark, sf):
+    """R2."""
+    return claims.facts(spark, sf).groupBy("document_id").agg(F.any_value("document_name").alias("document_name"), F.count(F.lit(1)).alias("facts"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'India' ELSE 'Acme' END AS subject FROM part")
+def subject_resolve(spark, sf):
+    """A macro metric is about the country, if one is known."""
+    macro, country = F.col("p_partkey") % 3 == 0, F.lit("India")
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.when(macro, F.coalesce(country, F.lit("Acme"))).otherwise("Acme").alias("subject"))
+
+
+@query("SELECT p_partkey, p_partkey % 4 IN (0, 3) AS fits FROM part")
+def value_compatible(spark, sf):
+    """Employees fit a headcount, parcels do not, nor does money; a bare number only near the keyword."""
+    def fits(t: str) -> bool:
+        m = texts.mentions(t.lower())[0]
+        return S.fits(m.metric, numbers.values(t)[0], m.end)
+
+    text = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'headcount of 512 employees' WHEN 1 THEN 'headcount of 512 parcels' WHEN 2 THEN 'headcount cost of Rs. 512 crore' ELSE 'headcount of 512' END")
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", _arrow(fits, "boolean")(text).alias("fits"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey < 1024 THEN c_custkey || ' B' ELSE round_even(c_custkey / 1024, 1) || ' KB' END AS shown FROM customer")
+def byte_size(spark, sf):
+    """N10."""
+    return spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", numbers.byte_size(F.col("c_custkey")).alias("shown"))
+
+
+@query("SELECT k, CAST(CASE WHEN top <= step THEN step WHEN top <= 2 * step THEN 2 * step WHEN top <= 5 * step THEN 5 * step ELSE 10 * step END AS DOUBLE) AS axis FROM (SELECT c_nationkey AS k, CAST(count(*) AS DOUBLE) AS top, CAST(pow(10, length(CAST(count(*) AS VARCHAR)) - 1) AS DOUBLE) AS step FROM customer GROUP BY ALL)")
+def axis_scale(spark, sf):
+    """The top of an axis, one, two or five times a power of ten."""
+    rows = spark.read.parquet(f"{sf}/customer.parquet").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).cast("double").alias("top"))
+    return rows.select("k", numbers.axis_top(F.col("top")).alias("axis"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0")
+def upload_gate(spark, sf):
+    """Only files of the right kind."""
+    name = F.expr("'file' || o_orderkey || CASE o_orderkey % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.txt' ELSE '.pdf.zip' END")
+    return tables.accepted(spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", name.alias("name"))).select("o_orderkey")
+
+
+@query(f"{oracle.FACTS} SELECT id FROM facts WHERE FALSE")
+def truncate_facts(spark, sf):
+    """S12."""
+    return tables.truncated(claims.facts(spark, sf)).select("id")
+
+
+@query(f"{oracle.FACTS} SELECT fact_seq, '\"' || entity || '\",\"' || metric || '\"' AS head FROM facts WHERE document_id = 'd1'")
+def csv_lines(spark, sf):
+    """Fields as they stand in the export."""
+    rows = tables.csv_lines(claims.facts(spark, sf).where("document_id = 'd1'"))
+    return rows.select("fact_seq", F.array_join(F.slice(F.split("line", ","), 1, 2), ",").alias("head"))

@@ -29,7 +29,7 @@ def test_query_equals_sql(spark, db, name):
     want, got = db.execute(relational.SQL[name]).fetchdf(), relational.QUERIES[name](spark, SF).toPandas()
     assert sorted(want.columns) == sorted(got.columns)
     assert rows(want) == rows(got)
-    assert len(got) > 0
+    assert len(got) > 0 or name == "truncate_facts"
 
 
 @pytest.mark.parametrize("name", sorted(set(relational.QUERIES) - set(relational.SQL)))
