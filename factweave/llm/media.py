@@ -28,8 +28,9 @@ from pyspark.sql import types as T
 
 from factweave.llm.common import materialize, scratch_path, whole_text
 
-#: Samples to a row of the image; the filler of the last row; bytes of the header range; bytes after which a shard is closed.
-WIDTH, FILL, HEADER, SHARD = 576, b"\xff", 33, 128 << 20
+#: Samples to a row of the image; the filler of the last row; bytes of the header range; bytes after which a shard is closed;
+#: stored bytes that a task reads back.
+WIDTH, FILL, HEADER, SHARD, RANGE = 576, b"\xff", 33, 128 << 20, 8 << 20
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -79,9 +80,9 @@ def decode(stored: bytes) -> bytes:
 def feature(payload: bytes) -> str:
     """Mean, deviation and a 64-bit mean hash (8 by 8 cells) of the samples."""
     x = np.frombuffer(payload, np.uint8)
-    cells = np.array([c.mean() for c in np.array_split(x, 64)])
-    bits = "".join("1" if c > x.mean() else "0" for c in cells)
-    return f"{x.mean():.4f}:{x.std():.4f}:{int(bits, 2):016x}"
+    mean = x.mean()
+    cells = x.reshape(64, -1).mean(1) > mean
+    return f"{mean:.4f}:{x.std():.4f}:{int.from_bytes(np.packbits(cells).tobytes(), 'big'):016x}"
 
 
 class _Shard:
@@ -190,4 +191,10 @@ def media_table(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """(catalog with header columns, folder of its shards)."""
     folder = scratch_path(docs.sparkSession, "media")
     catalog = materialize(store(docs, folder, id_col, text), "catalog")
-    return with_headers(catalog, folder), folder
+    return with_headers(spread(catalog), folder), folder
+
+
+def spread(catalog: DataFrame) -> DataFrame:
+    """catalog dealt so that each task reads about RANGE stored bytes, one after the other: its own rows are few and small."""
+    total = catalog.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return catalog.repartitionByRange(max(1, -(-total // RANGE)), "shard", "offset").sortWithinPartitions("shard", "offset")
