@@ -30,11 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm import tokens
-from factweave.llm.common import materialize, whole_text
+from factweave.llm.common import materialize, scratch_path, whole_text
 
 #: Order of the model; bytes of text of a block, about; buckets of context counts; bins of log10 probabilities, BIN wide;
 #: bits that an n-gram's hash has beyond the logarithm of the corpus.
-ORDER, BLOCK_BYTES, BUCKETS, BIN, SPARE = 2, 6 << 20, 24, 0.25, 14
+ORDER, BLOCK_BYTES, BUCKETS, BIN, SPARE = 2, 4 << 20, 24, 0.25, 14
 END = np.uint64(0x5851F42D4C957F2D)
 _START = np.uint64(0x14057B7EF767814F)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -197,7 +197,7 @@ class Model:
         name = f"factweave_blocks_{uuid.uuid4().hex}"
         buckets_n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         cut = rows.mapInArrow(run, "block long, bytes long, texts long, payload binary")
-        cut.write.format("parquet").bucketBy(buckets_n, "block").saveAsTable(name)
+        cut.write.format("parquet").option("path", scratch_path(self.spark, "blocks")).bucketBy(buckets_n, "block").saveAsTable(name)
         atexit.register(_drop, self.spark, name)
         return self.spark.table(name)
 
