@@ -95,11 +95,11 @@ def shares(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs with each row as often as the mix takes it, all columns as they were."""
     taken = materialize(shares(docs, id_col, text, source), "shares")
-    key, many = fresh(docs, "rk", "copies")
+    key, many, origin = fresh(docs, "rk", "copies", "origin")
     # Rows that repeat id, text and source are taken alike.
-    by = taken.groupBy(F.col("rk").alias(key), F.col("source").alias(f"{key}_source")).agg(F.max("copies").alias(many)).where(F.col(many) != 1)
+    by = taken.groupBy(F.col("rk").alias(key), F.col("source").alias(origin)).agg(F.max("copies").alias(many)).where(F.col(many) != 1)
     keyed = docs.withColumn(key, row_key(id_col, text))
-    joined = keyed.join(by, (keyed[key] == by[key]) & keyed[source].cast("string").eqNullSafe(by[f"{key}_source"]), "left").drop(by[key]).drop(f"{key}_source")
+    joined = keyed.join(by, (keyed[key] == by[key]) & keyed[source].cast("string").eqNullSafe(by[origin]), "left").drop(by[key]).drop(origin)
     return joined.withColumn(many, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(many), F.lit(1))))).where(F.col(many) > 0).drop(key, many)
 
 

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -191,12 +192,15 @@ def fit(docs: DataFrame, labels: DataFrame, learn, rows: int = SAMPLE) -> Model:
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all, if not told) and `out`: the calibrated probability of toxic."""
     keep = docs.columns if keep is None else keep
+    at, kept = docs.columns.index(text), [docs.columns.index(c) for c in keep]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[keep].assign(**{out: model.score([t if isinstance(t, str) else "" for t in pdf[text]])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The rows themselves stay Arrow columns: through pandas, a null would turn large ids into rounded doubles.
+        for batch in batches:
+            found = model.score([t or "" for t in batch.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(found, pa.float64())], [*keep, out])
 
-    return docs.mapInPandas(run, T.StructType([*docs.select(*keep).schema.fields, T.StructField(out, T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.select(*keep).schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, learn=None, rows: int = SAMPLE) -> DataFrame:

@@ -37,6 +37,14 @@ def test_stages_one_by_one(spark):
         assert at <= 1024
 
 
+def test_large_ids_beside_nulls(spark):
+    big = 2**62 + 1
+    docs = spark.createDataFrame([(big, "some words", {"k": 1}, None), (None, "other words", None, big)], "doc_id long, text string, extra map<string,int>, rk_source long")
+    for name, stage in [s for s in corpus_pipeline.STAGES if s[0] in ("toxicity", "near_dedup", "pii")]:
+        rows = stage(spark, docs, SF).collect()
+        assert {r.doc_id for r in rows} == {big, None} and {r.rk_source for r in rows} == {big, None}, name
+
+
 def test_edges(spark):
     rows = [(None, None, None, None, None, 1), (1, "", "en", "a", 0, 1), (2, "mail me at a@b.cd now", "en", "a", 21, 1), (2, "mail me at a@b.cd now", "en", "a", 21, 1), (3, "x " * 30000, None, "b", None, 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size int")
