@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Bytes of text that are hashed at a time, unless one text is longer.
+CHUNK = 1 << 20
 _WS = np.zeros(256, bool)
 _WS[[0x20, *range(0x09, 0x0E)]] = True
 _rng = np.random.default_rng(20240607)
@@ -62,6 +64,10 @@ def slices(batch: pa.RecordBatch, text: str, budget: int = 1 << 20) -> Iterator[
 def words(body: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each lower-cased word, for each text the index of its first word, and the total)."""
     n = len(off) - 1
+    if len(body) > CHUNK and n > 1:  # in halves between texts: the work space is several times the text
+        m = min(max(1, int(np.searchsorted(off, len(body) // 2))), n - 1)
+        (a, x), (b, y) = words(body[: off[m]], off[: m + 1]), words(body[off[m] :], off[m:] - off[m])
+        return np.concatenate([a, b]), np.concatenate([x[:-1], y + len(a)])
     if not len(body):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     space = _WS[body]

@@ -39,6 +39,14 @@ def joined(spark, query, label):
 # tokens
 
 
+def test_words_in_chunks(monkeypatch):
+    column = pa.array(["One two", "", None, "three " * 50, "four"] * 7)
+    whole = tokens.words(*tokens.raw(column))
+    monkeypatch.setattr(tokens, "CHUNK", 64)
+    parts = tokens.words(*tokens.raw(column))
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
 def test_words_and_shingles_equal_brute_force():
     texts = ["One  two\tTHREE", "", None, " \n ", "é É x y", "a b", "a B", "one two three four one two three"]
     h, bounds = tokens.words(*tokens.raw(pa.array(texts)))
