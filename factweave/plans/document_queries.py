@@ -283,10 +283,10 @@ def subject_country(spark, sf):
     return context.subject_country(pages)
 
 
-@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'Superjoin' WHEN 1 THEN 'Acme Bank' WHEN 2 THEN 'Global Fund' END AS organisation FROM supplier")
+@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'Unijoin' WHEN 1 THEN 'Acme Bank' WHEN 2 THEN 'Global Fund' END AS organisation FROM supplier")
 def author_organisation(spark, sf):
     """C5."""
-    author = F.expr("CASE s_suppkey % 4 WHEN 0 THEN 'Superjoin' WHEN 1 THEN 'Jane Doe (Acme Bank, Delhi)' WHEN 2 THEN 'Global Fund' ELSE 'Jane Doe' END")
+    author = F.expr("CASE s_suppkey % 4 WHEN 0 THEN 'Unijoin' WHEN 1 THEN 'Jane Doe (Acme Bank, Delhi)' WHEN 2 THEN 'Global Fund' ELSE 'Jane Doe' END")
     return spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", context.author_organisation(author).alias("organisation"))
 
 

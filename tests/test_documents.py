@@ -92,9 +92,9 @@ def test_empty_and_null_pages(spark):
 def test_context(spark):
     pages = [("a", 1, "Contents\nReserve Bank of India\nEconomic Survey 2023-24"), ("a", 2, "Zed Corporation said. Zed Corporation works."), ("b", 1, "Contents"), *[("b", i, "said Acme Institute and Acme Institute") for i in range(2, 5)], ("c", 1, "x")]
     table = spark.createDataFrame(pages, "document_id string, page_number int, text string")
-    docs = spark.createDataFrame([(d, f"01-{d}-file.pdf", 3, a) for d, a in (("a", None), ("b", None), ("c", "Superjoin"))], "id string, original_name string, page_count int, pdf_author string")
+    docs = spark.createDataFrame([(d, f"01-{d}-file.pdf", 3, a) for d, a in (("a", None), ("b", None), ("c", "Unijoin"))], "id string, original_name string, page_count int, pdf_author string")
     got = {r.document_id: r for r in context.resolve(docs, table).collect()}
-    assert [got[d].primary_entity for d in "abc"] == ["Reserve Bank of India", "Acme Institute", "Superjoin"]
+    assert [got[d].primary_entity for d in "abc"] == ["Reserve Bank of India", "Acme Institute", "Unijoin"]
     assert got["a"].document_kind == "macro_report" and got["b"].document_date is None
 
 

@@ -53,7 +53,7 @@ def test_numeric_columns(spark):
 
 
 def test_text_columns(spark):
-    assert column(spark, texts.entity_slug, "Delhivery Limited", "DELHIVERY LIMITED", "", None, "The Co.") == ["delhivery", "delhivery", "unknown_entity", "unknown_entity", "unknown_entity"]
+    assert column(spark, texts.entity_slug, "Northwind Limited", "NORTHWIND LIMITED", "", None, "The Co.") == ["northwind", "northwind", "unknown_entity", "unknown_entity", "unknown_entity"]
     assert column(spark, texts.person_slug, "Mr. Amit Rao") == ["amit_rao"] and column(spark, texts.metric_slug, "Some New Label!") == ["metric.some_new_label"]
     assert column(spark, texts.identifier_shaped, "INE040A01034", "Q4", "two words1") == [True, False, False]
     assert column(spark, periods.english_date, "March 31, 2024", "31/3/2024") == ["2024-03-31", None]
