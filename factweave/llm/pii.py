@@ -1,11 +1,13 @@
 """Personal data: base patterns, and terms that give a protected entity away (information-theoretic sanitisation).
 
-A base match (email, ip, card, phone) is a protected entity. The words around its places in the corpus are
-candidates for disclosing it: of a term t and an entity e, with probabilities estimated over all documents, the
-disclosure is PMI(t; e) / IC(e), which is 1 if t only ever occurs together with e. A term that stands by the same
-entity in at least SUPPORT different contexts (copies of one context count once) and discloses at least THRESHOLD of it is
-a span of its own in the documents that hold the entity, and is generalised there like the entity itself. All of it is
-SQL functions: match offsets come from the lengths of the pieces between the matches.
+A base match (email, ip, card, phone) is a protected entity. The words of the documents that hold it are candidates
+for disclosing it: of a term t and an entity e, with probabilities estimated over all documents, the disclosure is
+PMI(t; e) / IC(e), which is 1 if t only ever occurs together with e. What lies inside a base match is no word of a
+document. A term that is in as many different documents of the entity as its support asks for (copies count once) and
+discloses at least THRESHOLD of it is a span of its own in the documents that hold the entity, and is generalised there
+like the entity itself. The support is the number of the entity's different documents, from 2 to SUPPORT: in a single
+document every rare word would pass, since nothing tells them apart. All of it is SQL functions: match offsets come from
+the lengths of the pieces between the matches.
 
 Defined results: a null text is an empty one without spans; rows that repeat count as copies; spans may overlap between
 kinds; an empty table gives an empty result; other columns are ignored here and kept by `sanitize`.
@@ -32,9 +34,9 @@ PATTERNS = {
 }
 #: Characters that each kind cannot do without, looked for first.
 NEEDS = {"email": "@", "ip": ".", "card": "[0-9][0-9 -]{10}", "phone": "+"}
-#: Contexts reach this many characters to either side; different contexts that a term must share with an entity; the
-#: share of an entity's information content that a term may disclose.
-REACH, SUPPORT, THRESHOLD = 64, 3, 0.8
+#: Different documents that a term must share with an entity that has as many or more; the share of an entity's
+#: information content that a term may disclose.
+SUPPORT, THRESHOLD = 3, 0.8
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -107,20 +109,29 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w.rlike(r"^\p{L}{3}")))
 
 
+def _entities(spans: Column) -> Column:
+    return F.array_distinct(F.transform(spans, lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"]))))
+
+
 def revealing_terms(docs: DataFrame, based: DataFrame, text: str, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
     """(entity, term) above the disclosure threshold. based: rk, text, spans of documents that have spans.
 
-    Joint counts are over different contexts; a term's own frequency and the number of documents are over all of docs.
+    Documents with the same words outside base matches are one context. Entities of one context go before any word is
+    dealt out; of the others each task sends an (entity, term) once, however often they meet there.
     """
-    places = based.select("rk", "text", F.explode("spans").alias("s"))
-    left = F.substring(F.col("text"), F.greatest(F.col("s.start") - REACH, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(REACH)))
-    right = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(REACH))
-    # Cut words at the ends of a context are left out.
-    inner = F.concat_ws(" ", F.regexp_replace(left, r"^\S*\s", ""), F.regexp_replace(right, r"\s\S*$", ""))
-    near = places.select("rk", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), _words(inner).alias("words"))
-    terms = near.select("rk", "entity", F.xxhash64("words").alias("context"), F.explode("words").alias("term"))
-    joint = terms.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("rk").alias("both"))
-    joint = materialize(joint.where(F.col("contexts") >= support), "joint")
+    outside = redact(F.col("text"), F.col("spans"), (" ",) * len(KINDS))
+    own = based.select("spans", "text", _words(outside).alias("words")).withColumn("context", F.xxhash64("words"))
+    held = own.select("context", F.explode(_entities(F.col("spans"))).alias("entity")).groupBy("entity", "context").agg(F.count(F.lit(1)).alias("n"))
+    held = materialize(held, "held")
+    having = held.groupBy("entity").agg(F.count(F.lit(1)).alias("needed"), F.sum("n").alias("docs_e")).where("needed > 1")
+    having = materialize(having.withColumn("needed", F.least("needed", F.lit(support))), "having")
+    if having.isEmpty():
+        return having.select("entity", F.lit("").alias("term"))
+    pairs = held.join(having.select("entity"), "entity", "left_semi")
+    words = own.select("context", "words").join(pairs.select("context").distinct(), "context", "left_semi").dropDuplicates(["context"])
+    near = pairs.join(words, "context").select("entity", "n", F.explode("words").alias("term"))
+    joint = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("both"))
+    joint = materialize(joint.join(having, "entity").where("contexts >= needed"), "joint")
     total = docs.count()
     terms = materialize(joint.select("term").distinct(), "terms")
     if terms.isEmpty():
@@ -128,11 +139,12 @@ def revealing_terms(docs: DataFrame, based: DataFrame, text: str, support: int =
     # Every word's document count is summed where the documents lie; only the counts move to meet the candidates.
     spread = docs.select(F.explode(_words(whole_text(text))).alias("term")).groupBy(F.xxhash64("term").alias("key")).agg(F.count(F.lit(1)).alias("docs_t"))
     spread = terms.withColumn("key", F.xxhash64("term")).join(spread, "key").drop("key")
-    having = based.select("rk", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"]))))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("docs_e"))
-    p_t, p_e = F.col("docs_t") / total, F.col("docs_e") / total
-    p_te = F.least(F.least("docs_t", "docs_e"), F.col("both")) / total
-    told = F.log(p_te / (p_t * p_e)) / -F.log(F.greatest(F.least(p_e, F.lit(1 - 1e-12)), F.lit(1e-300)))
-    return joint.join(spread, "term").join(having, "entity").where(told >= threshold).select("entity", "term")
+    # Documents that have the word only inside base matches do not count.
+    inside = own.select(F.explode(F.array_except(_words(F.col("text")), F.col("words"))).alias("term")).join(terms, "term", "left_semi")
+    spread = spread.join(inside.groupBy("term").agg(F.count(F.lit(1)).alias("inside")), "term", "left")
+    p_t, p_e = (F.col("docs_t") - F.coalesce("inside", F.lit(0))) / total, F.col("docs_e") / total
+    told = F.log(F.col("both") / total / (p_t * p_e)) / -F.log(F.greatest(F.least(p_e, F.lit(1 - 1e-12)), F.lit(1e-300)))
+    return joint.join(spread, "term").where(told >= threshold).select("entity", "term")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -144,7 +156,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     told = materialize(revealing_terms(docs, based.select("rk", "text", F.col("base").alias("spans")), text), "told")
     if told.isEmpty():
         return found.select("rk", "doc_id", "base", F.col("base").alias("spans"))
-    entities = based.select("rk", F.explode("base").alias("s")).select("rk", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity")).distinct()
+    entities = based.select("rk", F.explode(_entities(F.col("base"))).alias("entity")).distinct()
     terms = entities.join(told, "entity").groupBy("rk").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     joined = found.join(terms, "rk", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
@@ -152,9 +164,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     return joined.select("rk", "doc_id", "base", F.when(F.col("terms").isNotNull(), F.array_sort(F.concat("base", extra))).otherwise(F.col("base")).alias("spans"))
 
 
-def redact(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the first names the whole."""
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+def redact(text: Column, spans: Column, shown: tuple[str, ...] = tuple(f"[{k.upper()}]" for k in KINDS)) -> Column:
+    """The text with each span replaced by what is shown for its kind; of overlapping spans the first names the whole."""
+    names = F.array(*[F.lit(k) for k in shown])
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -210,6 +210,18 @@ def test_terms_that_disclose(spark):
     assert clean.count() == len(rows)
 
 
+def test_terms_far_from_their_entity(spark):
+    rng = random.Random(5)
+    filler = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(30))
+    rows = [(i, f"Dear Zebulon, {filler()} mail zeb@mail.org", "") for i in range(2)]
+    rows += [(10 + i, f"Quentin {filler()} +44 20 7946 0958 {filler()}", "") for i in range(4)]
+    rows += [(20 + i, f"dear mail {filler()}", "") for i in range(60)] + [(100, f"{filler()} one@mail.org", "")]
+    spans = {r.doc_id: [s.value for s in r.spans] for r in pii.find(frame(spark, rows)).collect()}
+    assert spans[0] == spans[1] == ["Zebulon", "zeb@mail.org"]
+    assert all(spans[10 + i] == ["Quentin", "+44 20 7946 0958"] for i in range(4))
+    assert spans[20] == [] and spans[100] == ["one@mail.org"]
+
+
 def test_redact_overlaps_and_empty(spark):
     t = "+4111111111111111 x"
     (r,) = pii.sanitize(frame(spark, [(1, t, "s")])).collect()
