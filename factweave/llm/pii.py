@@ -105,8 +105,8 @@ def listed(spans: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    """Distinct lower-case words of three letters or more, without what surrounds them."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w.rlike(r"^\p{L}{3}")))
+    """Distinct lower-case words (letters, marks and digits, of any length), without what surrounds them."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != ""))
 
 
 def _entities(spans: Column) -> Column:
@@ -159,7 +159,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     entities = based.select("rk", F.explode(_entities(F.col("base"))).alias("entity")).distinct()
     terms = entities.join(told, "entity").groupBy("rk").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     joined = found.join(terms, "rk", "left")
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
     extra = F.transform(matches(F.col("text"), pattern), partial(_shaped, KINDS.index("term"))).cast(SPAN)
     return joined.select("rk", "doc_id", "base", F.when(F.col("terms").isNotNull(), F.array_sort(F.concat("base", extra))).otherwise(F.col("base")).alias("spans"))
 

@@ -222,6 +222,20 @@ def test_terms_far_from_their_entity(spark):
     assert spans[20] == [] and spans[100] == ["one@mail.org"]
 
 
+def test_terms_short_numbered_and_at_the_ends(spark):
+    rows = [(i, f"Kovacs: a@b.com {w} E12345", "") for i, w in enumerate(["one", "two", "ten"])]
+    rows += [(10 + i, f"李明 c@d.com {w} Ng", "") for i, w in enumerate(["one", "two", "ten"])]
+    rows += [(20 + i, f"778812 {w} +44 20 7946 0958 हिंदी", "") for i, w in enumerate(["one", "two", "ten"])]
+    rows += [(40 + i, w, "") for w in ("one", "two", "ten") for i in range(20)] + [(90, "b com 44 e1 n", "")]
+    spans = defaultdict(list)
+    for r in pii.find(frame(spark, rows)).collect():
+        spans[r.doc_id] += [s.value for s in r.spans]
+    assert spans[0] == spans[2] == ["Kovacs", "a@b.com", "E12345"]
+    assert spans[10] == spans[12] == ["李明", "c@d.com", "Ng"]
+    assert spans[20] == spans[22] == ["778812", "+44 20 7946 0958", "हिंदी"]
+    assert spans[40] == spans[90] == []
+
+
 def test_redact_overlaps_and_empty(spark):
     t = "+4111111111111111 x"
     (r,) = pii.sanitize(frame(spark, [(1, t, "s")])).collect()
