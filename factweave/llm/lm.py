@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from factweave.llm import tokens
 from factweave.llm.common import materialize, scratch_path, whole_text
 
-#: Order of the model; bytes of text of a block, about; buckets of context counts; bins of log10 probabilities, BIN wide;
+#: Order of the query's model; bytes of text of a block, about; buckets of context counts; bins of log10 probabilities, BIN wide;
 #: bits that an n-gram's hash has beyond the logarithm of the corpus.
-ORDER, BLOCK_BYTES, BUCKETS, BIN, SPARE = 2, 4 << 20, 24, 0.25, 14
+ORDER, BLOCK_BYTES, BUCKETS, BIN, SPARE = 3, 4 << 20, 24, 0.25, 14
 END = np.uint64(0x5851F42D4C957F2D)
 _START = np.uint64(0x14057B7EF767814F)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -159,7 +159,7 @@ def bins(p: np.ndarray) -> np.ndarray:
 class Model:
     """Everything that scoring needs: the table of blocks, the ranges' answers to each, and the mixture's weights."""
 
-    def __init__(self, docs: DataFrame, learn: Column, order: int = ORDER, id_col: str = "doc_id", text: str = "text"):
+    def __init__(self, docs: DataFrame, learn: Column, order: int = 2, id_col: str = "doc_id", text: str = "text"):
         self.order, self.spark = order, docs.sparkSession
         rows = docs.select(F.col(id_col).alias("id"), learn.alias("learns"), whole_text(text).alias("text"))
         self.id_type = dict(rows.dtypes)["id"]

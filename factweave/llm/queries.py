@@ -59,7 +59,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = lm.Model(documents(spark, sf_dir), fold("doc_id", 7) != 2)
+    model = lm.Model(documents(spark, sf_dir), fold("doc_id", 7) != 2, order=lm.ORDER)
     found = model.score().withColumnRenamed("id", "doc_id")
     return found.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

@@ -157,6 +157,15 @@ def test_lm_beats_its_base_on_held_out_documents(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_query_knows_word_triples(spark, tmp_path):
+    """Only the word before the last two tells b from d."""
+    texts = {i: ("a x b", "c x d")[i % 2] for i in range(400) if crc(i, 7) != 2}
+    alike, mixed = [i for i in range(400, 900) if crc(i, 7) == 2][:2]
+    frame(spark, [(d, t, "en") for d, t in {**texts, alike: "a x b", mixed: "a x d"}.items()]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.score for r in QUERIES["op6_lm_scoring"](spark, str(tmp_path)).collect()}
+    assert got[alike] - got[mixed] > 0.5
+
+
 def test_lm_is_a_distribution_and_edges(spark):
     t = lm.Totals([np.array([2, 2, 2, 0])], [np.full(4, 6)])
     weights = np.full((1, lm.BUCKETS), 0.7)
