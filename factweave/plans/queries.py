@@ -375,16 +375,7 @@ def ui_bars(spark, sf):
 @query("SELECT d.doc_id, b.item_id, CAST(instr(d.text, b.text) - 1 AS INT) AS at FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def evidence_locate(spark, sf):
     """U9, quote verification: the passages of `benchmark` as a stated query set against all documents."""
-    docs, quotes = _table(spark, sf, "documents"), _table(spark, sf, "benchmark").withColumnRenamed("text", "quote")
-    # Each quote meets only documents that hold its first word triple.
-    split = docs.select("doc_id", F.split("text", r"\s+").alias("words"))
-    at = F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0)))
-    triple = F.transform(at, lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
-    triples = split.select("doc_id", F.explode(F.array_distinct(triple)).alias("key"))
-    key = lambda c: F.array_join(F.slice(F.split(c, r"\s+"), 1, 3), " ")
-    hits = triples.join(quotes.select("item_id", key(F.col("quote")).alias("key")), "key").select("doc_id", "item_id")
-    rows = hits.join(docs, "doc_id").join(quotes, "item_id").where("contains(text, quote)")
-    return rows.select("doc_id", "item_id", views.locate(F.col("quote"), F.col("text"), F.lit(-1)).cast("int").alias("at"))
+    return views.quoted(_table(spark, sf, "documents"), _table(spark, sf, "benchmark").withColumnRenamed("text", "quote"))
 
 
 # Numbers, periods, texts

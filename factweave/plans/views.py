@@ -228,3 +228,22 @@ def locate(quote: Column, page: Column, stored: Column) -> Column:
     """Where a quote is on a page: the stored place, else where it or its first six words are found, else null."""
     words = F.array_join(F.slice(F.split(quote, r"\s+"), 1, 6), " ")
     return F.coalesce(F.when(F.substring(page, stored + 1, F.char_length(quote)) == quote, stored), F.nullif(F.position(quote, page), F.lit(0)) - 1, F.nullif(F.position(words, page), F.lit(0)) - 1)
+
+
+def quoted(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(doc_id, item_id, at) of every quote that a document contains. docs: doc_id, text; quotes: item_id, quote.
+
+    A quote's inner words are whole words of the document wherever the passage stands, so it meets only documents that
+    hold its second to fourth word; one without three inner words meets all documents.
+    """
+    words = F.split("text", r"\s+")
+    triple = F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
+    triples = docs.select("doc_id", words.alias("words")).where(F.size("words") >= 3).select("doc_id", F.explode(F.array_distinct(triple)).alias("key"))
+    # What stands before the first blank and behind the last may be parts of words.
+    inner = quotes.withColumn("inner", F.split("quote", r"\s+")).withColumn("inner", F.slice("inner", F.lit(2), F.greatest(F.size("inner") - 2, F.lit(0))))
+    keyed = inner.where(F.size("inner") >= 3).select("item_id", "quote", F.array_join(F.slice("inner", 1, 3), " ").alias("key"))
+    hits = triples.join(keyed.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    long = hits.join(docs.select("doc_id", "text"), "doc_id").join(keyed.drop("key"), "item_id").where("contains(text, quote)")
+    short = docs.select("doc_id", "text").join(inner.where(F.size("inner") < 3).select("item_id", "quote"), F.expr("contains(text, quote)"))
+    rows = long.select("doc_id", "item_id", "text", "quote").union(short.select("doc_id", "item_id", "text", "quote"))
+    return rows.select("doc_id", "item_id", locate(F.col("quote"), F.col("text"), F.lit(None).cast("int")).cast("int").alias("at"))

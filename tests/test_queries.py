@@ -37,6 +37,16 @@ def test_query_runs(spark, name):
     assert relational.QUERIES[name](spark, SF).count() > 0
 
 
+def test_quotes_wherever_they_stand(spark, tmp_path):
+    texts = ["(one two three four five)", "x-one  two", "zone two three four five six", "one two three four five", "one\ttwo three four five", "", "two"]
+    quotes = ["one two three four five", "one", "two", " two three four ", "ne two three four five s", "six seven"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = sorted((d, i, t.index(q)) for d, t in enumerate(texts) for i, q in enumerate(quotes) if q in t)
+    got = relational.QUERIES["evidence_locate"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.item_id, r["at"]) for r in got) == want
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
