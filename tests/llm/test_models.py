@@ -208,25 +208,77 @@ def test_language_edges(spark):
     assert language.predict(frame(spark, []), model).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    codes, off = language.characters(["ab ab abc", "bca"])
-    keys, many = np.unique(language.grams(codes, off, language.ORDER), return_counts=True)
-    levels = language.kneser_ney({0: (keys, many)}, 1)
-    chars = np.unique(codes)
-    context = np.uint64((32 << 32) | (ord("a") << 16) | ord("b"))
-    model = language.Model(["x"], levels, 1.0, np.array([np.inf]))
-    total = 0.0
-    for c in chars:
-        packed = np.array([(int(context) << 16 | int(c)) & (2**64 - 1)], np.uint64)
-        p = None
-        for n in range(language.ORDER, 0, -1):
-            own = tokens.mix(packed & np.uint64((1 << 16 * n) - 1) if n < 4 else packed)
-            spot = np.searchsorted(levels[n - 1].keys, own[0])
-            if spot < len(levels[n - 1].keys) and levels[n - 1].keys[spot] == own[0]:
-                p = 10 ** levels[n - 1].logs[spot, 0]
-                break
-        total += p
-    assert total <= 1.6 and model.languages == ["x"]
+TEXTS = {"en": ["the cat sat on the mat", "a cat and the dog", "the other hat"], "de": ["der hund und die katze", "das haus, der Hof", "Öl und Äther"], "fr": ["le chat noir"]}
+
+
+def language_model():
+    code, _ = language.characters([t for ts in TEXTS.values() for t in ts])
+    alphabet = np.unique(code)
+    counts = {}
+    for i, ts in enumerate(TEXTS.values()):
+        own, off = language.characters(ts)
+        counts[i] = np.unique(language.grams(language.numbered(own, alphabet), off, language.ORDER, language.blank_of(alphabet)), return_counts=True)
+    levels = language.kneser_ney(counts, len(TEXTS), len(alphabet))
+    return language.Model(list(TEXTS), alphabet, levels, 1.0, np.full(len(TEXTS), np.inf))
+
+
+def test_kneser_ney_sums_to_one_in_every_context():
+    model = language_model()
+    every = np.arange(len(model.alphabet) + 1, dtype=np.uint64)  # with the unknown character
+    rng = random.Random(1)
+    seen = {int(g) >> language.BITS for t in TEXTS["en"] + TEXTS["de"] for g in model.packed(*language.characters([t]))}
+    contexts = [*seen, *(rng.randrange(1 << 3 * language.BITS) for _ in range(50)), *(sum(rng.randrange(len(every)) << language.BITS * k for k in range(3)) for _ in range(200))]
+    for c in contexts:
+        total = (10.0 ** model.log_probabilities((np.uint64(c) << np.uint64(language.BITS)) | every).astype(float)).sum(0)
+        assert np.abs(total - 1).max() < 1e-6
+
+
+def by_dictionaries(texts, alphabet_n):
+    """Interpolated Kneser-Ney of one language as dictionaries: probability(context, character)."""
+    top = Counter()
+    for t in texts:
+        line = " " * (language.ORDER - 1) + "".join(chr(c) for c in language.characters([t])[0])
+        top.update(line[i : i + language.ORDER] for i in range(len(line) - language.ORDER + 1))
+    levels = {language.ORDER: top}
+    for n in range(language.ORDER - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    cuts = {n: min(0.95, max(0.1, (ones := sum(v == 1 for v in c.values())) / max(1, ones + 2 * sum(v == 2 for v in c.values())))) for n, c in levels.items()}
+
+    def probability(context, char):
+        p = 1 / (alphabet_n + 1)
+        for n in range(1, language.ORDER + 1):
+            head = context[len(context) - n + 1 :]
+            after = {g[-1]: v for g, v in levels[n].items() if g[:-1] == head}
+            total = sum(after.values())
+            if total:
+                p = max(after.get(char, 0) - cuts[n], 0) / total + cuts[n] * len(after) / total * p
+        return p
+
+    return probability
+
+
+def test_kneser_ney_equals_dictionaries():
+    model = language_model()
+    asked = ["the dog sat", "die Katze im Haus", "zyx qq", "le chat", "\u4e2d\u6587 x", ""]
+    got = model.entropies(*language.characters(asked))
+    for i, ts in enumerate(TEXTS.values()):
+        probability = by_dictionaries(ts, len(model.alphabet))
+        for t, h in zip(asked, got[:, i], strict=True):
+            line = " " * (language.ORDER - 1) + "".join(chr(c) for c in language.characters([t])[0])
+            each = [-math.log10(probability(line[k - language.ORDER + 1 : k], line[k])) for k in range(language.ORDER - 1, len(line))]
+            assert h == pytest.approx(sum(each) / len(each) if each else 0, abs=1e-5)
+
+
+def test_language_sample_is_shared_out():
+    assert language.quotas({"en": 10**9, "de": 10, "fr": 500}, 300) == {"de": 10, "fr": 145, "en": 145}
+    assert language.quotas({}, 5) == {}
+
+
+def test_language_repeated_rows(spark):
+    rows = [(i, "the cat and the dog" if i % 2 else "der hund und die katze", "en" if i % 2 else "de") for i in range(40)]
+    model = language.fit(frame(spark, rows * 3), F.lit(True))
+    got = language.predict(frame(spark, rows * 3), model).collect()
+    assert len(got) == 120 and all(r.lang_pred == ("en" if r.id % 2 else "de") for r in got)
 
 
 # media columns
