@@ -71,8 +71,9 @@ def whole_text(text: str = "text") -> Column:
 
 
 def row_key(id_col: str = "doc_id", text: str = "text") -> Column:
-    """64-bit key of (id, text); rows that repeat both share it."""
-    return F.xxhash64(F.lit(7), F.col(id_col), F.col(text))
+    """128-bit key of (id, text), as 16 bytes; rows that repeat both share it."""
+    halves = [F.lpad(F.hex(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text))), 16, "0") for seed in (7, 8)]
+    return F.unhex(F.concat(*halves))
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -81,10 +82,11 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def narrowed(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows of df whose 64-bit key may be among keys: a semi-join reduction by 2^20 residues at most.
+    """Rows of df whose key may be among keys: a semi-join reduction by 2^20 residues at most.
 
     The broadcast has a fixed bound (a million longs), whatever the number of keys; an exact join on key follows.
     """
     (residue,) = fresh(df, "residue")
-    some = keys.select(F.pmod(F.col(key), F.lit(1 << 20)).alias(residue)).distinct()
-    return df.withColumn(residue, F.pmod(F.col(key), F.lit(1 << 20))).join(F.broadcast(some), residue, "left_semi").drop(residue)
+    own = F.pmod(F.xxhash64(F.lit(9), F.col(key)), F.lit(1 << 20))
+    some = keys.select(own.alias(residue)).distinct()
+    return df.withColumn(residue, own).join(F.broadcast(some), residue, "left_semi").drop(residue)

@@ -104,7 +104,7 @@ def sketches(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
                 sig = [xxhash.xxh3_128_digest(values[off[i] : off[i + 1]].tobytes()) for i in range(len(n))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sig, pa.binary()), pa.array(n, pa.int64()), pa.array([r.tobytes() for r in sk], pa.binary())], ["rk", "id", "sig", "n", "sketch"])
 
-    return rows.mapInArrow(run, f"rk long, id {id_type}, sig binary, n long, sketch binary")
+    return rows.mapInArrow(run, f"rk binary, id {id_type}, sig binary, n long, sketch binary")
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -141,42 +141,68 @@ def _verify(pairs: DataFrame, members: DataFrame, k: int, percent: int) -> DataF
     return wide.select("a", "na", "ska", "ta", "b", "nb", "skb", "tb").mapInPandas(run, "a long, b long")
 
 
+def _hopeful(pdf: pd.DataFrame, ask: np.ndarray, have: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs (place in ask, place in have) of different components whose sizes, joint likelihood and bands ask for a look
+    at their sets. A pair is looked at in the first band that it shares."""
+    comp, n, band, r = pdf.comp.to_numpy(), pdf.n.to_numpy(float), int(pdf.band.iloc[0]), band_rows(percent)
+    sketch = _matrix(pdf.sketch)
+    found = []
+    for at in range(0, len(ask), 64):
+        rows = ask[at : at + 64]
+        small, great = np.minimum(n[rows][:, None], n[have][None, :]), np.maximum(n[rows][:, None], n[have][None, :])
+        x, y = np.nonzero((comp[rows][:, None] != comp[have][None, :]) & (100 * small >= percent * great))
+        for lo in range(0, len(x), 1 << 16):
+            i, j = x[lo : lo + (1 << 16)], y[lo : lo + (1 << 16)]
+            left, right = sketch[rows[i]], sketch[have[j]]
+            same = left == right
+            before = same[:, : band * r].reshape(len(i), band, r).all(2).any(1) if band else np.zeros(len(i), bool)
+            near = ~before
+            near[near] = estimate(left[near], right[near], n[rows[i[near]]], n[have[j[near]]]) >= _gate(percent)
+            found.append(np.stack([i[near] + at, j[near]], 1))
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
 def _links_of_bucket(pdf: pd.DataFrame, k: int, percent: int) -> pd.DataFrame:
-    """Links (a, b) between the seekers and the residents of one pair of blocks, on their full sets: for each seeker, one
-    link at most to each other component. Set intersections of all pairs at once are a product of incidence matrices."""
-    n = len(pdf)
-    values, off = tokens.shingles(*tokens.words(*tokens.raw(pa.array(pdf.text, pa.large_string()))), k)
-    seeks, comp, node, size = pdf.seeks.to_numpy(bool), pdf.comp.to_numpy(), pdf.node.to_numpy(), np.diff(off)
+    """Links (a, b) between the seekers and the residents of one pair of blocks: for each seeker, one link at most to each
+    other component. The joint likelihood of the sketches picks the pairs, the full sets decide: all intersections at once
+    are a product of incidence matrices."""
+    seeks = pdf.seeks.to_numpy(bool)
     ask, have = np.flatnonzero(seeks), np.flatnonzero(~seeks)
-    if not len(ask) or not len(have):
+    pairs = _hopeful(pdf, ask, have, percent)
+    comp, node = pdf.comp.to_numpy(), pdf.node.to_numpy()
+    if not len(pairs):
         return pd.DataFrame({"a": node[:0], "b": node[:0]})
-    owner = np.repeat(np.arange(n), size)
-    order = np.full(n, -1)
-    order[ask], order[have] = np.arange(len(ask)), np.arange(len(have))
+    mine, theirs = np.unique(pairs[:, 0]), np.unique(pairs[:, 1])
+    ask, have = ask[mine], have[theirs]
+    wanted = np.zeros((len(ask), len(have)), bool)
+    wanted[np.searchsorted(mine, pairs[:, 0]), np.searchsorted(theirs, pairs[:, 1])] = True
+    rows = np.concatenate([ask, have])
+    values, off = tokens.shingles(*tokens.words(*tokens.raw(pa.array(pdf.text.iloc[rows], pa.large_string()))), k)
+    size = np.diff(off)
+    owner = np.repeat(np.arange(len(rows)), size)
     _, column = np.unique(values, return_inverse=True)
-    total = int(column.max(initial=-1)) + 1
-    mine = seeks[owner]
-    shared = (np.bincount(column[mine], minlength=total) > 0) & (np.bincount(column[~mine], minlength=total) > 0)
-    column, keep = (np.cumsum(shared) - 1)[column], shared[column]
-    column, owner, mine = column[keep], order[owner[keep]], mine[keep]
-    both, wide = np.zeros((len(ask), len(have)), np.float32), 4096
+    total, asks = int(column.max(initial=-1)) + 1, owner < len(ask)
+    shared = (np.bincount(column[asks], minlength=total) > 0) & (np.bincount(column[~asks], minlength=total) > 0)
+    keep = shared[column]
+    column, owner, asks = (np.cumsum(shared) - 1)[column][keep], owner[keep], asks[keep]
     by = np.argsort(column, kind="stable")
-    column, owner, mine = column[by], owner[by], mine[by]
+    column, owner, asks = column[by], owner[by], asks[by]
+    both, wide = np.zeros((len(ask), len(have)), np.float32), 4096
     for at in range(0, int(shared.sum()), wide):
         lo, hi = np.searchsorted(column, [at, at + wide])
-        c, o, m = column[lo:hi] - at, owner[lo:hi], mine[lo:hi]
+        c, o, m = column[lo:hi] - at, owner[lo:hi], asks[lo:hi]
         x, y = np.zeros((len(ask), wide), np.float32), np.zeros((len(have), wide), np.float32)
         x[o[m], c[m]] = 1
-        y[o[~m], c[~m]] = 1
+        y[o[~m] - len(ask), c[~m]] = 1
         both += x @ y.T
-    union = size[ask][:, None] + size[have][None, :] - both
-    hit_a, hit_b = np.nonzero((100 * both >= percent * union) & (comp[ask][:, None] != comp[have][None, :]))
+    union = size[: len(ask)][:, None] + size[len(ask) :][None, :] - both
+    hit_a, hit_b = np.nonzero(wanted & (100 * both >= percent * union))
     found = pd.DataFrame({"a": node[ask[hit_a]], "b": node[have[hit_b]], "of": comp[have[hit_b]]})
     return found.drop_duplicates(["a", "of"])[["a", "b"]]
 
 
 def _blocked(rows: DataFrame, pool: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) inside open buckets: rows key, node, comp, pivot_comp, size; pool node, text.
+    """Links (a, b) inside open buckets: rows key, band, node, comp, pivot_comp, size; pool node, n, sketch, text.
 
     Members outside the pivot's component (the seekers) meet the whole bucket, for any pair of different components has
     one of them at least. Both are cut into blocks, so a task holds two blocks at a time.
@@ -184,10 +210,10 @@ def _blocked(rows: DataFrame, pool: DataFrame, k: int, percent: int) -> DataFram
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     seekers = rows.where("comp <> pivot_comp")
-    ask = seekers.select("key", own.alias("here"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("there"), "node", "comp", F.lit(True).alias("seeks"))
+    ask = seekers.select("key", "band", own.alias("here"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("there"), "node", "comp", F.lit(True).alias("seeks"))
     at = seekers.select("key", own.alias("here")).distinct()
-    have = rows.join(at, "key").select("key", "here", own.alias("there"), "node", "comp", F.lit(False).alias("seeks"))
-    both = ask.union(have).join(pool.select("node", "text"), "node")
+    have = rows.join(at, "key").select("key", "band", "here", own.alias("there"), "node", "comp", F.lit(False).alias("seeks"))
+    both = ask.union(have).join(pool, "node")
     dealt = both.repartition("key", "here", "there").sortWithinPartitions("key", "here", "there")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,16 +234,20 @@ def classes_and_components(docs: DataFrame, id_col: str, text: str, k: int, perc
     """(rows, classes): rows rk, id, sig, n; classes sig, node, comp with one row for each distinct non-empty set."""
     written = materialize(sketches(docs, id_col, text, k), "sketches")
     rows = written.select("rk", "id", "sig", "n")
-    classes = materialize(written.where("n > 0").groupBy("sig").agg(F.min("rk").alias("node"), F.max("n").alias("n"), F.min("sketch").alias("sketch")), "classes")
+    classes = written.where("n > 0").groupBy("sig").agg(F.min("rk").alias("rk"), F.max("n").alias("n"), F.min("sketch").alias("sketch"))
+    # The numbers of classes are drawn once and written, so they stay what they are.
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     r = band_rows(percent)
     spans = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * r * 2 + 1, r * 2)) for i in range(REGISTERS // r)])
-    bands = classes.select("node", F.explode(spans).alias("key"))
+    bands = classes.select("node", F.posexplode(spans).alias("band", "key"))
     buckets = materialize(bands.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     members = materialize(bands.join(buckets, "key"), "members")
 
-    needed = members.select("node").distinct()
-    texts = docs.select(row_key(id_col, text).alias("node"), whole_text(text).alias("text"))
-    pool = materialize(classes.drop("sig").join(needed, "node", "left_semi").join(texts, "node"), "pool")
+    needed = classes.join(members.select("node").distinct(), "node", "left_semi").select("rk", "node", "n", "sketch")
+    # Rows that repeat id and text share a key: one text is enough.
+    texts = docs.select(row_key(id_col, text).alias("rk"), whole_text(text).alias("text"))
+    texts = texts.join(needed.select("rk"), "rk", "left_semi").groupBy("rk").agg(F.any_value("text").alias("text"))
+    pool = materialize(needed.join(texts, "rk").drop("rk"), "pool")
 
     first = materialize(_verify(members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), pool, k, percent), "links")
     comp = components(first)
