@@ -3,10 +3,11 @@
 The text of a word model: the words of a document (A-Z lower-cased) and one end token. Estimates of orders 1 to ORDER and
 a uniform one are mixed with weights that depend on how often the context was seen (a bucket for each power of two).
 The weights come from expectation-maximisation on held-out counts: each training n-gram is judged by the estimates with its
-own occurrence taken out (deleted estimation), over a table of binned probabilities that has the same size for any corpus.
+own occurrence taken out (deleted estimation), over a table of probabilities, binned and with the mean of each bin, that has the same size for any corpus.
 
 How it is dealt out: each task cuts its documents into blocks of bounded size, a row each, in a table bucketed by block.
-A block sorts its n-gram hashes once and sends its own counts, packed, to ranges of the hash space; each range adds up the
+A block merges the n-gram hashes of all its documents, sorted, and sends its own counts, packed, to ranges of the hash
+space; a range holds about as many bytes of text as any other and as before, however large the corpus. It adds up the
 counts of all blocks and answers each block with the totals in the block's own order, so answers are numbers alone. No key
 is hot: an n-gram reaches its range once from a block, however frequent it is. Only the answers move to meet the blocks.
 Word hashes have 64 bits; longer n-grams keep as many as make a chance match rarer than one in 2^SPARE.
@@ -32,9 +33,10 @@ from pyspark.sql import functions as F
 from factweave.llm import tokens
 from factweave.llm.common import materialize, scratch_path, whole_text
 
-#: Order of the query's model; bytes of text of a block, about; buckets of context counts; bins of log10 probabilities, BIN wide;
-#: bits that an n-gram's hash has beyond the logarithm of the corpus.
-ORDER, BLOCK_BYTES, BUCKETS, BIN, SPARE = 3, 4 << 20, 24, 0.25, 14
+#: Order of the query's model; bytes of text of a block and of a range at most, about, and of what a block works on at a time.
+ORDER, BLOCK_BYTES, RANGE_BYTES, CHUNK_BYTES = 3, 16 << 20, 16 << 20, 2 << 20
+#: Buckets of context counts; bins of log10 probabilities, BIN wide; bits that an n-gram's hash has beyond the logarithm of the corpus.
+BUCKETS, BIN, SPARE = 24, 0.1, 20
 END = np.uint64(0x5851F42D4C957F2D)
 _START = np.uint64(0x14057B7EF767814F)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -93,19 +95,37 @@ def large(data: bytes) -> np.ndarray:
 
 
 @dataclass
-class Block:
-    """A block's tokens; of each order its sorted kinds of n-grams and where each token's is among them."""
+class Part:
+    """Some documents of a block: their rows, tokens, and of each order where each token's n-gram is among the block's kinds."""
 
+    rows: pa.RecordBatch
     line: np.ndarray
     bounds: np.ndarray
-    kinds: list[np.ndarray]
     places: list[np.ndarray]
 
+
+@dataclass
+class Block:
+    """A block's documents in parts of bounded size, and of each order its sorted kinds of n-grams."""
+
+    parts: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]
+    kinds: list[np.ndarray]
+    bits: int
+
     @classmethod
-    def of(cls, texts: pa.Array, order: int, bits: int) -> Block:
-        line, bounds = lines(*tokens.raw(texts))
-        both = [np.unique(ngrams(line, bounds, n) >> np.uint64(0 if n == 1 else 64 - bits), return_inverse=True) for n in range(1, order + 1)]
-        return cls(line, bounds, [k for k, _ in both], [p for _, p in both])
+    def of(cls, own: pa.Table, order: int, bits: int, chunk: int) -> Block:
+        batches = own.combine_chunks().to_batches()
+        parts = [(piece, *lines(*tokens.raw(piece.column("text")))) for b in batches for piece in tokens.slices(b, "text", chunk)]
+        kinds = [[np.unique(shortened(ngrams(line, bounds, n), n, bits)) for _, line, bounds in parts] for n in range(1, order + 1)]
+        return cls(parts, [np.unique(np.concatenate(k)) if len(k) > 1 else k[0] for k in kinds], bits)
+
+    def __iter__(self) -> Iterator[Part]:
+        for rows, line, bounds in self.parts:
+            yield Part(rows, line, bounds, [np.searchsorted(k, shortened(ngrams(line, bounds, n), n, self.bits)) for n, k in enumerate(self.kinds, 1)])
+
+
+def shortened(keys: np.ndarray, n: int, bits: int) -> np.ndarray:
+    return keys if n == 1 else keys >> np.uint64(64 - bits)
 
 
 @dataclass
@@ -116,13 +136,13 @@ class Totals:
     h: list[np.ndarray]
 
 
-def totals(block: Block, answers: list[np.ndarray], tokens_n: int, texts_n: int) -> Totals:
+def totals(part: Part, answers: list[np.ndarray], tokens_n: int, texts_n: int) -> Totals:
     """A context was seen as often as the n-gram that ends at the token before; a text's first one as often as texts."""
-    c = [total[place] for total, place in zip(answers, block.places, strict=True)]
-    h = [np.full(len(block.line), tokens_n, np.int64)]
+    c = [total[place] for total, place in zip(answers, part.places, strict=True)]
+    h = [np.full(len(part.line), tokens_n, np.int64)]
     for lower in c[:-1]:
         before = np.roll(lower, 1)
-        before[block.bounds[:-1]] = texts_n
+        before[part.bounds[:-1]] = texts_n
         h.append(before)
     return Totals(c, h)
 
@@ -151,9 +171,9 @@ def mixed(p: list[np.ndarray], t: Totals, weights: np.ndarray, less: np.ndarray
     return out
 
 
-def bins(p: np.ndarray) -> np.ndarray:
-    """Bins of log10 p, BIN wide; -1 is 0."""
-    return np.where(p > 0, np.round(-np.log10(np.maximum(p, 1e-300)) / BIN).astype(np.int64), -1)
+def bins(p: np.ndarray, width: float) -> np.ndarray:
+    """Bins of log10 p, 254 at most; -1 is 0."""
+    return np.where(p > 0, np.minimum(np.round(-np.log10(np.maximum(p, 1e-300)) / width).astype(np.int64), 253), -1)
 
 
 class Model:
@@ -165,7 +185,7 @@ class Model:
         self.id_type = dict(rows.dtypes)["id"]
         self.blocks = self._cut(rows)
         size = self.blocks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("texts"), F.lit(0)).alias("texts")).first()
-        self.ranges, self.texts_n = max(1, size.n), int(size.texts)
+        self.ranges, self.texts_n = max(1, -(-int(size.bytes) // RANGE_BYTES)), int(size.texts)
         self.bits = min(64, max(40, int(size.bytes).bit_length() + SPARE - 2))
         self.answers, self.tokens_n, self.kinds_n = self._count()
         self.weights = self._learn()
@@ -185,7 +205,7 @@ class Model:
                 return pa.RecordBatch.from_arrays([pa.array([(part << 24) + number], pa.int64()), pa.array([size], pa.int64()), pa.array([texts], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "bytes", "texts", "payload"])
 
             for batch in batches:
-                for piece in tokens.slices(batch, "text", BLOCK_BYTES // 4):
+                for piece in tokens.slices(batch, "text", CHUNK_BYTES // 2):
                     held.append(piece)
                     size += len(tokens.raw(piece.column(2))[0]) + 8 * piece.num_rows
                     if size >= BLOCK_BYTES:
@@ -207,12 +227,14 @@ class Model:
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for number, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    own = _table(payload)
-                    block = Block.of(own.column("text"), order, bits)
-                    learns = np.repeat(np.array(own.column("learns").to_pylist(), bool), np.diff(block.bounds))
+                    block = Block.of(_table(payload), order, bits, CHUNK_BYTES)
+                    counts = [np.zeros(len(kinds), np.int64) for kinds in block.kinds]
+                    for part in block:
+                        learns = _learns(part)
+                        for many, place in zip(counts, part.places, strict=True):
+                            many += np.bincount(place[learns], minlength=len(many))
                     out = []
-                    for n, (place, kinds) in enumerate(zip(block.places, block.kinds, strict=True), 1):
-                        many = np.bincount(place[learns], minlength=len(kinds))
+                    for n, (many, kinds) in enumerate(zip(counts, block.kinds, strict=True), 1):
                         top = (kinds >> np.uint64((64 if n == 1 else bits) - 32)).astype(np.int64) * ranges >> 32
                         edges = np.searchsorted(top, np.arange(ranges + 1))
                         out += [(r, n, pack(kinds[a:b]), small(many[a:b])) for r, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
@@ -234,7 +256,7 @@ class Model:
         return answered.select("block", "range", "order", "total"), int(n.n), int(n.v)
 
     def _meet(self, work, schema: str) -> DataFrame:
-        """work(documents of a block, block, totals of its tokens) over all blocks; the blocks stay in their buckets."""
+        """work(part, totals of its tokens) over the parts of all blocks; the blocks stay in their buckets."""
         order, bits, tokens_n, texts_n = self.order, self.bits, self.tokens_n, self.texts_n
         lists = self.answers.groupBy("block").agg(F.collect_list(F.struct("order", "range", "total")).alias("answers"))
         both = self.blocks.select("block", "payload").hint("merge").join(lists, "block").select("payload", F.array_sort("answers").alias("answers"))
@@ -242,12 +264,13 @@ class Model:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for payload, answers in zip(batch.column(0), batch.column(1), strict=True):
-                    own = _table(payload)
-                    block = Block.of(own.column("text"), order, bits)
+                    block = Block.of(_table(payload), order, bits, CHUNK_BYTES)
                     by: list[list[np.ndarray]] = [[] for _ in range(order)]
                     for a in answers.as_py():
                         by[a["order"] - 1].append(large(a["total"]))
-                    yield from work(own, block, totals(block, [np.concatenate(x) for x in by], tokens_n, texts_n))
+                    found = [np.concatenate(x) for x in by]
+                    for part in block:
+                        yield from work(part, totals(part, found, tokens_n, texts_n))
 
         return both.mapInArrow(run, schema)
 
@@ -255,24 +278,27 @@ class Model:
         """Weights [order, bucket] by expectation-maximisation, one order upon the other."""
         order, kinds_n = self.order, self.kinds_n
         weights = np.full((order, BUCKETS), 0.5)
-        names = [f"k{i}" for i in range(2 * order)]
+        names, means = [f"k{i}" for i in range(2 * order)], [f"p{i}" for i in range(order)]
 
-        def held(own: pa.Table, block: Block, t: Totals) -> Iterator[pa.RecordBatch]:
-            learns = np.repeat(np.array(own.column("learns").to_pylist(), bool), np.diff(block.bounds))
-            columns = [buckets(np.maximum(h - 1, 0)) for h in t.h] + [bins(x) + 1 for x in estimates(t, kinds_n, 1)[1:]]
+        def held(part: Part, t: Totals) -> Iterator[pa.RecordBatch]:
+            learns = _learns(part)
+            p = [x[learns] for x in estimates(t, kinds_n, 1)[1:]]
+            columns = [buckets(np.maximum(h - 1, 0))[learns] for h in t.h] + [bins(x, BIN) + 1 for x in p]
             code = np.zeros(int(learns.sum()), np.int64)
             for c in columns:
-                code = code * 256 + c[learns]
-            kind, many = np.unique(code, return_counts=True)
+                code = code * 256 + c
+            kind, place, many = np.unique(code, return_inverse=True, return_counts=True)
             parts = [kind >> (8 * k) & 255 for k in range(len(columns) - 1, -1, -1)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in parts), pa.array(many, pa.int64())], [*names, "many"])
+            sums = [np.bincount(place, x, len(kind)) for x in p]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in parts), pa.array(many, pa.int64()), *(pa.array(x, pa.float64()) for x in sums)], [*names, "many", *means])
 
-        table = self._meet(held, ", ".join(f"{k} long" for k in names) + ", many long").groupBy(*names).agg(F.sum("many").alias("many")).toPandas()
+        schema = ", ".join([*(f"{k} long" for k in names), "many long", *(f"{k} double" for k in means)])
+        table = self._meet(held, schema).groupBy(*names).agg(*(F.sum(c).alias(c) for c in ("many", *means))).toPandas()
         if not len(table):
             return weights
         table = table.sort_values(names)
         many = table.many.to_numpy(float)
-        p = [np.where(table[f"k{order + n}"] == 0, 0.0, 10.0 ** (-BIN * (table[f"k{order + n}"] - 1))) for n in range(order)]
+        p = [table[c].to_numpy() / many for c in means]
         low = np.full(len(many), 1.0 / (kinds_n + 1))
         for n in range(order):
             b = table[f"k{n}"].to_numpy()
@@ -290,20 +316,24 @@ class Model:
         """(id, n_tokens, n_known, train_tokens, base_score, score) of every row."""
         tokens_n, kinds_n, weights = self.tokens_n, self.kinds_n, self.weights
 
-        def work(own: pa.Table, block: Block, t: Totals) -> Iterator[pa.RecordBatch]:
-            starts = block.bounds[:-1]
+        def work(part: Part, t: Totals) -> Iterator[pa.RecordBatch]:
+            starts = part.bounds[:-1]
             base = full = np.zeros(len(starts))
             if tokens_n:
                 base = np.add.reduceat(np.log10((t.c[0] + 1) / (tokens_n + kinds_n + 1)), starts)
                 full = np.add.reduceat(np.log10(mixed(estimates(t, kinds_n), t, weights)), starts)
             known = np.add.reduceat((t.c[0] > 0).astype(np.int64), starts)
-            columns = [pa.array(np.diff(block.bounds), pa.int64()), pa.array(known, pa.int64()), pa.array([tokens_n] * len(starts), pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64())]
-            table = pa.Table.from_arrays([own.column("id"), *(pa.chunked_array([c]) for c in columns)], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-            yield from table.combine_chunks().to_batches()
+            columns = [pa.array(np.diff(part.bounds), pa.int64()), pa.array(known, pa.int64()), pa.array([tokens_n] * len(starts), pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64())]
+            yield pa.RecordBatch.from_arrays([part.rows.column("id"), *columns], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
         return self._meet(work, f"id {self.id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def _learns(part: Part) -> np.ndarray:
+    """Whether each token is in a document to learn from."""
+    return np.repeat(np.array(part.rows.column("learns").to_pylist(), bool), np.diff(part.bounds))
+
+
 def _table(payload: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(payload.as_py()).read_all()
 

@@ -119,7 +119,8 @@ def spoken(text):
 
 
 def test_lm_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(lm, "BLOCK_BYTES", 3000)
+    for name, size in (("BLOCK_BYTES", 3000), ("CHUNK_BYTES", 700), ("RANGE_BYTES", 2000)):
+        monkeypatch.setattr(lm, name, size)
     rng = random.Random(6)
     vocabulary = [f"W{i}" for i in range(60)]
     texts = [" ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(60)], k=rng.randint(0, 60))) for _ in range(220)] + [None, "", "  ", "New words only", "w1 " * 9000]
@@ -150,6 +151,54 @@ def test_lm_equals_brute_force(spark, monkeypatch):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(full)
 
 
+def em_by_hand(texts, order):
+    """Weights by deleted estimation with exact probabilities, one order upon the other."""
+    grams, heads = [Counter() for _ in range(order)], [Counter() for _ in range(order)]
+    lines = [(["\1"] * (order - 1), spoken(t)) for t in texts]
+    for pad, s in lines:
+        line = pad + s
+        for i in range(order - 1, len(line)):
+            for n in range(order):
+                grams[n][tuple(line[i - n : i + 1])] += 1
+                heads[n][tuple(line[i - n : i])] += 1
+    tokens_of = [(pad + s, i) for pad, s in lines for i in range(order - 1, len(pad + s))]
+    low = np.full(len(tokens_of), 1 / (len(grams[0]) + 1))
+    weights = []
+    for n in range(order):
+        h = np.array([heads[n][tuple(line[i - n : i])] - 1 for line, i in tokens_of])
+        p = np.array([(grams[n][tuple(line[i - n : i + 1])] - 1) / max(1, heads[n][tuple(line[i - n : i])] - 1) for line, i in tokens_of])
+        b, w = lm.buckets(h), np.full(lm.BUCKETS, 0.5)
+        for _ in range(50):
+            share = w[b] * p / np.maximum(w[b] * p + (1 - w[b]) * low, 1e-300)
+            for k in set(b.tolist()):
+                w[k] = min(0.999, share[b == k].mean())
+        w[0] = 0
+        low = w[b] * p + (1 - w[b]) * low
+        weights.append((w, set(b.tolist())))
+    return weights
+
+
+def test_lm_weights_equal_expectation_maximisation_by_hand(spark):
+    rng = random.Random(8)
+    follows = {i: rng.choices(range(40), k=4) for i in range(40)}
+    texts = []
+    for _ in range(150):
+        w = [rng.randrange(40)]
+        for _ in range(rng.randint(5, 60)):
+            w.append(rng.choice(follows[w[-1]]) if rng.random() < 0.8 else rng.randrange(40))
+        texts.append(" ".join(f"w{x}" for x in w))
+    model = lm.Model(frame(spark, [(d, t, "en") for d, t in enumerate(texts)]), F.lit(True), order=3)
+    for n, (w, used) in enumerate(em_by_hand(texts, 3)):
+        for k in used - {0}:
+            assert model.weights[n][k] == pytest.approx(w[k], abs=0.01)
+
+
+def test_lm_repeated_rows(spark):
+    rows = [(1, "a b c", "en"), (2, "a b d", "en"), (3, None, "en")]
+    got = [(r.id, r.train_tokens, round(r.score, 9)) for r in lm.Model(frame(spark, rows * 4), F.lit(True), order=3).score().collect()]
+    assert len(got) == 12 and len(set(got)) == 3 and {n for _, n, _ in got} == {4 * 9}
+
+
 def test_lm_beats_its_base_on_held_out_documents(spark):
     rows = QUERIES["op6_lm_scoring"](spark, SF).collect()
     held = [r for r in rows if r.held_out]
