@@ -36,7 +36,7 @@ from factweave.llm.common import materialize, scratch_path, whole_text
 #: Order of the query's model; bytes of text of a block and of a range at most, about, and of what a block works on at a time.
 ORDER, BLOCK_BYTES, RANGE_BYTES, CHUNK_BYTES = 3, 16 << 20, 16 << 20, 2 << 20
 #: Buckets of context counts; bins of log10 probabilities, BIN wide; bits that an n-gram's hash has beyond the logarithm of the corpus.
-BUCKETS, BIN, SPARE = 24, 0.1, 20
+BUCKETS, BIN, SPARE = 24, 0.25, 20
 END = np.uint64(0x5851F42D4C957F2D)
 _START = np.uint64(0x14057B7EF767814F)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -116,12 +116,16 @@ class Block:
     def of(cls, own: pa.Table, order: int, bits: int, chunk: int) -> Block:
         batches = own.combine_chunks().to_batches()
         parts = [(piece, *lines(*tokens.raw(piece.column("text")))) for b in batches for piece in tokens.slices(b, "text", chunk)]
-        kinds = [[np.unique(shortened(ngrams(line, bounds, n), n, bits)) for _, line, bounds in parts] for n in range(1, order + 1)]
-        return cls(parts, [np.unique(np.concatenate(k)) if len(k) > 1 else k[0] for k in kinds], bits)
+        kinds = [[tokens.distinct(shortened(ngrams(line, bounds, n), n, bits)) for _, line, bounds in parts] for n in range(1, order + 1)]
+        return cls(parts, [tokens.distinct(np.concatenate(k)) if len(k) > 1 else k[0] for k in kinds], bits)
 
     def __iter__(self) -> Iterator[Part]:
         for rows, line, bounds in self.parts:
-            yield Part(rows, line, bounds, [np.searchsorted(k, shortened(ngrams(line, bounds, n), n, self.bits)) for n, k in enumerate(self.kinds, 1)])
+            places = []
+            for n, kinds in enumerate(self.kinds, 1):
+                own, place = np.unique(shortened(ngrams(line, bounds, n), n, self.bits), return_inverse=True)
+                places.append(np.searchsorted(kinds, own)[place])  # sorted questions are far quicker than as they come
+            yield Part(rows, line, bounds, places)
 
 
 def shortened(keys: np.ndarray, n: int, bits: int) -> np.ndarray:
