@@ -34,7 +34,7 @@ from factweave.llm import tokens
 from factweave.llm.common import materialize, scratch_path, whole_text
 
 #: Order of the query's model; bytes of text of a block and of a range at most, about, and of what a block works on at a time.
-ORDER, BLOCK_BYTES, RANGE_BYTES, CHUNK_BYTES = 3, 16 << 20, 16 << 20, 2 << 20
+ORDER, BLOCK_BYTES, RANGE_BYTES, CHUNK_BYTES = 3, 4 << 20, 16 << 20, 2 << 20
 #: Buckets of context counts; bins of log10 probabilities, BIN wide; bits that an n-gram's hash has beyond the logarithm of the corpus.
 BUCKETS, BIN, SPARE = 24, 0.25, 20
 END = np.uint64(0x5851F42D4C957F2D)
@@ -260,7 +260,7 @@ class Model:
         return answered.select("block", "range", "order", "total"), int(n.n), int(n.v)
 
     def _meet(self, work, schema: str) -> DataFrame:
-        """work(part, totals of its tokens) over the parts of all blocks; the blocks stay in their buckets."""
+        """work((part, totals of its tokens) of a block's parts) over all blocks; the blocks stay in their buckets."""
         order, bits, tokens_n, texts_n = self.order, self.bits, self.tokens_n, self.texts_n
         lists = self.answers.groupBy("block").agg(F.collect_list(F.struct("order", "range", "total")).alias("answers"))
         both = self.blocks.select("block", "payload").hint("merge").join(lists, "block").select("payload", F.array_sort("answers").alias("answers"))
@@ -273,8 +273,7 @@ class Model:
                     for a in answers.as_py():
                         by[a["order"] - 1].append(large(a["total"]))
                     found = [np.concatenate(x) for x in by]
-                    for part in block:
-                        yield from work(part, totals(part, found, tokens_n, texts_n))
+                    yield from work((part, totals(part, found, tokens_n, texts_n)) for part in block)
 
         return both.mapInArrow(run, schema)
 
@@ -284,17 +283,18 @@ class Model:
         weights = np.full((order, BUCKETS), 0.5)
         names, means = [f"k{i}" for i in range(2 * order)], [f"p{i}" for i in range(order)]
 
-        def held(part: Part, t: Totals) -> Iterator[pa.RecordBatch]:
-            learns = _learns(part)
-            p = [x[learns] for x in estimates(t, kinds_n, 1)[1:]]
-            columns = [buckets(np.maximum(h - 1, 0))[learns] for h in t.h] + [bins(x, BIN) + 1 for x in p]
-            code = np.zeros(int(learns.sum()), np.int64)
-            for c in columns:
-                code = code * 256 + c
-            kind, place, many = np.unique(code, return_inverse=True, return_counts=True)
-            parts = [kind >> (8 * k) & 255 for k in range(len(columns) - 1, -1, -1)]
-            sums = [np.bincount(place, x, len(kind)) for x in p]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in parts), pa.array(many, pa.int64()), *(pa.array(x, pa.float64()) for x in sums)], [*names, "many", *means])
+        def held(parts: Iterator[tuple[Part, Totals]]) -> Iterator[pa.RecordBatch]:
+            cells = []
+            for part, t in parts:
+                learns = _learns(part)
+                p = [x[learns] for x in estimates(t, kinds_n, 1)[1:]]
+                code = np.zeros(int(learns.sum()), np.int64)
+                for c in [*(buckets(np.maximum(h - 1, 0))[learns] for h in t.h), *(bins(x, BIN) + 1 for x in p)]:
+                    code = code * 256 + c
+                cells.append(_summed(code, [np.ones(len(code)), *p]))
+            kind, (many, *sums) = _summed(np.concatenate([k for k, _ in cells]), [np.concatenate(x) for x in zip(*(v for _, v in cells), strict=True)])
+            parts_of = [kind >> (8 * k) & 255 for k in range(2 * order - 1, -1, -1)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in parts_of), pa.array(many.astype(np.int64)), *(pa.array(x, pa.float64()) for x in sums)], [*names, "many", *means])
 
         schema = ", ".join([*(f"{k} long" for k in names), "many long", *(f"{k} double" for k in means)])
         table = self._meet(held, schema).groupBy(*names).agg(*(F.sum(c).alias(c) for c in ("many", *means))).toPandas()
@@ -320,19 +320,26 @@ class Model:
         """(id, n_tokens, n_known, train_tokens, base_score, score) of every row."""
         tokens_n, kinds_n, weights = self.tokens_n, self.kinds_n, self.weights
 
-        def work(part: Part, t: Totals) -> Iterator[pa.RecordBatch]:
-            starts = part.bounds[:-1]
-            base = full = np.zeros(len(starts))
-            if tokens_n:
-                base = np.add.reduceat(np.log10((t.c[0] + 1) / (tokens_n + kinds_n + 1)), starts)
-                full = np.add.reduceat(np.log10(mixed(estimates(t, kinds_n), t, weights)), starts)
-            known = np.add.reduceat((t.c[0] > 0).astype(np.int64), starts)
-            columns = [pa.array(np.diff(part.bounds), pa.int64()), pa.array(known, pa.int64()), pa.array([tokens_n] * len(starts), pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64())]
-            yield pa.RecordBatch.from_arrays([part.rows.column("id"), *columns], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        def work(parts: Iterator[tuple[Part, Totals]]) -> Iterator[pa.RecordBatch]:
+            for part, t in parts:
+                starts = part.bounds[:-1]
+                base = full = np.zeros(len(starts))
+                if tokens_n:
+                    base = np.add.reduceat(np.log10((t.c[0] + 1) / (tokens_n + kinds_n + 1)), starts)
+                    full = np.add.reduceat(np.log10(mixed(estimates(t, kinds_n), t, weights)), starts)
+                known = np.add.reduceat((t.c[0] > 0).astype(np.int64), starts)
+                columns = [pa.array(np.diff(part.bounds), pa.int64()), pa.array(known, pa.int64()), pa.array([tokens_n] * len(starts), pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64())]
+                yield pa.RecordBatch.from_arrays([part.rows.column("id"), *columns], ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
         return self._meet(work, f"id {self.id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def _summed(code: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct codes and, of each array of values, their sums by code."""
+    kind, place = np.unique(code, return_inverse=True)
+    return kind, [np.bincount(place, x, len(kind)) for x in values]
+
+
 def _learns(part: Part) -> np.ndarray:
     """Whether each token is in a document to learn from."""
     return np.repeat(np.array(part.rows.column("learns").to_pylist(), bool), np.diff(part.bounds))
