@@ -36,7 +36,7 @@ from factweave.llm.common import materialize, scratch_path, whole_text
 #: Order of the query's model; bytes of text of a block and of a range at most, about, and of what a block works on at a time.
 ORDER, BLOCK_BYTES, RANGE_BYTES, CHUNK_BYTES = 3, 4 << 20, 16 << 20, 2 << 20
 #: Buckets of context counts; bins of log10 probabilities, BIN wide; bits that an n-gram's hash has beyond the logarithm of the corpus.
-BUCKETS, BIN, SPARE = 24, 0.25, 20
+BUCKETS, BIN, SPARE = 24, 0.5, 20
 END = np.uint64(0x5851F42D4C957F2D)
 _START = np.uint64(0x14057B7EF767814F)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
