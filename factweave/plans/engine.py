@@ -86,7 +86,8 @@ class Engine:
                 rows = rows.withColumn(name, F.lit(None).cast(kind))
         new_docs = context.resolve(rows.withColumnRenamed("document_id", "id"), pages)
         told = new_docs.select("document_id", F.col("original_name").alias("document_name"), "primary_entity", "subject_country", "document_date", "document_period")
-        new = extract.extract(pages.join(told, "document_id"), new_docs)
+        highest = self.table("facts").agg(F.coalesce(F.max("fact_seq"), F.lit(-1))).first()[0]
+        new = extract.extract(pages.join(told, "document_id"), new_docs, highest + 1)
         facts, rels = tables.delete_documents(self.table("facts"), self.table("relationships"), gone)
         every = self._grouped(facts.unionByName(new))
         ids = new_docs.select("document_id")

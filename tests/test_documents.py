@@ -153,3 +153,21 @@ def test_snapshot_that_is_not_there_is_empty(spark, tmp_path):
 def test_csv_lines(spark):
     rows = spark.createDataFrame([(1, *['a"b'] * 14)], "fact_seq long, " + ", ".join(f"{c} string" for c in tables.CSV_COLUMNS))
     assert tables.csv_lines(rows).first().line.startswith('"a""b","a""b"') and tables.csv_lines(rows.withColumn("entity", F.lit(None))).count() == 1
+
+
+@pytest.mark.parametrize(
+    ("row", "want"),
+    [("EBITDA 1,200 12.5% 1,300", [1.2e10, 1.3e10]), ("EBITDA 12.5 % 1,200 7%", [1.2e10]), ("EBITDA 1,200 -3% +1,300.5", [1.2e10, 1.3005e10]), ("EBITDA 5%", [])],
+)
+def test_percentages_are_no_figures_of_a_table(spark, row, want):
+    rows = [r for r in facts(spark, f"in Rs. crore FY2023 FY2024\n{row}") if r.extraction_method == "rule_table"]
+    assert [r.normalized_numeric_value for r in rows] == want
+
+
+def test_fact_numbers_have_no_bounds(spark):
+    rows = [(f"d{d}", p, 0, o) for d, p, o in ((0, 1, 0), (1, 100_001, 0), (1, 100_001, 100_000), (1, 7, 3), (2, 1, 0), (3, 1, 0))]
+    names = [c for c in extract.FACTS.fieldNames() if c not in ("document_id", "page_number")]
+    table = spark.createDataFrame(rows, "document_id string, page_number int, stage int, ordinal int").selectExpr("*", *[f"cast(null as string) as {c}" for c in names])
+    docs = spark.createDataFrame([("d0", 5), ("d1", 2_000_000), ("d2", 2_000_000), ("d3", 10**12)], "document_id string, document_seq long")
+    got = extract.number_facts(table, docs, 40).orderBy("fact_seq").select("fact_seq", "document_id", "page_number").collect()
+    assert [tuple(r) for r in got] == [(40, "d0", 1), (41, "d1", 7), (42, "d1", 100_001), (43, "d1", 100_001), (44, "d2", 1), (45, "d3", 1)]
