@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from factweave.functions import numbers, periods, texts
 from factweave.operators import context, extract, families, layout
 from factweave.operators import sentences as S
-from factweave.plans import claims, oracle
+from factweave.plans import claims, claims_sql, oracle
 from factweave.plans.queries import query
 from factweave.sources import scratch, tables
 
 # One report for each nation and fiscal year of the ledger; v is its revenue in hundredths of a crore.
-_SALES = f"""ledger AS (SELECT cast(c_nationkey as bigint) AS k, cast({claims._FY.format('o_orderdate')} as bigint) AS fy, cast(sum(cast(round(o_totalprice * 100) as bigint)) as bigint) AS cents, cast(count(*) as bigint) AS n
+_SALES = f"""ledger AS (SELECT cast(c_nationkey as bigint) AS k, cast({claims_sql.FY.format('o_orderdate')} as bigint) AS fy, cast(sum(cast(round(o_totalprice * 100) as bigint)) as bigint) AS cents, cast(count(*) as bigint) AS n
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
 sales AS (SELECT k, fy, n + 100 AS n, cast(round(cents / 10000000.0) as bigint) AS v, 'r' || cast(k as string) || '-' || cast(fy as string) AS document_id FROM ledger)"""
 _CRORE = "cast(cast(floor(v / 100) as bigint) as string) || '.' || lpad(cast(v % 100 as string), 2, '0')"

@@ -100,12 +100,13 @@ class Engine:
         """upload from page blocks (schema.PAGE_BLOCKS)."""
         self.upload(documents, layout.pages(blocks), incremental)
 
-    def load_preset(self, root: str, name: str, decode: Callable[[bytes, str], list[dict]], replace: bool = True) -> None:
-        """All files of a folder below root, instead of what is there or beside it."""
+    def load_preset(self, root: str, name: str, *decoders: tables.Decoder, replace: bool = True) -> None:
+        """All files of a folder below root by the first decoder that reads each, instead of what is there or beside it."""
         if replace:
             self.clear()
         info = tables.file_info(self.spark, f"{root}/{name}").withColumn("document_id", F.col("original_name"))
-        self.upload_blocks(info, tables.read_files(self.spark, f"{root}/{name}", decode), incremental=not replace)
+        info = info.join(tables.read_info(self.spark, f"{root}/{name}", *decoders).select("document_id", "pdf_title", "pdf_author"), "document_id", "left")
+        self.upload_blocks(info, tables.read_files(self.spark, f"{root}/{name}", *decoders), incremental=not replace)
 
     def _grouped(self, facts: DataFrame) -> DataFrame:
         return families.group(self.spark, facts, self.call)

@@ -1,39 +1,53 @@
-"""The same tables in DuckDB's SQL: facts, eligible facts, judged pairs."""
+"""The same tables in DuckDB's SQL: facts, eligible facts, judged pairs.
 
-from __future__ import annotations
-
-from factweave.functions import vocabulary as V
-from factweave.operators.matching import COMPARED
-from factweave.operators.reasoning import NUMBERS, TEXTS, Rung
-from factweave.plans.claims import FACTS_SQL
-
-_COLUMNS = ["qualifier_list" if c == "qualifiers" else c for c in COMPARED]
-
-
-def _case(rungs: tuple[Rung, ...], pick) -> str:
-    return "CASE " + " ".join(f"WHEN {r.when} THEN {pick(r)}" for r in rungs) + " END"
-
-
-def _text(value: str | None) -> str:
-    return "NULL" if value is None else f"'{value}'"
-
-
-def _confidence(r: Rung) -> str:
-    return f"{r.confidence}::DOUBLE" if r.by_family is None else f"(CASE WHEN family_only THEN {r.by_family} ELSE {r.confidence} END)::DOUBLE"
+Everything that is judged here (rungs, factors, confidences, tolerances, scales, stop words) is written out, and nothing
+is imported from the operators: the two may only agree because both are right. The facts themselves are the shared fixture.
+"""
 
+from __future__ import annotations
 
-def _verdicts(rungs: tuple[Rung, ...]) -> str:
-    least = "least(a_confidence, b_confidence)"
-    return f"""{_case(rungs, lambda r: _text(r.verdict))} AS relationship_type, {_case(rungs, lambda r: _text(r.factor))} AS divergence_factor,
-  round_even({_case(rungs, _confidence)} * {least} / 0.9::DOUBLE, 2) AS confidence, CASE WHEN family_only THEN 'family' ELSE 'exact' END AS match_basis,
-  NOT same_document AS cross_document, sha256('rel|' || a_id || '|' || b_id) AS id"""
+from factweave.plans.claims_sql import FACTS_SQL
+
+_COLUMNS = (
+    "fact_seq", "id", "document_id", "entity", "entity_canonical", "metric", "metric_canonical", "predicate_family", "raw_value", "numeric_value",
+    "normalized_numeric_value", "normalized_unit", "period_raw", "period", "scope", "accounting_standard", "sub_metric", "qualifier_list", "page_number",
+    "char_start", "confidence",
+)
+_NUMBER_VERDICT = """CASE WHEN same_value AND period_ok THEN 'CORROBORATED'
+  WHEN NOT period_ok OR sub_metric_differs OR basis_differs OR scope_differs OR estimate_differs OR share_differs OR exclusions_differ OR partial_differs THEN 'CONTEXTUALLY_EXPLAINED'
+  WHEN same_sentence OR same_document OR family_only THEN 'INSUFFICIENT_EVIDENCE' ELSE 'CONTRADICTION' END"""
+_NUMBER_FACTOR = """CASE WHEN same_value AND period_ok THEN NULL WHEN NOT period_ok THEN 'DIFFERENT_PERIODS'
+  WHEN basis_differs OR scope_differs THEN 'SCOPE_OR_BASIS' WHEN sub_metric_differs THEN 'SUB_METRIC_DIFFERENCE' WHEN estimate_differs THEN 'DATA_VINTAGE'
+  WHEN share_differs THEN 'DIFFERENT_DEFINITION' WHEN exclusions_differ THEN 'EXCLUSIONS_DIFFER' WHEN partial_differs THEN 'PARTIAL_PERIOD'
+  WHEN same_sentence THEN 'SAME_SENTENCE' WHEN same_document THEN 'SAME_LABEL_DIFFERENT_SUBJECTS' WHEN family_only THEN 'FAMILY_MATCH_ONLY'
+  WHEN both_estimates THEN 'COMPETING_ESTIMATES' ELSE 'VALUE_CONFLICT' END"""
+_NUMBER_CONFIDENCE = """CASE WHEN same_value AND period_ok AND context_ok AND family_only THEN 0.80 WHEN same_value AND period_ok AND context_ok THEN 0.95
+  WHEN same_value AND period_ok AND family_only THEN 0.72 WHEN same_value AND period_ok THEN 0.85 WHEN NOT period_ok THEN 0.90
+  WHEN basis_differs OR scope_differs OR sub_metric_differs THEN 0.88 WHEN estimate_differs OR share_differs THEN 0.85 WHEN exclusions_differ OR partial_differs THEN 0.80
+  WHEN same_sentence OR same_document THEN 0.50 WHEN family_only THEN 0.45 WHEN both_estimates THEN 0.70 ELSE 0.85 END"""
+_TEXT_VERDICT = """CASE WHEN same_text AND (attribute OR period_ok) THEN 'CORROBORATED' WHEN attribute AND identifiers AND similarity >= 0.88 THEN 'CONTEXTUALLY_EXPLAINED'
+  WHEN attribute AND ((NOT identifiers AND similarity >= 0.3) OR family_only) THEN 'INSUFFICIENT_EVIDENCE' WHEN attribute THEN 'CONTRADICTION'
+  WHEN same_text THEN 'CORROBORATED' WHEN NOT period_ok THEN 'CONTEXTUALLY_EXPLAINED' WHEN family_only THEN 'INSUFFICIENT_EVIDENCE' ELSE 'CONTRADICTION' END"""
+_TEXT_FACTOR = """CASE WHEN same_text THEN NULL WHEN attribute AND identifiers AND similarity >= 0.88 THEN 'IDENTIFIER_REVISED'
+  WHEN attribute AND NOT identifiers AND similarity >= 0.3 THEN 'PARTIAL_TEXT_MATCH' WHEN attribute AND family_only THEN 'FAMILY_MATCH_ONLY' WHEN attribute THEN 'ATTRIBUTE_CONFLICT'
+  WHEN NOT period_ok THEN 'STATUS_CHANGED_OVER_TIME' WHEN family_only THEN 'FAMILY_MATCH_ONLY' ELSE 'STATUS_CONFLICT' END"""
+_TEXT_CONFIDENCE = """CASE WHEN same_text AND equal_text AND attribute THEN 0.90 WHEN same_text AND attribute THEN 0.75 WHEN same_text AND period_ok THEN 0.90 WHEN same_text THEN 0.75
+  WHEN attribute AND identifiers AND similarity >= 0.88 THEN 0.85 WHEN attribute AND NOT identifiers AND similarity >= 0.3 THEN 0.50 WHEN attribute AND family_only THEN 0.45
+  WHEN attribute THEN 0.70 WHEN NOT period_ok THEN 0.88 WHEN family_only THEN 0.45 ELSE 0.80 END"""
+
+
+def _verdicts(verdict: str, factor: str, confidence: str) -> str:
+    return f"""{verdict} AS relationship_type, {factor} AS divergence_factor, round_even(({confidence})::DOUBLE * least(a_confidence, b_confidence) / 0.9::DOUBLE, 2) AS confidence,
+  CASE WHEN family_only THEN 'family' ELSE 'exact' END AS match_basis, NOT same_document AS cross_document, sha256('rel|' || a_id || '|' || b_id) AS id"""
 
 
 def _odd(q: str) -> str:
     return f"(contains(',' || a_qualifier_list || ',', ',{q},') <> contains(',' || b_qualifier_list || ',', ',{q},'))"
 
 
-_SCALES = " ".join(f"WHEN '{w}' THEN {f:.0f}" for w, f in V.ROUNDING_SCALES.items())
+_SCALES = """WHEN 'crore' THEN 1e7 WHEN 'crores' THEN 1e7 WHEN 'cr' THEN 1e7 WHEN 'lakh' THEN 1e5 WHEN 'lakhs' THEN 1e5 WHEN 'million' THEN 1e6 WHEN 'millions' THEN 1e6
+  WHEN 'mn' THEN 1e6 WHEN 'm' THEN 1e6 WHEN 'billion' THEN 1e9 WHEN 'billions' THEN 1e9 WHEN 'bn' THEN 1e9 WHEN 'b' THEN 1e9 WHEN 'trillion' THEN 1e12 WHEN 'tn' THEN 1e12
+  WHEN 'k' THEN 1e3 WHEN 'thousand' THEN 1e3"""
 _FIGURE = r"(\d[\d,]*)(?:\.(\d+))?\s*([A-Za-z]+)?"
 
 
@@ -43,8 +57,7 @@ def rounding(raw: str) -> str:
 
 
 def _words(text: str) -> str:
-    stop = ", ".join(f"'{w}'" for w in V.SIMILARITY_STOP)
-    return f"list_filter(list_distinct(regexp_extract_all(lower({text}), '[a-z0-9]{{2,}}')), lambda w: w NOT IN ({stop}))"
+    return f"list_filter(list_distinct(regexp_extract_all(lower({text}), '[a-z0-9]{{2,}}')), lambda w: w NOT IN ('the', 'and', 'of', 'at', 'in', 'on'))"
 
 
 def token_similarity(a: str, b: str) -> str:
@@ -60,7 +73,7 @@ _GROUP = "relationship_type, metric_canonical, a_period, entity_canonical, least
 _NARROW = "('standalone', 'segment', 'industry')"
 FACTS = f"WITH {FACTS_SQL}"
 PAIRS = f"""{FACTS},
-elig AS (SELECT *, coalesce(nullif(predicate_family, ''), metric_canonical) AS fam FROM facts WHERE confidence >= {V.MATCH_THRESHOLD} AND (period <> 'unknown' OR starts_with(metric_canonical, 'attr.'))),
+elig AS (SELECT *, coalesce(nullif(predicate_family, ''), metric_canonical) AS fam FROM facts WHERE confidence >= 0.6 AND (period <> 'unknown' OR starts_with(metric_canonical, 'attr.'))),
 pairs AS (SELECT {', '.join(f'a.{c} AS a_{c}, b.{c} AS b_{c}' for c in _COLUMNS)}, a.document_name AS a_document_name, b.document_name AS b_document_name
   FROM elig a JOIN elig b ON a.entity_canonical = b.entity_canonical AND a.fam = b.fam AND a.normalized_unit = b.normalized_unit AND a.fact_seq < b.fact_seq)"""
 JUDGED = f"""{PAIRS},
@@ -83,14 +96,14 @@ texts AS (SELECT *, starts_with(a_metric_canonical, 'attr.') AS attribute, a_tex
     WHEN left(a_text, 3) = left(b_text, 3) THEN (length(a_text) - 1)::DOUBLE / length(a_text) ELSE (length(a_text) - 3)::DOUBLE / length(a_text) END AS similarity
   FROM dated WHERE a_numeric_value IS NULL OR b_numeric_value IS NULL),
 alike AS (SELECT *, equal_text OR (NOT identifiers AND similarity >= 0.6) AS same_text FROM texts),
-judged_numbers AS (SELECT *, {_verdicts(NUMBERS)}, round_even(delta_pct, 2) AS delta_percentage, round_even(delta, 4) AS delta_absolute FROM numbers),
-judged_texts AS (SELECT *, {_verdicts(TEXTS)}, NULL::DOUBLE AS delta_percentage, NULL::DOUBLE AS delta_absolute FROM alike),
-rels AS (SELECT id, a_id, b_id, a_document_id, b_document_id, relationship_type, divergence_factor, confidence, match_basis, cross_document, delta_percentage, delta_absolute, a_entity_canonical AS entity_canonical, a_metric_canonical AS metric_canonical FROM judged_numbers
+judged_numbers AS (SELECT *, {_verdicts(_NUMBER_VERDICT, _NUMBER_FACTOR, _NUMBER_CONFIDENCE)}, round_even(delta_pct, 2) AS delta_percentage, round_even(delta, 4) AS delta_absolute FROM numbers),
+judged_texts AS (SELECT *, {_verdicts(_TEXT_VERDICT, _TEXT_FACTOR, _TEXT_CONFIDENCE)}, NULL::DOUBLE AS delta_percentage, NULL::DOUBLE AS delta_absolute FROM alike),
+rels AS MATERIALIZED (SELECT id, a_id, b_id, a_document_id, b_document_id, relationship_type, divergence_factor, confidence, match_basis, cross_document, delta_percentage, delta_absolute, a_entity_canonical AS entity_canonical, a_metric_canonical AS metric_canonical FROM judged_numbers
   UNION ALL SELECT id, a_id, b_id, a_document_id, b_document_id, relationship_type, divergence_factor, confidence, match_basis, cross_document, delta_percentage, delta_absolute, a_entity_canonical, a_metric_canonical FROM judged_texts),
-enriched AS (SELECT r.*, {', '.join(f'{s}.{c} AS {s}_{c}' for s in 'ab' for c in ('fact_seq', 'document_name', 'entity', 'metric', 'period', 'period_raw', 'raw_value', 'normalized_unit'))}, a.confidence AS a_confidence, b.confidence AS b_confidence
+enriched AS (SELECT r.*, {', '.join(f'{s}.{c} AS {s}_{c}' for s in 'ab' for c in ('fact_seq', 'document_name', 'entity', 'metric', 'period', 'period_raw', 'raw_value', 'normalized_unit', 'exact_quote'))}, a.confidence AS a_confidence, b.confidence AS b_confidence
   FROM rels r JOIN facts a ON a.id = r.a_id JOIN facts b ON b.id = r.b_id),
 scored AS (SELECT *, CASE WHEN relationship_type = 'CONTRADICTION' AND cross_document THEN 100 WHEN relationship_type = 'CONTRADICTION' THEN 55 WHEN relationship_type = 'INSUFFICIENT_EVIDENCE' AND cross_document THEN 45 WHEN relationship_type = 'INSUFFICIENT_EVIDENCE' THEN 35 END AS base FROM enriched),
 severe AS (SELECT *, round_even(base::DOUBLE * confidence + CASE WHEN delta_percentage IS NOT NULL THEN least(25.0::DOUBLE, delta_percentage / 4) WHEN a_normalized_unit = 'TEXT' THEN 12 ELSE 0 END, 1) AS severity FROM scored WHERE base IS NOT NULL),
 grouped AS (SELECT *, count(*) OVER (PARTITION BY {_GROUP}) - 1 AS also, row_number() OVER (PARTITION BY {_GROUP} ORDER BY severity DESC, a_fact_seq, b_fact_seq) AS rank_ FROM severe),
 queue AS (SELECT * FROM grouped WHERE rank_ = 1),
-linked AS (SELECT DISTINCT unnest([a_id, b_id]) AS id FROM rels)"""
+linked AS MATERIALIZED (SELECT DISTINCT unnest([a_id, b_id]) AS id FROM rels)"""

@@ -143,14 +143,14 @@ def enrich_cross_document(spark, sf):
     return views.enrich(rels, facts).groupBy("cross_document").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("a_fact_seq") % 1000 + F.col("b_fact_seq") % 1000).alias("check_sum"))
 
 
-@query(f"{oracle.JUDGED} SELECT f.id, f.document_id FROM facts f JOIN linked USING (id)")
+@query(f"{oracle.JUDGED} SELECT f.id, f.document_id FROM facts f SEMI JOIN linked l ON f.id = l.id")
 def linked_facts(spark, sf):
     """J7."""
     facts, rels = _rels(spark, sf)
     return facts.join(views.linked_ids(rels), "id", "left_semi").select("id", "document_id")
 
 
-@query(f"{oracle.JUDGED} SELECT id, document_id FROM facts WHERE confidence >= 0.6 AND id NOT IN (SELECT id FROM linked)")
+@query(f"{oracle.JUDGED} SELECT f.id, f.document_id FROM facts f ANTI JOIN linked l ON f.id = l.id WHERE f.confidence >= 0.6")
 def unconfirmed_facts(spark, sf):
     """J7."""
     facts, rels = _rels(spark, sf)
@@ -160,11 +160,11 @@ def unconfirmed_facts(spark, sf):
 @query(f"{oracle.JUDGED} SELECT id, relationship_type FROM rels WHERE a_document_id <> 'd3' AND b_document_id <> 'd3'")
 def cascade_delete(spark, sf):
     """A deleted document takes its facts and their relationships along."""
+    from factweave.sources.tables import delete_documents
+
     facts, rels = _rels(spark, sf)
-    gone = facts.where("document_id = 'd3'").select("id")
-    for side in ("a_id", "b_id"):
-        rels = rels.join(gone.withColumnRenamed("id", side), side, "left_anti")
-    return rels.select("id", "relationship_type")
+    gone = facts.where("document_id = 'd3'").select("document_id").distinct()
+    return delete_documents(facts, rels, gone)[1].select("id", "relationship_type")
 
 
 @query(f"{oracle.FACTS} SELECT document_name, count(*) AS facts, min(id) AS first_id FROM (SELECT document_name, id FROM facts WHERE document_name <> 'deck.pdf' UNION ALL SELECT 'deck.pdf', 'new-' || id FROM facts WHERE document_id = 'd2') GROUP BY ALL")
@@ -197,7 +197,7 @@ def facts_search(spark, sf):
 @query(f"{oracle.FACTS} SELECT id, metric, raw_value, period FROM facts WHERE id = 'f1-31997'")
 def fact_lookup(spark, sf):
     """R5."""
-    return _facts(spark, sf).where("id = 'f1-31997'").select("id", "metric", "raw_value", "period")
+    return views.fact_lookup(_facts(spark, sf), "f1-31997").select("id", "metric", "raw_value", "period")
 
 
 @query(f"{oracle.JUDGED} SELECT id, confidence FROM enriched WHERE relationship_type = 'CONTRADICTION' AND cross_document AND contains(metric_canonical, 'revenue')")
@@ -271,7 +271,7 @@ def document_health(spark, sf):
 @query(f"""{oracle.JUDGED} SELECT * FROM (SELECT count(*) AS needs_attention, CAST(count_if(relationship_type = 'CONTRADICTION') AS BIGINT) AS conflicts, CAST(count_if(relationship_type = 'INSUFFICIENT_EVIDENCE' AND cross_document) AS BIGINT) AS review_cross,
 CAST(count_if(relationship_type = 'INSUFFICIENT_EVIDENCE' AND NOT cross_document) AS BIGINT) AS review_intra FROM queue), (SELECT count(DISTINCT document_id) AS documents, count(*) AS facts, CAST(count_if(confidence >= 0.6) AS BIGINT) AS matchable FROM facts),
 (SELECT count(DISTINCT u) AS agreements FROM (SELECT unnest([a_id, b_id]) AS u FROM rels WHERE relationship_type = 'CORROBORATED')), (SELECT count(*) AS agreement_pairs FROM rels WHERE relationship_type = 'CORROBORATED'),
-(SELECT count(*) AS unconfirmed FROM facts WHERE confidence >= 0.6 AND id NOT IN (SELECT id FROM linked))""")
+(SELECT count(*) AS unconfirmed FROM facts f ANTI JOIN linked l ON f.id = l.id WHERE f.confidence >= 0.6)""")
 def insights_headline(spark, sf):
     """R12."""
     facts, rels = _rels(spark, sf)
@@ -320,7 +320,7 @@ def status_counts(spark, sf):
     return facts.agg(F.count_distinct("document_id").alias("documents"), F.count(F.lit(1)).alias("facts")).join(rels.agg(F.count(F.lit(1)).alias("relationships")))
 
 
-@query(f"{oracle.FACTS} SELECT id, metric FROM facts ORDER BY CAST(starts_with(metric_canonical, 'attr.') AS INT), confidence DESC, metric, period, fact_seq LIMIT 60")
+@query(f"{oracle.FACTS} SELECT id, metric FROM facts ORDER BY CAST(starts_with(metric_canonical, 'attr.') AS INT), confidence DESC, metric_canonical, period, fact_seq LIMIT 60")
 def ui_fact_sort(spark, sf):
     """U1."""
     return views.fact_list(_facts(spark, sf)).select("id", "metric")
@@ -329,7 +329,7 @@ def ui_fact_sort(spark, sf):
 @query(f"{oracle.FACTS} SELECT DISTINCT document_id, extraction_method, metric_canonical FROM facts")
 def ui_facets(spark, sf):
     """U2."""
-    return _facts(spark, sf).select("document_id", "extraction_method", "metric_canonical").distinct()
+    return views.facets(_facts(spark, sf))
 
 
 @query(f"{oracle.JUDGED} SELECT id, relationship_type FROM rels WHERE least(a_document_id, b_document_id) = 'd1' AND greatest(a_document_id, b_document_id) = 'd2'")
@@ -338,8 +338,58 @@ def ui_pair_filter(spark, sf):
     return views.pair_filter(_rels(spark, sf)[1], "d2", "d1").select("id", "relationship_type")
 
 
-@query(f"""{oracle.JUDGED} SELECT chip, count(*) AS n FROM (SELECT unnest(['ALL', relationship_type, CASE WHEN relationship_type IN ('CORROBORATED', 'CONTEXTUALLY_EXPLAINED') THEN 'RECONCILED' END,
-CASE WHEN relationship_type = 'INSUFFICIENT_EVIDENCE' THEN 'NOT_COMPARABLE' END, CASE WHEN cross_document THEN 'CROSS' ELSE 'INTRA' END]) AS chip FROM rels) WHERE chip IS NOT NULL GROUP BY ALL""")
+_SHOWN = "lower(coalesce(metric, '') || ' ' || coalesce(metric_canonical, '') || ' ' || coalesce(entity, '') || ' ' || coalesce(raw_value, '') || ' ' || coalesce(exact_quote, ''))"
+
+
+@query(f"{oracle.FACTS} SELECT id, confidence FROM facts WHERE document_name = 'deck.pdf' AND extraction_method = 'rule_sentence' AND confidence >= 0.6 AND contains({_SHOWN}, 'nation_3 1')")
+def ui_fact_search(spark, sf):
+    """By document, method and threshold, and a text that runs over several columns; all rows."""
+    return views.fact_list(_facts(spark, sf), "deck.pdf", "rule_sentence", True, "Nation_3 1", top=None).select("id", "confidence")
+
+
+_BOTH = "lower(coalesce(a_raw_value, '') || ' ' || coalesce(b_raw_value, '') || ' ' || coalesce(a_entity, '') || ' ' || coalesce(metric_canonical, '') || ' ' || coalesce(a_exact_quote, '') || ' ' || coalesce(b_exact_quote, ''))"
+
+
+@query(f"""{oracle.JUDGED} SELECT id, 'reconciled' AS list FROM enriched WHERE relationship_type = 'CONTEXTUALLY_EXPLAINED' AND divergence_factor <> 'DIFFERENT_PERIODS' AND cross_document AND metric_canonical = 'financial.revenue'
+UNION ALL SELECT id, 'periods' FROM enriched WHERE relationship_type = 'CONTEXTUALLY_EXPLAINED' AND divergence_factor = 'DIFFERENT_PERIODS' AND contains({_BOTH}, 'nation_7 financial.revenue')
+UNION ALL SELECT id, 'conflicts' FROM enriched WHERE relationship_type = 'CONTRADICTION' AND NOT cross_document
+UNION ALL SELECT id, 'pair' FROM enriched WHERE least(a_document_id, b_document_id) = 'd1' AND greatest(a_document_id, b_document_id) = 'd3'""")
+def ui_relationship_list(spark, sf):
+    """By verdict chip, scope, metric, search and pair."""
+    facts, rels = _rels(spark, sf)
+    rows = views.enrich(rels, facts)
+    lists = {
+        "reconciled": views.relationship_list(rows, "RECONCILED", "cross", "financial.revenue"), "periods": views.relationship_list(rows, "NOT_COMPARABLE", q="Nation_7 financial.revenue"),
+        "conflicts": views.relationship_list(rows, "CONTRADICTION", "intra"), "pair": views.relationship_list(rows, pair=("d3", "d1")),
+    }
+    out = None
+    for name, found in lists.items():
+        own = found.select("id", F.lit(name).alias("list"))
+        out = own if out is None else out.union(own)
+    return out
+
+
+@query(f"""{oracle.JUDGED} SELECT DISTINCT relationship_type, divergence_factor,
+CASE relationship_type WHEN 'CORROBORATED' THEN 'Corroborated' WHEN 'CONTRADICTION' THEN 'Contradiction' WHEN 'CONTEXTUALLY_EXPLAINED' THEN 'Explained by context' WHEN 'INSUFFICIENT_EVIDENCE' THEN 'Needs review' END AS verdict,
+CASE divergence_factor WHEN 'DIFFERENT_PERIODS' THEN 'different periods' WHEN 'SCOPE_OR_BASIS' THEN 'scope or accounting basis' WHEN 'DATA_VINTAGE' THEN 'estimate against a reported figure' WHEN 'PARTIAL_PERIOD' THEN 'partial period'
+WHEN 'STATUS_CHANGED_OVER_TIME' THEN 'status changed over time' WHEN 'VALUE_CONFLICT' THEN 'values differ' WHEN 'ATTRIBUTE_CONFLICT' THEN 'attribute differs' WHEN 'STATUS_CONFLICT' THEN 'status differs' WHEN 'PARTIAL_TEXT_MATCH' THEN 'partial text match'
+WHEN 'SAME_LABEL_DIFFERENT_SUBJECTS' THEN 'same label, probably different subjects' WHEN 'IDENTIFIER_REVISED' THEN 'identifier revised' WHEN 'EXCLUSIONS_DIFFER' THEN 'different exclusions' WHEN 'DIFFERENT_DEFINITION' THEN 'defined differently'
+WHEN 'FAMILY_MATCH_ONLY' THEN 'related labels, not the same measurement' ELSE lower(replace(divergence_factor, '_', ' ')) END AS factor FROM rels""")
+def ui_labels(spark, sf):
+    """What verdicts and factors are called."""
+    rels = _rels(spark, sf)[1]
+    return rels.select("relationship_type", "divergence_factor").distinct().select("*", views.verdict_label(F.col("relationship_type")).alias("verdict"), views.factor_label(F.col("divergence_factor")).alias("factor"))
+
+
+@query("SELECT p_partkey, 'annual report ' || p_partkey || ' ' || replace(p_name, '-', ' ') AS name FROM part")
+def ui_short_names(spark, sf):
+    """Files without number, dashes and ending."""
+    name = F.expr("lpad(cast(p_partkey as string), 3, '0') || '-annual-report-' || p_partkey || '-' || p_name || CASE WHEN p_partkey % 2 = 0 THEN '.PDF' ELSE '.pdf' END")
+    return _table(spark, sf, "part").select("p_partkey", views.short_name(name).alias("name"))
+
+
+@query(f"""{oracle.JUDGED} SELECT chip, count(*) AS n FROM (SELECT unnest(['ALL', CASE WHEN relationship_type <> 'CONTEXTUALLY_EXPLAINED' THEN relationship_type END,
+CASE WHEN relationship_type = 'CONTEXTUALLY_EXPLAINED' AND divergence_factor <> 'DIFFERENT_PERIODS' THEN 'RECONCILED' WHEN relationship_type = 'CONTEXTUALLY_EXPLAINED' THEN 'NOT_COMPARABLE' END, CASE WHEN cross_document THEN 'CROSS' ELSE 'INTRA' END]) AS chip FROM rels) WHERE chip IS NOT NULL GROUP BY ALL""")
 def ui_chip_counts(spark, sf):
     """U4, U10."""
     return views.chip_counts(_rels(spark, sf)[1])

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from factweave.functions import vocabulary as V
 from factweave.operators.reasoning import AGREE, CONFLICT, EXPLAINED, REVIEW
 
 #: What a view shows of each side of a relationship.
-SHOWN = ("fact_seq", "document_name", "entity", "metric", "period", "period_raw", "raw_value", "confidence", "normalized_unit")
+SHOWN = ("fact_seq", "document_name", "entity", "metric", "period", "period_raw", "raw_value", "confidence", "normalized_unit", "exact_quote")
 # Scores of the review queue and the order of explained cases.
 QUEUE_SCORES = ((CONFLICT, True, 100.0), (CONFLICT, False, 55.0), (REVIEW, True, 45.0), (REVIEW, False, 35.0))
 EXPLAINED_CASES = ("IDENTIFIER_REVISED", "SCOPE_OR_BASIS", "STATUS_CHANGED_OVER_TIME", "DATA_VINTAGE", "PARTIAL_PERIOD", "DIFFERENT_PERIODS")
@@ -181,16 +185,97 @@ def evaluation(facts: DataFrame, rels: DataFrame) -> DataFrame:
 # What a user interface asks of the same tables
 
 
-def fact_list(facts: DataFrame, top: int = 60) -> DataFrame:
-    """Attributes last, surest first."""
-    return facts.orderBy(F.col("metric_canonical").startswith("attr."), F.desc("confidence"), "metric", "period", "fact_seq").limit(top)
+# What verdicts and divergence factors are called on screen.
+VERDICT_LABELS = {
+    "CORROBORATED": "Corroborated", "CONTRADICTION": "Contradiction", "CONTEXTUALLY_EXPLAINED": "Explained by context", "INSUFFICIENT_EVIDENCE": "Needs review",
+    "NO_MATCH": "No match",
+}
+FACTOR_LABELS = {
+    "DIFFERENT_PERIODS": "different periods", "SCOPE_OR_BASIS": "scope or accounting basis", "DATA_VINTAGE": "estimate against a reported figure",
+    "PARTIAL_PERIOD": "partial period", "STATUS_CHANGED_OVER_TIME": "status changed over time", "VALUE_CONFLICT": "values differ",
+    "COMPETING_ESTIMATES": "competing estimates", "ATTRIBUTE_CONFLICT": "attribute differs", "STATUS_CONFLICT": "status differs",
+    "PARTIAL_TEXT_MATCH": "partial text match", "SAME_LABEL_DIFFERENT_SUBJECTS": "same label, probably different subjects",
+    "IDENTIFIER_REVISED": "identifier revised", "EXCLUSIONS_DIFFER": "different exclusions", "DIFFERENT_DEFINITION": "defined differently",
+    "FAMILY_MATCH_ONLY": "related labels, not the same measurement",
+}
+
+
+def _labelled(code: Column, labels: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), code)
+
+
+def verdict_label(code: Column) -> Column:
+    return _labelled(code, VERDICT_LABELS)
+
+
+def factor_label(code: Column) -> Column:
+    """What a factor is called; one without a name is its code in small words."""
+    return F.coalesce(_labelled(code, FACTOR_LABELS), F.lower(F.replace(code, F.lit("_"), F.lit(" "))))
+
+
+def short_name(name: Column) -> Column:
+    """A file's name without its ending, the number in front, and dashes."""
+    return F.replace(F.regexp_replace(F.regexp_replace(name, r"(?i)\.pdf$", ""), r"^\d+-", ""), F.lit("-"), F.lit(" "))
+
+
+def fact_list(facts: DataFrame, document: str | None = None, method: str | None = None, matched: bool = False, q: str | None = None, top: int | None = 60) -> DataFrame:
+    """Facts of a document and a method, matchable ones if asked, with a text anywhere in what a row shows; attributes last,
+    surest first."""
+    if document:
+        facts = facts.where(F.col("document_name") == document)
+    if method:
+        facts = facts.where(F.col("extraction_method") == method)
+    if matched:
+        facts = facts.where(matchable())
+    if q:
+        shown = F.array_join(F.array(*[F.coalesce(c, F.lit("")) for c in ("metric", "metric_canonical", "entity", "raw_value", "exact_quote")]), " ")
+        facts = facts.where(F.lower(shown).contains(q.lower()))
+    rows = facts.orderBy(F.col("metric_canonical").startswith("attr."), F.desc("confidence"), "metric_canonical", "period", "fact_seq")
+    return rows if top is None else rows.limit(top)
+
+
+def disagrees() -> Column:
+    """Whether the figures of a pair differ for the same period, with or without a reason."""
+    return (F.col("relationship_type") == CONFLICT) | ((F.col("relationship_type") == EXPLAINED) & ~F.col("divergence_factor").eqNullSafe(F.lit("DIFFERENT_PERIODS")))
+
+
+def relationship_list(enriched: DataFrame, kind: str = "ALL", scope: str = "all", metric: str | None = None, pair: tuple[str, str] | None = None, q: str | None = None) -> DataFrame:
+    """Relationships under a chip (a verdict, RECONCILED, NOT_COMPARABLE or ALL), across or within documents, of one metric, of
+    two documents, and with a text anywhere in what a row shows. enriched: with quotes a_exact_quote and b_exact_quote."""
+    rows = enriched if pair is None else pair_filter(enriched, *pair)
+    if kind == "RECONCILED":
+        rows = rows.where((F.col("relationship_type") == EXPLAINED) & disagrees())
+    elif kind == "NOT_COMPARABLE":
+        rows = rows.where((F.col("relationship_type") == EXPLAINED) & ~disagrees())
+    elif kind != "ALL":
+        rows = rows.where(F.col("relationship_type") == kind)
+    if scope in ("cross", "intra"):
+        rows = rows.where(F.col("cross_document") == F.lit(scope == "cross"))
+    if metric:
+        rows = rows.where(F.col("metric_canonical") == metric)
+    if q:
+        shown = F.array_join(F.array(*[F.coalesce(c, F.lit("")) for c in ("a_raw_value", "b_raw_value", "a_entity", "metric_canonical", "a_exact_quote", "b_exact_quote")]), " ")
+        rows = rows.where(F.lower(shown).contains(q.lower()))
+    return rows
+
+
+def facets(facts: DataFrame) -> DataFrame:
+    """The choices that a list of facts offers: documents, methods and metrics that occur together."""
+    return facts.select("document_id", "extraction_method", "metric_canonical").distinct()
+
+
+def fact_lookup(facts: DataFrame, fact_id: str) -> DataFrame:
+    """The fact with an id; no row if there is none."""
+    return facts.where(F.col("id") == fact_id)
 
 
 def chip_counts(rels: DataFrame) -> DataFrame:
-    """How many relationships each filter chip would leave; a relationship may be under several."""
+    """How many relationships each filter chip would leave; a relationship may be under several. What context explains is
+    under RECONCILED if its figures disagree for the same period, else under NOT_COMPARABLE."""
+    explained = F.col("relationship_type") == EXPLAINED
     chips = F.array(
-        F.lit("ALL"), F.col("relationship_type"), F.when(F.col("relationship_type").isin(AGREE, EXPLAINED), "RECONCILED"),
-        F.when(F.col("relationship_type") == REVIEW, "NOT_COMPARABLE"), F.when(F.col("cross_document"), "CROSS").otherwise("INTRA"),
+        F.lit("ALL"), F.when(~explained, F.col("relationship_type")), F.when(explained, F.when(disagrees(), "RECONCILED").otherwise("NOT_COMPARABLE")),
+        F.when(F.col("cross_document"), "CROSS").otherwise("INTRA"),
     )
     return rels.select(F.explode(F.array_compact(chips)).alias("chip")).groupBy("chip").agg(F.count(F.lit(1)).alias("n"))
 
@@ -227,15 +312,64 @@ def bars(counts: DataFrame, value: str) -> DataFrame:
 def locate(quote: Column, page: Column, stored: Column) -> Column:
     """Where a quote is on a page: the stored place, else where it or its first six words are found, else null."""
     words = F.array_join(F.slice(F.split(quote, r"\s+"), 1, 6), " ")
-    return F.coalesce(F.when(F.substring(page, stored + 1, F.char_length(quote)) == quote, stored), F.nullif(F.position(quote, page), F.lit(0)) - 1, F.nullif(F.position(words, page), F.lit(0)) - 1)
+    there = (stored >= 0) & (F.substring(page, stored + 1, F.char_length(quote)) == quote)
+    return F.coalesce(F.when(there, stored), F.nullif(F.position(quote, page), F.lit(0)) - 1, F.nullif(F.position(words, page), F.lit(0)) - 1)
+
+
+#: Characters of all quotes together up to which they are looked for in one pass, with an automaton in every task.
+AUTOMATON = 1 << 20
 
 
 def quoted(docs: DataFrame, quotes: DataFrame) -> DataFrame:
-    """(doc_id, item_id, at) of every quote that a document contains. docs: doc_id, text; quotes: item_id, quote.
+    """(doc_id, item_id, at) of every quote that a document contains, at its first place. docs: doc_id, text; quotes: item_id, quote.
 
-    A quote's inner words are whole words of the document wherever the passage stands, so it meets only documents that
-    hold its second to fourth word; one without three inner words meets all documents.
+    Quotes of up to AUTOMATON characters in all, a stated query set, meet every document in one pass over its text; more of
+    them are joined by words. Both give the same rows. Null texts and null quotes give none.
     """
+    quotes = quotes.select("item_id", "quote").where("quote is not null")
+    size = quotes.agg(F.coalesce(F.sum(F.char_length("quote") + 1), F.lit(0)).alias("n")).first().n
+    return _by_automaton(docs, quotes) if size <= AUTOMATON else _by_words(docs, quotes)
+
+
+def _by_automaton(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    known = quotes.collect()  # at most AUTOMATON characters
+    by: dict[str, list] = {}
+    for r in known:
+        by.setdefault(r.quote, []).append(r.item_id)
+    empty = by.pop("", [])
+    kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(quotes.dtypes)['item_id']}, at int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for quote in by:
+            machine.add_word(quote, quote)
+        machine.make_automaton()
+        for batch in batches:
+            rows, items, places = [], [], []
+            for i, text in enumerate(batch.column(1)):
+                value = text.as_py()
+                if value is None:
+                    continue
+                first: dict[str, int] = {"": 0} if empty else {}
+                for end, quote in machine.iter(value) if by else ():
+                    first.setdefault(quote, end - len(quote) + 1)
+                for quote, at in first.items():
+                    for item in by.get(quote, empty):
+                        rows.append(i)
+                        items.append(item)
+                        places.append(at)
+            ids = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(items, item_type), pa.array(places, pa.int32())], ["doc_id", "item_id", "at"])
+
+    item_type = to_arrow_type(quotes.schema["item_id"].dataType)
+    return docs.select("doc_id", "text").mapInArrow(run, kinds)
+
+
+def _by_words(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """A quote's inner words are whole words of the document wherever the passage stands, so it meets only documents that
+    hold its second to fourth word; one without three inner words meets all documents."""
     words = F.split("text", r"\s+")
     triple = F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
     triples = docs.select("doc_id", words.alias("words")).where(F.size("words") >= 3).select("doc_id", F.explode(F.array_distinct(triple)).alias("key"))

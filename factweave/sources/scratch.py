@@ -34,15 +34,25 @@ def path(spark: SparkSession, name: str) -> str:
     return own
 
 
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple[str, str, str, str], DataFrame] = {}
+
+
+def state(spark: SparkSession, source: str) -> str:
+    """Names, sizes and times of the files of a source's tables: another text once a table is written anew."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(source)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s for depth in ("*", "*/*") for s in fs.globStatus(hadoop.Path(top, depth)) or []]
+    return " ".join(sorted(f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}" for s in found))
 
 
 def kept(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table that make() gives for a source, written once in an application and read from then on.
+    """The table that make() gives for a source, written once in an application and read from then on, as long as the
+    source's files are the same.
 
     Facts and relationships are stored tables of the engine: views read them and do not derive them again.
     """
-    key = (spark.sparkContext.applicationId, name, source)
+    key = (spark.sparkContext.applicationId, name, source, state(spark, source))
     if key not in _kept:
         df, own = make(), path(spark, name)
         df.write.parquet(own)

@@ -16,27 +16,67 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema.PAGE_BLOCKS).parquet(path)
 
 
-def read_files(spark: SparkSession, path: str, decode: Callable[[bytes, str], list[dict]], suffix: str = ".pdf") -> DataFrame:
-    """Page blocks of binary files below path by a decoder (bytes, name) -> rows of PAGE_BLOCKS without document_id.
+Decoder = Callable[[bytes, str], list[dict]]
+_INFO = "document_id string, decoder int, pdf_title string, pdf_author string, error_message string"
 
-    No PDF library is assumed: the decoder is given. A file that it fails on gives one block of type -1 with the error's text.
-    """
+
+def _decoded(content: bytes, name: str, decoders: list[Decoder]) -> tuple[int, list[dict], str | None]:
+    """(which decoder, its rows, None), or (-1, [], the last error's text) if all of them fail."""
+    error = "no decoder"
+    for i, decode in enumerate(decoders):
+        try:
+            return i, list(decode(content, name)), None
+        except Exception as failure:
+            error = str(failure)
+    return -1, [], error
+
+
+def _info(rows: list[dict], key: str) -> str | None:
+    """What the file tells of itself: the first text for the key that is not blank."""
+    return next((r[key].strip() for r in rows if isinstance(r.get(key), str) and r[key].strip()), None)
+
+
+def _files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+
+
+def read_files(spark: SparkSession, path: str, *decoders: Decoder, suffix: str = ".pdf") -> DataFrame:
+    """Page blocks of binary files below path by decoders (bytes, name) -> rows of PAGE_BLOCKS without document_id.
+
+    No PDF library is assumed: the decoders are given, and each is tried where those before it fail. A file that all of them
+    fail on gives one block of type -1 with the last error's text.
+    """
     columns = schema.PAGE_BLOCKS.fieldNames()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for name, content in zip(pdf.name, pdf.content, strict=True):
-                try:
-                    found = decode(bytes(content), name)
-                except Exception as failure:
-                    found = [{"page_number": 0, "block_ix": 0, "block_type": -1, "text": str(failure)}]
+                _, found, error = _decoded(bytes(content), name, list(decoders))
+                found = [r for r in found if "text" in r] if error is None else [{"page_number": 0, "block_ix": 0, "block_type": -1, "text": error}]
                 rows += [{"document_id": name} | r for r in found]
             yield pd.DataFrame([[r.get(c) for c in columns] for r in rows], columns=columns)
 
-    name = F.element_at(F.split("path", "/"), -1).alias("name")
-    return files.select(name, "content").mapInPandas(run, schema.PAGE_BLOCKS)
+    return _files(spark, path, suffix).mapInPandas(run, schema.PAGE_BLOCKS)
+
+
+def read_info(spark: SparkSession, path: str, *decoders: Decoder, suffix: str = ".pdf") -> DataFrame:
+    """document_id, decoder (-1: all failed), pdf_title, pdf_author and error_message of each file below path.
+
+    A decoder tells title and author in any of its rows (keys title and author); such a row need have no text.
+    """
+    columns = [c.split()[0] for c in _INFO.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name, content in zip(pdf.name, pdf.content, strict=True):
+                which, found, error = _decoded(bytes(content), name, list(decoders))
+                rows.append((name, which, _info(found, "title"), _info(found, "author"), error))
+            yield pd.DataFrame(rows, columns=columns)
+
+    return _files(spark, path, suffix).mapInPandas(run, _INFO)
 
 
 def file_info(spark: SparkSession, path: str, suffix: str = ".pdf") -> DataFrame:
