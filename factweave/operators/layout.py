@@ -8,10 +8,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+from types import SimpleNamespace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from factweave.functions import numbers, periods
 from factweave.operators import sentences as S
@@ -27,6 +32,8 @@ _VALUE_REST = frozenset(("", "+", "tons", "tonnes", "yoy", "cr", "mn", "k", "bn"
 _RUPEE = r"(?i)\bI\s(?=[\d,]+(?:\.\d+)?\s*(?:million|billion|crore|lakh|mn|bn|cr)\b)"
 #: A block wider than this share of its page spans both columns; labels start and stand at most so far from their value.
 WIDE, SHIFT, ABOVE, BELOW, UNDER_COST = 0.6, 40.0, -6.0, 28.0, 10.0
+#: Characters of a label at most; longer blocks are neither values, labels nor hints.
+LONGEST = 140
 
 
 def text_blocks(blocks: DataFrame) -> DataFrame:
@@ -91,7 +98,7 @@ def sentence_spans(text: pd.Series) -> pd.Series:
 def is_label(text: str) -> bool:
     """Short prose with a real word, and not a row of numbers."""
     t = text.replace("\n", " ").strip()
-    if len(t) > 140 or len(re.findall(r"\d[\d,]*\.?\d*", t)) > 3:
+    if len(t) > LONGEST or len(re.findall(r"\d[\d,]*\.?\d*", t)) > 3:
         return False
     words = [w.lower().strip(".,:;()") for w in re.findall(r"[A-Za-z][A-Za-z\-/.]+", t)]
     return any(len(w) >= 4 for w in words if w not in _LABEL_STOP)
@@ -158,14 +165,25 @@ def _joined(text: str) -> str:
 
 
 def tiles_and_hints(blocks: DataFrame) -> DataFrame:
-    """document_id, page_number, tiles and period_hint of each page; a page is one group, and so is small."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = list(pdf.sort_values("block_ix").itertuples())
-        tiles = [{"value_text": _joined(v.text), "label_text": _joined(c.text), "bbox": [float(round(x)) for x in (v.x0, v.y0, v.x1, v.y1)], "start": 0, "end": 0} for v, c in pair_tiles(own)]
-        return pd.DataFrame({"document_id": [pdf.document_id.iloc[0]], "page_number": [pdf.page_number.iloc[0]], "tiles": [tiles], "period_hint": [period_hint([b.text for b in own])]})
-
-    rows = text_blocks(blocks).select("document_id", "page_number", "block_ix", "x0", "y0", "x1", "y1", "text")
-    return rows.groupBy("document_id", "page_number").applyInPandas(run, f"document_id string, page_number int, tiles array<{TILE}>, period_hint string")
+    """document_id, page_number, tiles and period_hint of each page. A page is one row with its blocks, so many pages pass
+    through Python at a time; only blocks that may be a value, a label or a hint are in it."""
+    names = ("block_ix", "x0", "y0", "x1", "y1", "text")
+    short = F.char_length(F.trim("text")) <= LONGEST
+    kept = F.array_sort(F.collect_list(F.when(short, F.struct(*names))))
+    rows = text_blocks(blocks).groupBy("document_id", "page_number").agg(kept.alias("blocks"))
+    shape = to_arrow_schema(T.StructType([T.StructField("tiles", column_type(f"array<{TILE}>")), T.StructField("period_hint", T.StringType())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tiles, hints = [], []
+            for found in batch.column(2).to_pylist():
+                own = [SimpleNamespace(**b) for b in found]
+                pairs = pair_tiles(own)
+                tiles.append([{"value_text": _joined(v.text), "label_text": _joined(c.text), "bbox": [float(round(x)) for x in (v.x0, v.y0, v.x1, v.y1)], "start": 0, "end": 0} for v, c in pairs])
+                hints.append(period_hint([b.text for b in own]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tiles, shape.field(0).type), pa.array(hints, pa.string())], ["document_id", "page_number", "tiles", "period_hint"])
+
+    return rows.mapInArrow(run, f"document_id string, page_number int, tiles array<{TILE}>, period_hint string")
 
 
 def pages(blocks: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions import numbers, periods, texts
@@ -137,16 +137,11 @@ def value_tokens(spark, sf):
     return sales(spark, sf).select("document_id", _arrow(found, "string")(text).alias("found"))
 
 
-@query(f"WITH {_SALES} SELECT document_id, 'FY' || fy || '-Q2;FY' || fy || ';' || fy || '-03-31' AS found FROM sales")
+@query(f"WITH {_SALES} SELECT document_id, 'FY' || fy || '-Q2;' || CASE WHEN fy >= 2001 THEN 'FY' || fy || ';' ELSE '' END || fy || '-03-31' AS found FROM sales")
 def period_tokens(spark, sf):
-    """D1, D3."""
+    """Quarters and days of any year, ranges that begin in 20xx."""
     text = F.expr("'in Q2 of FY' || fy || ' and ' || (fy - 1) || '-' || lpad(cast(fy % 100 as string), 2, '0') || ' until March 31, ' || fy")
-    return sales(spark, sf).where("fy >= 2001").select("document_id", _arrow(lambda t: ";".join(p.canonical for _, _, p in periods.periods(t)), "string")(text).alias("found"))
-
-
-from factweave.plans.queries import SQL  # noqa: E402
-
-SQL["period_tokens"] += " WHERE fy >= 2001"
+    return sales(spark, sf).select("document_id", _arrow(lambda t: ";".join(p.canonical for _, _, p in periods.periods(t)), "string")(text).alias("found"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'financial.ebitda_margin' WHEN 1 THEN 'financial.revenue;financial.net_income' ELSE '' END AS found FROM part")
@@ -218,12 +213,12 @@ def elided_scale(spark, sf):
     return sales(spark, sf).select("document_id", _arrow(last, "double")(text).alias("normalized"))
 
 
-@query(f"WITH {_SALES} SELECT document_id FROM sales WHERE n % 2 = 0")
+@query(f"""WITH {_SALES} SELECT document_id, unnest(['Annual Report of Example Industries', 'Registered Office: ' || n || ' Example Street, City ' || k, 'Warehouse space was ' || n || ' units in FY' || fy || '.',
+'Ms. Asha Verma resigned as a member with effect from March 31, ' || fy || '.', 'Figures in Rs crore FY' || (fy - 1) || ' FY' || fy, 'EBITDA 1,0' || lpad(CAST(n % 100 AS VARCHAR), 2, '0') || ' 2,0' || lpad(CAST(k AS VARCHAR), 2, '0')]) AS sentence FROM sales""")
 def label_coverage_anti(spark, sf):
-    """Sentences that the taxonomy left alone."""
-    rows = sales(spark, sf)
-    covered = rows.where("n % 2 = 1").select("document_id")
-    return rows.join(covered, "document_id", "left_anti").select("document_id")
+    """Sentences of the reports that the taxonomy left alone."""
+    pages = _pages(spark, sf)
+    return extract.uncovered(pages, extract.read(pages)).select("document_id", "sentence")
 
 
 @query(f"WITH {_SALES} SELECT document_id, 'FY' || fy AS current, 'FY' || (fy - 1) AS previous FROM sales")
@@ -248,20 +243,17 @@ def partial_window(spark, sf):
 # Document context
 
 
-@query(f"WITH {_SALES} SELECT document_id, 'annual_report' AS kind, 'FY' || fy AS period, fy || '-03-31' AS day, 'Zeta Freight Limited' AS company, 'India' AS country FROM sales")
+@query(f"WITH {_SALES} SELECT document_id, 'annual_report' AS kind, CASE WHEN fy >= 2001 THEN 'FY' || fy END AS period, CASE WHEN fy >= 2001 THEN fy || '-03-31' END AS day, 'Zeta Freight Limited' AS company, 'India' AS country FROM sales")
 def document_context(spark, sf):
     """C1-C10 together: company, country, date, period and kind of a report."""
     text = F.expr("'Annual Report ' || (fy - 1) || '-' || lpad(cast(fy % 100 as string), 2, '0') || chr(10) || repeat('Zeta Freight Limited works in India and elsewhere. ', 5)")
-    rows = sales(spark, sf).where("fy >= 2001")
+    rows = sales(spark, sf)
     pages = rows.select("document_id", F.lit(1).alias("page_number"), text.alias("text"))
     docs = rows.select(F.col("document_id").alias("id"), F.concat("document_id", F.lit(".pdf")).alias("original_name"), F.lit(1).alias("page_count"), _none("string").alias("pdf_author"))
     found = context.resolve(docs, pages)
     return found.select("document_id", F.col("document_kind").alias("kind"), F.col("document_period").alias("period"), F.col("document_date").alias("day"), F.col("primary_entity").alias("company"), F.col("subject_country").alias("country"))
 
 
-SQL["document_context"] += " WHERE fy >= 2001"
-
-
 @query(f"WITH {_SALES} SELECT 'n' || k AS document_id, 'Firm ' || chr(CAST(65 + k AS INT)) || ' Limited' AS name, count(*) AS votes FROM sales GROUP BY ALL")
 def corporate_name_mode(spark, sf):
     """C1."""
@@ -362,38 +354,38 @@ def families_fallback(spark, sf):
 # Sinks and streams
 
 
-@query(f"{oracle.FACTS} SELECT raw_value, metric, confidence, page_number FROM facts WHERE document_id IN ('d1', 'd10')")
+@query(f"{oracle.FACTS} SELECT raw_value, metric, confidence, page_number FROM facts")
 def csv_export_roundtrip(spark, sf):
     """S13."""
     path = scratch.path(spark, "csv")
-    tables.write_csv(claims.facts(spark, sf).where("document_id in ('d1', 'd10')"), path)
+    tables.write_csv(claims.facts(spark, sf), path)
     return tables.read_csv(spark, path).select("raw_value", "metric", "confidence", "page_number")
 
 
-@query(f"{oracle.FACTS} SELECT id, raw_value, confidence, period, scope, CAST(CASE WHEN qualifier_list = '' THEN 0 ELSE len(string_split(qualifier_list, ',')) END AS INT) AS qualifiers FROM facts WHERE document_id IN ('d5', 'd7')")
+@query(f"{oracle.FACTS} SELECT id, raw_value, confidence, period, scope, CAST(CASE WHEN qualifier_list = '' THEN 0 ELSE len(string_split(qualifier_list, ',')) END AS INT) AS qualifiers FROM facts")
 def json_snapshot_roundtrip(spark, sf):
     """S9, S10."""
     path = scratch.path(spark, "snapshot")
-    facts = claims.facts(spark, sf).where("document_id in ('d5', 'd7')")
+    facts = claims.facts(spark, sf)
     tables.write_snapshot(facts, facts.select("id"), path)
     back, _ = tables.read_snapshot(spark, path, "id string")
     return back.select("id", "raw_value", "confidence", "period", "scope", F.size("qualifiers").alias("qualifiers"))
 
 
-@query(f"{oracle.JUDGED} SELECT id, relationship_type FROM rels WHERE a_document_id IN ('d1', 'd2', 'd8') AND b_document_id IN ('d1', 'd2', 'd8')")
+@query(f"{oracle.JUDGED} SELECT id, relationship_type FROM rels")
 def stream_incremental(spark, sf):
-    """Three documents arrive as a stream; all pairs are found, whichever batch brings them."""
+    """All documents arrive as a stream, in three batches; all pairs are found, whichever batch brings them."""
     from factweave.schema import FACTS
     from factweave.streaming import incremental
 
     root = scratch.path(spark, "stream")
-    for doc in ("d1", "d2", "d8"):
-        claims.facts(spark, sf).where(F.col("document_id") == doc).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(FACTS).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    claims.facts(spark, sf).repartition(12, "id").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(FACTS).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
     incremental.start(stream, f"{root}/store", f"{root}/checkpoint").awaitTermination()
     rels = spark.read.parquet(f"{root}/store/relationships")
     # A later batch is side a of its pairs; the id of a pair is that of the earlier fact first.
-    first = F.regexp_extract("a_document_id", r"\d+", 0).cast("int") <= F.regexp_extract("b_document_id", r"\d+", 0).cast("int")
+    place = lambda c: F.struct(F.regexp_extract(c, r"^f(\d+)-", 1).cast("int"), F.regexp_extract(c, r"-(\d+)$", 1).cast("long"))
+    first = place("a_id") < place("b_id")
     own = F.sha2(F.concat_ws("|", F.lit("rel"), F.when(first, F.col("a_id")).otherwise(F.col("b_id")), F.when(first, F.col("b_id")).otherwise(F.col("a_id"))), 256)
     return rels.select(own.alias("id"), "relationship_type")
 
@@ -413,17 +405,17 @@ def llm_cache_key(spark, sf):
     return spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", cache_key_column(F.lit("m"), F.lit("1"), F.lit("1"), F.col("s_name")).alias("key"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_acctbal >= 1000 THEN round_even(s_acctbal / 1000, 1) || 'K' ELSE 'small' END AS shown FROM supplier")
+@query("SELECT s_suppkey, CASE WHEN abs(s_acctbal) >= 1000 THEN round_even(s_acctbal / 1000, 1) || 'K' ELSE CAST(s_acctbal AS VARCHAR) END AS shown FROM supplier")
 def compact_display(spark, sf):
     """N10."""
-    shown = F.when(F.col("s_acctbal") >= 1000, numbers.compact(F.col("s_acctbal"))).otherwise("small")
-    return spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", shown.alias("shown"))
+    return spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey", numbers.compact(F.col("s_acctbal")).alias("shown"))
 
 
-@query(f"WITH {_SALES} SELECT document_id, fy, row_number() OVER (PARTITION BY k ORDER BY fy) AS nth FROM sales")
+@query(f"WITH {_SALES} SELECT document_id, row_number() OVER (ORDER BY k, fy) + 6 AS fact_seq FROM sales")
 def document_arrival(spark, sf):
-    """Q1: the order in which documents arrive, made explicit."""
-    return sales(spark, sf).select("document_id", "fy", F.row_number().over(Window.partitionBy("k").orderBy("fy")).cast("bigint").alias("nth"))
+    """Q1: the order in which documents arrive, made explicit in the numbers of their facts."""
+    order = sales(spark, sf).select("document_id", (F.col("k") * 1_000_000 + F.col("fy")).alias("document_seq"))
+    return extract.number_facts(_built(spark, sf, "rule_sentence"), order, 7).select("document_id", "fact_seq")
 
 
 # Small lookups and display
@@ -441,11 +433,17 @@ def documents_list(spark, sf):
     return claims.facts(spark, sf).groupBy("document_id").agg(F.any_value("document_name").alias("document_name"), F.count(F.lit(1)).alias("facts"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'India' ELSE 'Acme' END AS subject FROM part")
+@query("SELECT 'p' || p_partkey AS document_id, CASE p_partkey % 4 WHEN 0 THEN 'India' WHEN 3 THEN 'Unknown entity' ELSE 'Acme Limited' END AS subject FROM part")
 def subject_resolve(spark, sf):
-    """A macro metric is about the country, if one is known."""
-    macro, country = F.col("p_partkey") % 3 == 0, F.lit("India")
-    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.when(macro, F.coalesce(country, F.lit("Acme"))).otherwise("Acme").alias("subject"))
+    """A macro metric is about the country if one is known, everything else about the company if one is known."""
+    key = F.col("p_partkey") % 4
+    pages = spark.read.parquet(f"{sf}/part.parquet").select(
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("document_id"), F.lit("a.pdf").alias("document_name"), F.lit(1).alias("page_number"),
+        F.when(key <= 1, "Retail inflation was 5.5 per cent in FY24.").otherwise("Revenue was Rs. 5 crore in FY24.").alias("text"), _none("string").alias("period_hint"),
+        _none("array<struct<value_text:string,label_text:string,bbox:array<double>,start:int,end:int>>").alias("tiles"), F.when(key != 3, "Acme Limited").alias("primary_entity"),
+        F.when(key != 1, "India").alias("subject_country"), _none("string").alias("document_date"), _none("string").alias("document_period"),
+    )
+    return extract.read(pages).select("document_id", F.col("entity").alias("subject"))
 
 
 @query("SELECT p_partkey, p_partkey % 4 IN (0, 3) AS fits FROM part")
@@ -485,8 +483,8 @@ def truncate_facts(spark, sf):
     return tables.truncated(claims.facts(spark, sf)).select("id")
 
 
-@query(f"{oracle.FACTS} SELECT fact_seq, '\"' || entity || '\",\"' || metric || '\"' AS head FROM facts WHERE document_id = 'd1'")
+@query(f"{oracle.FACTS} SELECT fact_seq, '\"' || entity || '\",\"' || metric || '\"' AS head FROM facts")
 def csv_lines(spark, sf):
     """Fields as they stand in the export."""
-    rows = tables.csv_lines(claims.facts(spark, sf).where("document_id = 'd1'"))
+    rows = tables.csv_lines(claims.facts(spark, sf))
     return rows.select("fact_seq", F.array_join(F.slice(F.split("line", ","), 1, 2), ",").alias("head"))

@@ -1,27 +1,38 @@
 """Facts that arrive in micro-batches: each batch meets what is there already, and then itself.
 
-State is the table of facts alone, which grows by what arrives; there is no event time, and so no watermark. A batch writes
-its relationships and facts under its own number with overwrite, so a batch that is repeated after a failure changes nothing.
+State is the table of facts alone, which grows by what arrives; there is no event time, and so no watermark. Facts are stored
+by parts of their bucket keys, and a batch reads the parts that its own facts fall in. A batch writes its relationships and facts
+under its own number with overwrite, so a batch that is repeated after a failure changes nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from factweave.operators.matching import family_key
 from factweave.operators.reasoning import judge
 from factweave.schema import FACTS
 
+#: Parts of the stored facts.
+PARTS = 32
 
-def _stored(spark: SparkSession, path: str, before: int) -> DataFrame:
-    """Facts of the batches before this one."""
+
+def part(parts: int) -> Column:
+    """The part that a fact's bucket (entity, family, unit) falls in."""
+    return F.pmod(F.xxhash64("entity_canonical", family_key(), "normalized_unit"), F.lit(parts)).cast("int")
+
+
+def _stored(spark: SparkSession, path: str, before: int, parts: list[int]) -> DataFrame:
+    """Facts of the batches before this one, in some parts."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         return spark.createDataFrame([], FACTS)
-    names = FACTS.fieldNames()
-    return spark.read.schema(StructType([*FACTS.fields, StructField("batch", LongType())])).parquet(path).where(F.col("batch") < before).select(*names)
+    shape = StructType([*FACTS.fields, StructField("batch", LongType()), StructField("part", IntegerType())])
+    rows = spark.read.schema(shape).parquet(path)
+    return rows.where((F.col("batch") < before) & F.col("part").isin(parts)).select(*FACTS.fieldNames())
 
 
 def start(facts: DataFrame, store: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -29,10 +40,13 @@ def start(facts: DataFrame, store: str, checkpoint: str, once: bool = True) -> S
     spark = facts.sparkSession
 
     def add(batch: DataFrame, number: int) -> None:
-        batch = batch.select(*FACTS.fieldNames())
-        old = _stored(spark, f"{store}/facts", number)
-        judge(batch, old).write.mode("overwrite").parquet(f"{store}/relationships/batch={number}")
-        batch.write.mode("overwrite").parquet(f"{store}/facts/batch={number}")
+        own = batch.select(*FACTS.fieldNames()).withColumn("part", part(PARTS))
+        own.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{store}/facts/batch={number}")
+        shape = StructType([*FACTS.fields, StructField("part", IntegerType())])
+        new = spark.read.schema(shape).parquet(f"{store}/facts/batch={number}")
+        parts = [r.part for r in new.select("part").distinct().collect()]  # at most PARTS numbers
+        old = _stored(spark, f"{store}/facts", number, parts)
+        judge(new.drop("part"), old).write.mode("overwrite").parquet(f"{store}/relationships/batch={number}")
 
     writer = facts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

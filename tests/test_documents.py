@@ -171,3 +171,28 @@ def test_fact_numbers_have_no_bounds(spark):
     docs = spark.createDataFrame([("d0", 5), ("d1", 2_000_000), ("d2", 2_000_000), ("d3", 10**12)], "document_id string, document_seq long")
     got = extract.number_facts(table, docs, 40).orderBy("fact_seq").select("fact_seq", "document_id", "page_number").collect()
     assert [tuple(r) for r in got] == [(40, "d0", 1), (41, "d1", 7), (42, "d1", 100_001), (43, "d1", 100_001), (44, "d2", 1), (45, "d3", 1)]
+
+
+def test_decoders_in_turn_and_what_files_tell_of_themselves(spark, tmp_path):
+    for name, data in (("a.pdf", b"A"), ("b.pdf", b"B"), ("c.pdf", b"C"), ("d.pdf", b"D")):
+        (tmp_path / name).write_bytes(data)
+
+    def first(data, name):
+        if data != b"A":
+            raise ValueError("not A")
+        return [{"title": "  On A ", "author": ""}, {"page_number": 1, "block_ix": 0, "block_type": 0, "text": "by the first", "author": "Jane Doe"}]
+
+    def second(data, name):
+        if data == b"C":
+            raise ValueError("not C")
+        return [{"page_number": 1, "block_ix": 0, "block_type": 0, "text": "by the second"}] if data == b"B" else []
+
+    got = sorted((r.document_id, r.block_type, r.text) for r in tables.read_files(spark, str(tmp_path), first, second).collect())
+    assert got == [("a.pdf", 0, "by the first"), ("b.pdf", 0, "by the second"), ("c.pdf", -1, "not C")]
+    info = sorted(tuple(r) for r in tables.read_info(spark, str(tmp_path), first, second).collect())
+    assert info == [("a.pdf", 0, "On A", "Jane Doe", None), ("b.pdf", 1, None, None, None), ("c.pdf", -1, None, None, "not C"), ("d.pdf", 1, None, None, None)]
+
+
+def test_abbreviations_in_long_lines():
+    text = "x" * 5000 + " Mr. Rao met Dr. Sen. " + "y " * 3000 + "end. Another one follows here."
+    assert [s[-20:] for s, _, _ in S.sentences(text)][-1].endswith("follows here.") and len(S.sentences(text)) == 3

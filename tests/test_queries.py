@@ -4,9 +4,12 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from factweave.plans import queries as relational
+from factweave.plans import views
+from factweave.sources import scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,6 +50,28 @@ def test_quotes_wherever_they_stand(spark, tmp_path):
     assert sorted((r.doc_id, r.item_id, r["at"]) for r in got) == want
 
 
+def test_quotes_by_words_equal_quotes_by_automaton(spark, monkeypatch):
+    texts = ["(one two three four five) one two three four five", None, "zone two three four five six", "", "two"]
+    quotes = ["one two three four five", "one", "", None, "ne two three four five s", "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(quotes)), "item_id int, quote string")
+    found = sorted(views.quoted(docs, asked).collect())
+    monkeypatch.setattr(views, "AUTOMATON", -1)
+    assert found == sorted(views.quoted(docs, asked).collect()) and (4, 2, 0) in found and len(found) == 12
+
+
+def test_places_of_quotes(spark):
+    rows = [("alpha beta gamma delta", "alpha beta", -1, 0), ("x alpha beta", "alpha beta", 2, 2), ("x alpha beta", "alpha beta", 0, 2), ("x alpha", "beta", -1, None), ("alpha beta", "alpha beta", None, 0)]
+    table = spark.createDataFrame(rows, "page string, quote string, stored int, want int")
+    assert all(r["at"] == r.want for r in table.withColumn("at", views.locate(F.col("quote"), F.col("page"), F.col("stored"))).collect())
+
+
+def test_stored_tables_follow_their_source(spark, tmp_path):
+    for n in (3, 5):
+        spark.range(n).write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
+        assert scratch.kept(spark, "n", str(tmp_path), lambda: spark.read.parquet(str(tmp_path / "t.parquet"))).count() == n
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
