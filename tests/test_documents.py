@@ -195,4 +195,4 @@ def test_decoders_in_turn_and_what_files_tell_of_themselves(spark, tmp_path):
 
 def test_abbreviations_in_long_lines():
     text = "x" * 5000 + " Mr. Rao met Dr. Sen. " + "y " * 3000 + "end. Another one follows here."
-    assert [s[-20:] for s, _, _ in S.sentences(text)][-1].endswith("follows here.") and len(S.sentences(text)) == 3
+    assert [s[-20:] for s, _, _ in S.sentences(text)][-1].endswith("follows here.") and len(S.sentences(text)) == 2
