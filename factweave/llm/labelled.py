@@ -12,7 +12,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column
     """(id, text, label) of at most `rows` labelled documents, the first by a hash of their id, written to the shared folder.
 
     learn: a condition on the id column. Rows without a label or id are left out; of labels that repeat an id the
-    largest counts. Documents are picked before their texts are read, so no more than `rows` ids are broadcast.
+    largest counts, of documents that repeat an id the smallest text. Documents are picked before their texts are read, so no more than `rows` ids are broadcast.
     """
     own = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label is not null")
     own = own.where(learn).groupBy("id").agg(F.max("label").alias("label"))
@@ -20,4 +20,5 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column
     picked = own.join(have, "id", "left_semi").orderBy(F.xxhash64(F.lit(11), "id"), "id").limit(rows)
     picked = materialize(picked, "picked")
     texts = docs.select(F.col(id_col).alias("id"), whole_text(text).alias("text"))
-    return materialize(texts.join(F.broadcast(picked), "id").dropDuplicates(["id"]).select("id", "text", "label"), "labelled")
+    found = texts.join(F.broadcast(picked), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    return materialize(found.select("id", "text", "label"), "labelled")

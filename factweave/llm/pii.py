@@ -15,6 +15,7 @@ kinds; an empty table gives an empty result; other columns are ignored here and
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
@@ -40,19 +41,31 @@ SUPPORT, THRESHOLD = 3, 0.8
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
+#: Elements of a piece of an array that is run over at a time.
+PIECE = 64
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Before each element, what op makes of 0 and all elements in front of it; in pieces, since an array that grows by
+    one is copied every time."""
+
+    def over(part: Column, start: Column) -> Column:
+        none = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, none, lambda acc, x: F.struct(op(acc["at"], x).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    n = F.ceil(F.size(values) / PIECE).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(values, i * PIECE + 1, F.lit(PIECE)))
+    whole = F.transform(parts, lambda part: F.aggregate(part, F.lit(0), lambda a, x: op(a, x).cast("int")))
+    return F.when(n > 0, F.flatten(F.zip_with(parts, over(whole, F.lit(0)), over))).otherwise(F.array().cast("array<int>"))
+
+
 def matches(text: Column, pattern: Column) -> Column:
     """All matches in order: array of (start, end, value), offsets in code points from 0, end exclusive."""
     values = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
-    start = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        begin = (acc["at"] + pair["gap"]).cast("int")
-        end = (begin + F.char_length(pair["value"])).cast("int")
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), pair["value"].alias("value")))).alias("out"))
-
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(values)).alias("gap"), values.alias("value"))
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x)), F.lit(1), F.size(values))
+    begins = running(F.zip_with(gaps, values, lambda gap, value: gap + F.char_length(value)), lambda a, b: a + b)
+    starts = F.zip_with(begins, gaps, lambda a, b: a + b)
+    return F.zip_with(starts, values, lambda at, value: F.struct(at.alias("start"), (at + F.char_length(value)).alias("end"), value.alias("value")))
 
 
 def _luhn(digits: Column) -> Column:
@@ -167,14 +180,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 def redact(text: Column, spans: Column, shown: tuple[str, ...] = tuple(f"[{k.upper()}]" for k in KINDS)) -> Column:
     """The text with each span replaced by what is shown for its kind; of overlapping spans the first names the whole."""
     names = F.array(*[F.lit(k) for k in shown])
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    done = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh_span = s["start"] >= acc["at"]
-        out = F.when(fresh_span, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def piece(s: Column, at: Column) -> Column:
+        return F.when(s["start"] >= at, F.concat(F.substring(text, at + 1, s["start"] - at), F.get(names, s["kind"]))).otherwise("")
 
-    return F.aggregate(spans, begin, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    last = F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0))
+    return F.concat(F.array_join(F.zip_with(spans, done, piece), ""), F.substring(text, last + 1, F.char_length(text)))
 
 
 def sanitize(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:

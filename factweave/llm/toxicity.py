@@ -151,25 +151,37 @@ def features(texts: list[str], lexicon: dict[str, float]) -> np.ndarray:
     return out
 
 
-def _lexicon(sample: DataFrame) -> dict[str, float]:
-    """Words by the z-score of their log odds between toxic and other documents (document counts, additive prior)."""
+def _document_counts(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
+    """(word, n): documents with each lexicon key, among those in `only` if it is told."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bad, good = Counter(), Counter()
+        many: Counter = Counter()
         for pdf in batches:
-            for text, label in zip(pdf.text, pdf.label, strict=True):
-                (bad if label else good).update({w for t in set(tokens_of(text)) for w in forms(t)})
-        yield pd.DataFrame([(w, n, good[w]) for w, n in bad.items()], columns=["word", "bad", "good"])
+            for text in pdf.text:
+                found = {w for t in set(tokens_of(text)) for w in forms(t)}
+                many.update(found if only is None else found & only)
+        yield pd.DataFrame(list(many.items()), columns=["word", "n"])
+
+    return rows.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-    # The sample is bounded and counted in one task, so only words of toxic documents need to come out of it.
-    words = sample.select("text", "label").coalesce(1).mapInPandas(count, "word string, bad long, good long")
+
+def _lexicon(sample: DataFrame) -> dict[str, float]:
+    """Words by the z-score of their log odds between toxic and other documents (document counts, additive prior)."""
     sizes = sample.groupBy("label").count().collect()
     bad_n, good_n = sum(r["count"] for r in sizes if r.label), sum(r["count"] for r in sizes if not r.label)
-    a, b = F.col("bad") + 0.5, F.col("good") + 0.5
-    odds = F.log(a / (bad_n + 1 - F.col("bad") + 0.5)) - F.log(b / (good_n + 1 - F.col("good") + 0.5))
-    z = odds / F.sqrt(1 / a + 1 / b)
-    top = words.where("bad >= 5").select("word", z.alias("z")).where("z > 3").orderBy(F.desc("z"), "word").limit(LEXICON).collect()
-    return {r.word: float(r.z) for r in top}
+    # Words of five toxic documents or more, of a bounded sample; the other documents are asked for these alone.
+    bad = {r.word: r.n for r in _document_counts(sample.where("label = 1")).where("n >= 5").collect()}
+    if not bad:
+        return {}
+    good = {r.word: r.n for r in _document_counts(sample.where("label = 0"), frozenset(bad)).collect()}
+
+    def z(word: str) -> float:
+        a, b = bad[word] + 0.5, good.get(word, 0) + 0.5
+        odds = math.log(a / (bad_n + 1 - bad[word] + 0.5)) - math.log(b / (good_n + 1 - good.get(word, 0) + 0.5))
+        return odds / math.sqrt(1 / a + 1 / b)
+
+    ranked = sorted(((-z(w), w) for w in bad))[:LEXICON]
+    return {w: -score for score, w in ranked if score < -3}
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, rows: int = SAMPLE) -> Model:
