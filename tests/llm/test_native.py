@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import unicodedata
@@ -6,6 +7,7 @@ from collections import defaultdict
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 from factweave.llm import fingerprint, mixing, pii
 from factweave.llm.queries import QUERIES
@@ -236,6 +238,71 @@ def test_terms_short_numbered_and_at_the_ends(spark):
     assert spans[40] == spans[90] == []
 
 
+def by_hand(texts, support, threshold):
+    """(entity, term) above the threshold: document counts of words and e-mail addresses, over all documents."""
+    mail = re.compile(pii.PATTERNS["email"].replace("++", "+").replace(r"(?:\G|(?<![A-Za-z0-9._%+-]))", ""))
+    words = lambda t: list(dict.fromkeys(w for w in re.split(r"[^\w]+|_", t.lower()) if w))
+    docs = [({f"0:{m[0].lower()}" for m in mail.finditer(t)}, tuple(words(mail.sub(" ", t))), set(words(t))) for t in texts]
+    contexts = defaultdict(lambda: defaultdict(int))
+    for held, outside, _ in docs:
+        for e in held:
+            contexts[e][outside] += 1
+    seen = defaultdict(int)
+    for held, outside, every in docs:
+        for w in set(outside) if held else every:
+            seen[w] += 1
+    out, n = set(), len(texts)
+    for e, found in contexts.items():
+        if len(found) < 2:
+            continue
+        here = sum(found.values())
+        for t in {w for c in found for w in c}:
+            both = sum(k for c, k in found.items() if t in c)
+            if sum(t in c for c in found) >= min(support, len(found)) and math.log(both / n / (seen[t] / n * here / n)) / -math.log(here / n) >= threshold:
+                out.add((e, t))
+    return out
+
+
+def test_disclosure_equals_mutual_information_by_hand(spark):
+    rng = random.Random(12)
+    names, common = [f"name{i}" for i in range(12)], [f"word{i}" for i in range(25)]
+    texts = []
+    for _ in range(260):
+        w = rng.choices(common, k=rng.randint(1, 6))
+        if rng.random() < 0.4:
+            who = rng.randrange(12)
+            w += [f"u{who}@mail.org"] * rng.randint(1, 2) + [names[who]] * (rng.random() < 0.9) + [names[rng.randrange(12)]] * (rng.random() < 0.1)
+        rng.shuffle(w)
+        texts.append(" ".join(w))
+    texts += texts[:6] * 2
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    based = docs.select(F.col("doc_id").alias("rk"), "text", pii.base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0)
+    for support, threshold in ((3, 0.8), (2, 0.5)):
+        got = {(r.entity, r.term) for r in pii.revealing_terms(docs, based, "text", support, threshold).collect()}
+        assert got == by_hand(texts, support, threshold) and got
+
+
+def test_running_over_long_arrays(spark):
+    n = 300
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda x: x.cast("int")).alias("v"), F.array().cast("array<int>").alias("none"))
+    r = df.select(pii.running(F.col("v"), lambda a, b: a + b).alias("sums"), pii.running(F.col("v"), lambda a, b: F.greatest(a, b)).alias("tops"), pii.running(F.col("none"), lambda a, b: a + b).alias("none")).first()
+    assert r.sums == [i * (i + 1) // 2 for i in range(n)] and r.tops == list(range(n)) and r.none == []
+    many = " ".join(f"u{i}@x.org" for i in range(400))
+    (one,) = pii.find(frame(spark, [(1, many, "s")])).collect()
+    assert [(s.start, s.end, s.value) for s in one.spans] == [(m.start(), m.end(), m[0]) for m in re.finditer(r"\S+", many)]
+    assert pii.sanitize(frame(spark, [(1, many, "s")])).first().text == " ".join(["[EMAIL]"] * 400)
+
+
+def test_fingerprints_of_text_ids(spark):
+    rows = [("b", "Two"), ("a10", "One one"), ("a2", None), (None, "Zero")]
+    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    order = [None, "a10", "a2", "b"]
+    texts = {d: t or "" for d, t in rows}
+    for d, after in zip(order, order[1:] + order[:1]):
+        t, half = texts[d], len(texts[d]) // 2
+        assert got[d].edited_sha256 == hashlib.sha256((t[: len(t) - half] + texts[after][:half]).encode()).hexdigest()
+
+
 def test_redact_overlaps_and_empty(spark):
     t = "+4111111111111111 x"
     (r,) = pii.sanitize(frame(spark, [(1, t, "s")])).collect()
