@@ -32,8 +32,11 @@ def _random(id_col: str, text: str) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, copies: int = COPIES) -> DataFrame:
-    """source, source_size, target, whole (certain copies), words (to draw), norm of (source, size): one row a source."""
-    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.log1p("size") * F.col("size")).alias("norm"))
+    """source, source_size, target, whole (certain copies), words (to draw), norm of (source, size): one row a source.
+
+    The norm is a sum of decimals, which no order of rows can change.
+    """
+    by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum((F.log1p("size") * F.col("size")).cast("decimal(38,6)")).cast("double").alias("norm"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
     by = by.withColumn("rank", rank).withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(copies))
@@ -110,7 +113,7 @@ WITH rows_ AS (
     (CAST(('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
   FROM documents),
 s AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, sum(ln(1 + size::DOUBLE) * size) AS norm,
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(CAST(ln(1 + size::DOUBLE) * size AS DECIMAL(38, 6))) AS DOUBLE) AS norm,
     row_number() OVER (ORDER BY source NULLS LAST) AS rank_ FROM rows_ GROUP BY source),
 w AS (SELECT *, CASE (rank_ - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
 f AS (
