@@ -1,13 +1,19 @@
 """Best-fit packing of token pieces into sequences of a fixed capacity, bulk-synchronously.
 
-Documents are tokenised where they lie; longer ones are cut into full pieces behind a first piece with the rest. Piece
-lengths and gaps are integers up to the capacity, so their range-sorted order is a list of runs: (length, rank interval).
-The pieces are ranked inside their length by a distributed count. Then, a superstep for each run of equal pieces,
-longest first: the run meets its successor among the sorted gaps (the smallest gap that holds it), pieces of the run
-take the gaps' sequences in the order of their ranks, so no two contend for a place, what is left of each gap becomes
-a gap run of its own, and the rest of the run goes on to the next gap. The runs number a few thousand whatever the
-number of documents (their count depends on the capacity alone); each piece then reads its place off the run its
-rank falls in.
+Documents are tokenised where they lie; longer ones are cut into full pieces behind a first piece with the rest. A piece
+longer than half the capacity opens a sequence of its own. Then supersteps over the rows that are left, until none is:
+
+1. Pieces and gaps are range-sorted by size, equal sizes with the pieces first. A gap stands as often as the largest
+   piece that fits it goes into it, so whatever takes these places fits together.
+2. Successor sweep: a piece goes up a step, a place goes down one. The depth is a running sum: inside a slice of the sorted
+   rows by its task, and between slices by their sums (one row a slice).
+3. Conflicts are resolved by rank: on each level of depth steps up and down alternate, so the next step down is the
+   smallest place that no larger piece has taken, as if the pieces had chosen one by one, longest first. A level is
+   crossed once up and once down by each size at most, so it never has more than two rows for each unit of capacity, whatever repeats.
+4. Gaps shrink by what they took; those smaller than every piece close. New sequences open only where pieces of some length or
+   more need more room than all gaps of that length or more have, and only as many as this deficit fills.
+
+Only counts by length and by room come to the driver, at most two for each unit of capacity.
 
 Defined results: a null text is an empty one and still is a piece (its end token); rows that repeat are packed as often
 as they occur; an empty table gives an empty result; other columns are ignored.
@@ -16,18 +22,15 @@ as they occur; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import functools
 import zlib
-from bisect import bisect_left, insort
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.llm.common import materialize, whole_text
@@ -35,7 +38,7 @@ from factweave.llm.common import materialize, whole_text
 VOCABULARY = "byte_bpe_50k"
 
 
-@lru_cache
+@functools.lru_cache
 def _encoder(vocabulary: str):
     """ids of a text: the ranks file by tiktoken, or the json file of the same ids where that fails."""
     import tiktoken
@@ -67,83 +70,114 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, id_col: str, text: str, capacity: int, end_id: int, vocabulary: str) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, and a rank: part (the task) and turn (among its pieces of this length)."""
+    """doc_id, piece, start, length, ids_crc32, and a key: the task and the number of the piece in it."""
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, turns, part = _encoder(vocabulary), defaultdict(int), TaskContext.get().partitionId()
+        encode, key = _encoder(vocabulary), TaskContext.get().partitionId() << 40
         for batch in batches:
             ids_of, out = batch.column(0), []
             at = []
             for i, value in enumerate(batch.column(1)):
                 ids = np.array([*encode(value.as_py()), end_id], "<u4")
                 for k, (start, n) in enumerate(cut(len(ids), capacity)):
-                    out.append((k, start, n, zlib.crc32(ids[start : start + n].tobytes()), turns[n]))
-                    turns[n] += 1
+                    out.append((k, start, n, zlib.crc32(ids[start : start + n].tobytes()), key))
+                    key += 1
                     at.append(i)
-            k, start, n, crc, turn = (list(x) for x in zip(*out, strict=True)) if out else ([],) * 5
-            yield pa.RecordBatch.from_arrays([ids_of.take(pa.array(at, pa.int64())), pa.array(k, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, n, crc)), pa.array([part] * len(k), pa.int32()), pa.array(turn, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "turn"])
-
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long, part int, turn long")
-
-
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Runs of placements (length, from rank, to rank, first sequence, first offset, pieces a sequence).
-
-    counts: pieces of each length. Gaps are runs of sequences with equal room; the list of rooms is kept sorted.
-    """
-    places, rooms, gaps, sequences = [], [], defaultdict(list), 0
-
-    def give(room: int, first: int, many: int) -> None:
-        if room and many:
-            if not gaps[room]:
-                insort(rooms, room)
-            gaps[room].append((first, many))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            i = bisect_left(rooms, length)
-            if i < len(rooms):
-                room = rooms[i]
-                first, many = gaps[room].pop()
-                if not gaps[room]:
-                    rooms.pop(i)
-            else:
-                room, first, many = capacity, sequences, -(-left // (capacity // length))
-                sequences += many
-            each = room // length
-            full = min(many, left // each)
-            odd = left - full * each if full < many else 0
-            taken = full * each + odd
-            places.append((length, rank, rank + taken, first, capacity - room, each))
-            give(room - each * length, first, full)
-            if odd:
-                give(room - odd * length, first + full, 1)
-            give(room, first + full + bool(odd), many - full - bool(odd))
-            rank, left = rank + taken, left - taken
-    return places
+            k, start, n, crc, keys = (list(x) for x in zip(*out, strict=True)) if out else ([],) * 5
+            yield pa.RecordBatch.from_arrays([ids_of.take(pa.array(at, pa.int64())), pa.array(k, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, n, crc, keys))], ["doc_id", "piece", "start", "length", "ids_crc32", "key"])
+
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long, key long")
+
+
+def _counts(df: DataFrame, size: str) -> dict[int, int]:
+    """Rows by size: at most one for each unit of capacity."""
+    return {r[0]: r[1] for r in df.groupBy(size).count().collect()}
+
+
+def wanted(lengths: dict[int, int], rooms: dict[int, int], capacity: int) -> int:
+    """New sequences without which pieces of some length or more cannot all find room (lengths, rooms: counts by size)."""
+    need = room = lack = 0
+    left = sorted(rooms)
+    for length in sorted(lengths, reverse=True):
+        need += length * lengths[length]
+        while left and left[-1] >= length:
+            size = left.pop()
+            room += size * rooms[size]
+        lack = max(lack, need - room)
+    return -(-lack // capacity)
+
+
+def places(lengths: dict[int, int], rooms: dict[int, int]) -> list[tuple[int, int]]:
+    """(room, places): as many as the largest piece that fits goes into it, but no more than twice the pieces there are for all gaps."""
+    sizes = np.array(sorted(lengths))
+    most = 1 + 2 * sum(lengths.values()) // max(1, sum(rooms.values()))
+    return [(room, min(room // int(sizes[np.searchsorted(sizes, room, "right") - 1]), most)) for room in rooms]
+
+
+def _depths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the depth behind each row inside this slice of the sorted rows, and the slice."""
+    part, depth = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        if batch.num_rows:
+            steps = depth + np.cumsum(1 - 2 * batch.column(1).to_numpy().astype("int64"))
+            depth = int(steps[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(steps), pa.array(np.full(len(steps), part, "int32"))], [*batch.schema.names, "depth", "slice"])
+
+
+def sweep(left: DataFrame, gaps: DataFrame, lengths: dict[int, int], rooms: dict[int, int]) -> DataFrame:
+    """One superstep: rows size, kind (0 piece, 1 place in a gap), key, sequence_id (of a piece that found one), taken (length a place took)."""
+    spark = left.sparkSession
+    table = F.broadcast(spark.createDataFrame(places(lengths, rooms), "room long, places int"))  # at most a row for each unit of capacity
+    spots = gaps.join(table, "room").select(F.col("room").alias("size"), F.lit(1).alias("kind"), F.col("sequence_id").alias("key"), F.explode(F.sequence(F.lit(1), "places")).alias("place"))
+    both = left.select(F.col("length").alias("size"), F.lit(0).alias("kind"), "key", F.lit(0).alias("place")).unionByName(spots)
+    order = ["size", "kind", "key", "place"]
+    lined = both.repartitionByRange(*order).sortWithinPartitions(*order)
+    lined = materialize(lined.mapInArrow(_depths, "size long, kind int, key long, place int, depth long, slice int"), "lined")
+    sums, base = [], 0
+    for r in sorted(lined.groupBy("slice").agg(F.sum(1 - 2 * F.col("kind")).alias("steps")).collect()):  # one row a slice
+        sums.append((r.slice, base))
+        base += r.steps
+    level = F.col("base") + F.col("depth") + F.col("kind")
+    on_level = Window.partitionBy("level").orderBy(*order)
+    met = lined.join(F.broadcast(spark.createDataFrame(sums, "slice int, base long")), "slice").withColumn("level", level)
+    piece = F.col("kind") == 0
+    return met.select(
+        "size", "kind", "key",
+        F.when(piece, F.lead(F.when(~piece, F.col("key"))).over(on_level)).alias("sequence_id"),
+        F.when(~piece, F.lag(F.when(piece, F.col("size"))).over(on_level)).alias("taken"),
+    )
+
+
+def sequences(cuts: DataFrame, capacity: int) -> DataFrame:
+    """key, length and sequence_id of every piece shorter than the capacity (cuts: key and length, a stored table)."""
+    spark, opened = cuts.sparkSession, 0
+    rows = cuts.where(F.col("length") < capacity).select("key", "length")
+    alone = F.col("length") * 2 > capacity
+    done = [rows.where(alone).withColumn("sequence_id", F.col("key"))]
+    gaps = done[0].select("sequence_id", (F.lit(capacity) - F.col("length")).alias("room"))
+    left = rows.where(~alone)
+    while lengths := _counts(left, "length"):
+        gaps = gaps.where(F.col("room") >= min(lengths))
+        rooms = _counts(gaps, "room")
+        if new := wanted(lengths, rooms, capacity):
+            gaps = gaps.unionByName(spark.range(new).select((F.lit(-1 - opened) - F.col("id")).alias("sequence_id"), F.lit(capacity).cast("long").alias("room")))
+            opened, rooms[capacity] = opened + new, new + rooms.get(capacity, 0)
+        met = materialize(sweep(left, gaps, lengths, rooms), "met")
+        found = met.where("kind = 0").select("key", F.col("size").alias("length"), "sequence_id")
+        done.append(found.where("sequence_id is not null"))
+        left = found.where("sequence_id is null").drop("sequence_id")
+        shrunk = met.where("kind = 1").groupBy(F.col("key").alias("sequence_id")).agg((F.max("size") - F.coalesce(F.sum("taken"), F.lit(0))).alias("room"))
+        gaps = materialize(shrunk, "gaps")
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 2, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    spark = docs.sparkSession
     cuts = materialize(pieces(docs, id_col, text, capacity, end_id, vocabulary), "pieces")
-    parts = cuts.groupBy("length", "part").agg(F.count(F.lit(1)).alias("many"))
-    parts = materialize(parts.select("length", "part", "many", F.coalesce(F.expr("sum(many) over (partition by length order by part rows between unbounded preceding and 1 preceding)"), F.lit(0)).cast("long").alias("before")), "parts")
-    counts = {r.length: r.many for r in parts.groupBy("length").agg(F.sum("many").alias("many")).collect()}  # at most capacity rows
-    columns = ["length", "low", "high", "first", "base", "each"]
-    runs = pd.DataFrame(plan(counts, capacity), columns=columns).astype("int64")
-    # Each length's runs are in rank order: one row for each length with arrays of at most a few thousand entries in all.
-    table = spark.createDataFrame([(int(n), *(g[c].tolist() for c in columns[1:])) for n, g in runs.groupby("length")], "length long, low array<long>, high array<long>, first array<long>, base array<long>, each array<long>")
-    rank = F.col("before") + F.col("turn")
-    spot = F.expr("filter(sequence(1, size(low)), i -> low[i - 1] <= rank and rank < high[i - 1])[0]")
-    ranked = cuts.join(parts.select("length", "part", "before"), ["length", "part"]).withColumn("rank", rank)
-    placed = ranked.join(F.broadcast(table), "length").withColumn("run", spot)
-    at = {c: F.element_at(c, F.col("run")) for c in columns[1:]}
-    order = F.col("rank") - at["low"]
-    return placed.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        (at["first"] + F.floor(order / at["each"])).cast("long").alias("sequence_id"),
-        (at["base"] + (order % at["each"]) * F.col("length")).cast("long").alias("offset"),
-    )
+    own = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "key").rowsBetween(Window.unboundedPreceding, -1)
+    spots = sequences(cuts, capacity).select("key", "sequence_id", F.coalesce(F.sum("length").over(own), F.lit(0)).alias("offset"))
+    full = F.col("length") == capacity  # a sequence of their own
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    whole = cuts.where(full).withColumns({"sequence_id": F.col("key"), "offset": F.lit(0).cast("long")})
+    return cuts.where(~full).join(spots, "key").select(*names).unionByName(whole.select(*names))

@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from factweave.llm.packing import cut, pack, plan
+from factweave.llm.packing import _counts, cut, pack, places, sequences, sweep, wanted
 from factweave.llm.queries import QUERIES
 
 
@@ -44,18 +44,58 @@ def test_cut():
     assert cut(1, 4) == [(0, 1)] and cut(4, 4) == [(0, 4)] and cut(9, 4) == [(0, 1), (1, 4), (5, 4)]
 
 
-def test_plan_is_best_fit_decreasing():
-    rng = np.random.default_rng(5)
-    lengths = rng.integers(1, 65, 700)
-    counts = {int(n): int((lengths == n).sum()) for n in set(lengths.tolist())}
-    gaps = []
-    for n in sorted(lengths.tolist(), reverse=True):
+def best_fit(lengths, capacity):
+    gaps, opened = [], 0
+    for n in sorted(lengths, reverse=True):
         fit = [g for g in gaps if g >= n]
-        gap = min(fit) if fit else 64
+        opened += not fit
+        gap = min(fit) if fit else capacity
         if fit:
             gaps.remove(gap)
         gaps.append(gap - n)
-    assert max(f + -(-(h - low) // e) for _, low, h, f, _, e in plan(counts, 64)) == len(gaps)
+    return opened
+
+
+def pieces_of(spark, lengths):
+    return spark.createDataFrame(list(enumerate(map(int, lengths))), "key long, length long").repartition(5)
+
+
+def test_sweep_is_best_fit_one_by_one(spark):
+    """Longest piece first, each into the smallest place that is free: the sizes that meet are the same."""
+    rng = np.random.default_rng(3)
+    lengths, rooms = rng.integers(1, 40, 300).tolist() + [7] * 150, rng.integers(1, 60, 200).tolist() + [9] * 80
+    left = pieces_of(spark, lengths)
+    gaps = spark.createDataFrame(list(enumerate(rooms)), "sequence_id long, room long").where(f"room >= {min(lengths)}")
+    many, sizes = _counts(left, "length"), _counts(gaps, "room")
+    met = sweep(left, gaps, many, sizes).collect()
+    free = sorted(room for room, k in places(many, sizes) for _ in range(k * sizes[room]))
+    want = []
+    for n in sorted(lengths, reverse=True):
+        fit = next((i for i, room in enumerate(free) if room >= n), None)
+        if fit is not None:
+            want.append((n, free.pop(fit)))
+    room_of = dict(enumerate(rooms))
+    found = [r for r in met if r.kind == 0 and r.sequence_id is not None]
+    assert sorted((r.size, room_of[r.sequence_id]) for r in found) == sorted(want)
+    taken = [r for r in met if r.taken is not None]
+    assert sorted((r.taken, r.key) for r in taken) == sorted((r.size, r.sequence_id) for r in found)
+
+
+def test_wanted():
+    assert wanted({3: 2}, {}, 4) == 2 and wanted({3: 2}, {4: 2}, 4) == 0 and wanted({3: 2, 1: 9}, {2: 5}, 4) == 2 and wanted({}, {4: 1}, 4) == 0
+
+
+def test_sequences_are_few_and_hold_their_pieces(spark):
+    rng = np.random.default_rng(5)
+    for lengths in (rng.integers(1, 65, 700), [1] * 900, [20] * 300 + [44] * 100, [33, 31] * 40, [64] * 9, []):
+        lengths = [int(n) for n in lengths]
+        rows = sequences(pieces_of(spark, lengths), 64).collect()
+        assert sorted((r.key, r.length) for r in rows) == [(i, n) for i, n in enumerate(lengths) if n < 64]
+        load = {}
+        for r in rows:
+            load[r.sequence_id] = load.get(r.sequence_id, 0) + r.length
+        assert max(load.values(), default=0) <= 64
+        assert len(load) + lengths.count(64) <= best_fit(lengths, 64) * 1.02 + 1
 
 
 def test_edges(spark):
