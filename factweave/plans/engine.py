@@ -15,7 +15,7 @@ from factweave.operators import context, extract, families, layout
 from factweave.operators.reasoning import judge
 from factweave.plans import views
 from factweave.schema import FACTS
-from factweave.sources import tables
+from factweave.sources import scratch, tables
 
 NAMES = ("documents", "pages", "facts", "relationships")
 RELATIONSHIPS = (
@@ -66,6 +66,12 @@ class Engine:
             df.select(*columns).write.mode("overwrite").parquet(f"{self.path}/v{after}/{name}")
         fs.create(hadoop.Path(f"{self.path}/v{after}/READY")).close()
 
+    def _written(self, df: DataFrame, name: str) -> DataFrame:
+        """df written to the scratch folder and read again: judging joins it many times, and neither derives nor plans it again."""
+        path = scratch.path(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     # Changes
 
     def upload(self, documents: DataFrame, pages: DataFrame, incremental: bool = True) -> None:
@@ -84,12 +90,12 @@ class Engine:
         for name, kind in shape.items():
             if name not in rows.columns:
                 rows = rows.withColumn(name, F.lit(None).cast(kind))
-        new_docs = context.resolve(rows.withColumnRenamed("document_id", "id"), pages)
+        new_docs = self._written(context.resolve(rows.withColumnRenamed("document_id", "id"), pages), "documents")
         told = new_docs.select("document_id", F.col("original_name").alias("document_name"), "primary_entity", "subject_country", "document_date", "document_period")
         highest = self.table("facts").agg(F.coalesce(F.max("fact_seq"), F.lit(-1))).first()[0]
-        new = extract.extract(pages.join(told, "document_id"), new_docs, highest + 1)
+        new = self._written(extract.extract(pages.join(told, "document_id"), new_docs, highest + 1), "new")
         facts, rels = tables.delete_documents(self.table("facts"), self.table("relationships"), gone)
-        every = self._grouped(facts.unionByName(new))
+        every = self._written(self._grouped(facts.unionByName(new)), "facts")
         ids = new_docs.select("document_id")
         grouped_new, grouped_old = every.join(ids, "document_id", "left_semi").select(*FACTS.fieldNames()), every.join(ids, "document_id", "left_anti").select(*FACTS.fieldNames())
         linked = rels.unionByName(judge(grouped_new, grouped_old)) if incremental else judge(every)
@@ -113,13 +119,13 @@ class Engine:
 
     def rebuild(self) -> None:
         """Families and relationships of all facts anew."""
-        facts = self._grouped(self.table("facts"))
+        facts = self._written(self._grouped(self.table("facts")), "facts")
         self._commit(facts=facts, relationships=judge(facts))
 
     def delete(self, document_id: str) -> None:
         """A document, its pages, facts and their relationships; the rest is judged anew."""
         ids = self.spark.createDataFrame([(document_id,)], "document_id string")
-        facts = self._grouped(self.table("facts").join(ids, "document_id", "left_anti"))
+        facts = self._written(self._grouped(self.table("facts").join(ids, "document_id", "left_anti")), "facts")
         self._commit(documents=self.table("documents").join(ids, "document_id", "left_anti"), pages=self.table("pages").join(ids, "document_id", "left_anti"), facts=facts, relationships=judge(facts))
 
     def clear(self) -> None:
