@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import fingerprint, language, lm, media, mixing, near_dedup, packing, pii, quality, toxicity
-from factweave.llm.common import documents, fold
+from factweave.llm import fingerprint, importance, language, lm, media, mixing, near_dedup, packing, periodic, pii, quality, simhash, toxicity
+from factweave.llm.common import WORD, documents, fold
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +70,43 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), F.col("stored_sha256").alias("media_sha256"), "feature", "width", "height")
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir), shingle=4, distance=4)
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def with_tails(docs: DataFrame) -> DataFrame:
+    """documents, of which those with crc32(doc_id) % 10 = 0 go on periodically from a word on, as the contract of op13 has it."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
+    rows = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    rows = rows.withColumn("n", F.size("w")).withColumn("g", F.floor(F.col("h") / 10))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.transform(F.sequence(F.col("a"), F.col("n") - 1), lambda i: F.get("w", F.col("a") + (i - F.col("a")) % F.col("p")))
+    changed = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    return rows.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.detect(with_tails(documents(spark, sf_dir))).withColumn("best", periodic.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    exponent = F.expr("(1000 * best.length) div best.period").alias("exponent_milli")
+    digests = [F.sha2(x.cast("binary"), 256).alias(n) for n, x in (("runs_sha256", listed), ("collapsed_sha256", F.col("collapsed")))]
+    return found.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), *best, exponent, *digests)
+
+
 _ALL = (
     op1_best_fit_packing, op2_fingerprints, op3_toxicity, op4_minhash_near_dedup, op5_quality,
     op6_lm_scoring, op7_media_columns, op8_mixing, op9_language_id, op10_pii,
+    op11_simhash_near_dedup, op12_importance_resampling, op13_period_runs,
 )
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE: dict[str, str] = {"op8_mixing": mixing.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op8_mixing": mixing.ORACLE_SQL, "op12_importance_resampling": importance.ORACLE_SQL}
