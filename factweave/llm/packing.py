@@ -40,25 +40,24 @@ VOCABULARY = "byte_bpe_50k"
 
 @functools.lru_cache
 def _encoder(vocabulary: str):
-    """ids of a text: the ranks file by tiktoken, or the json file of the same ids where that fails."""
+    """ids of a text, as `tokenizers` gives them with add_special_tokens=False: an added token's string is its id, and the
+    texts between are encoded each for itself, by tiktoken from the ranks file, or by the json file where that fails."""
     import tiktoken
     from tokenizers import Tokenizer
 
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    slow: list[Tokenizer] = []
+    slow = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+    added = {token.content: number for number, token in slow.get_added_tokens_decoder().items()}
+    fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     def encode(text: str) -> list[int]:
         try:
-            return fast.encode_ordinary(text)
+            return fast.encode(text, allowed_special="all")
         except BaseException as failure:  # the regex engine gives up on some extreme texts with a panic, which is no Exception
             if type(failure).__name__ != "PanicException":
                 raise
-            if not slow:
-                slow.append(Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json")))
-                slow[0].encode_special_tokens = True
-            return slow[0].encode(text, add_special_tokens=False).ids
+            return slow.encode(text, add_special_tokens=False).ids
 
     return encode
 

@@ -11,7 +11,6 @@ from factweave.llm.queries import QUERIES
 def check(rows, texts, capacity=1024):
     """rows: piece rows; texts: the text of each id, ids once."""
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     by = {}
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
@@ -99,9 +98,10 @@ def test_sequences_are_few_and_hold_their_pieces(spark):
 
 
 def test_edges(spark):
-    rows = [(1, None, 7), (2, "", 7), (3, "a b c " * 3000, 7), (4, "<|endoftext|> \U0001f600 é", 7), (None, "x", 7)]
+    rows = [(1, None, 7), (2, "", 7), (3, "a b c " * 3000, 7), (4, "<|endoftext|> \U0001f600 é", 7), (None, "x", 7), (5, "a <|endoftext|> b", 7), (6, "x  <|endoftext|><|endoftext|>\n\n <|endoftext|", 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, length int")
     check(pack(df).collect(), {r[0]: r[1] for r in rows})
+    assert next((r.length, r.ids_crc32) for r in pack(df).collect() if r.doc_id == 5) == (5, 3672784330)
     twice = pack(df.union(df)).collect()
     assert len(twice) == 2 * len(pack(df).collect())
     assert pack(df.limit(0)).count() == 0
