@@ -57,7 +57,7 @@ def test_quotes_by_words_equal_quotes_by_automaton(spark, monkeypatch):
     asked = spark.createDataFrame(list(enumerate(quotes)), "item_id int, quote string")
     found = sorted(views.quoted(docs, asked).collect())
     monkeypatch.setattr(views, "AUTOMATON", -1)
-    assert found == sorted(views.quoted(docs, asked).collect()) and (4, 2, 0) in found and len(found) == 12
+    assert found == sorted(views.quoted(docs, asked).collect()) and (4, 2, 0) in found and len(found) == 11
 
 
 def test_places_of_quotes(spark):
