@@ -14,12 +14,12 @@ A run is a stretch of words with smallest period q, at least LEAST words and TIM
 
 Defined results: a null text has no words; words are told apart byte by byte; rows that repeat are rows of the result as often; ties of
 the greatest length / period go to the smallest start, then period; an empty table gives an empty result; other columns are ignored.
-Memory follows the longest text (some hundred bytes for each word of a repetitive stretch).
+Memory follows the longest text (some hundred bytes for each word of a repetitive stretch); the automaton is lists of numbers, which leave no holes behind.
 """
 
 from __future__ import annotations
 
-from collections.abc import Hashable, Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,50 +33,75 @@ LEAST, TIMES = 24, 3
 Run = tuple[int, int, int]
 
 
-def automaton(w: Sequence[int]) -> tuple[list[dict[int, int]], list[int]]:
-    """(transitions, end of the earliest occurrence) of the states of w's suffix automaton; state 0 is the empty word."""
-    step: list[dict[int, int]] = [{}]
-    link, size, early = [-1], [0], [-1]
-    last = 0
-    for i, letter in enumerate(w):
-        new = len(step)
-        step.append({})
-        link.append(0)
-        size.append(size[last] + 1)
-        early.append(i)
-        at, last = last, new
-        while at >= 0 and letter not in step[at]:
-            step[at][letter] = new
-            at = link[at]
-        if at < 0:
-            continue
-        to = step[at][letter]
-        if size[to] == size[at] + 1:
-            link[new] = to
-            continue
-        twin = len(step)
-        step.append(step[to].copy())
-        link.append(link[to])
-        size.append(size[at] + 1)
-        early.append(early[to])
-        link[to] = link[new] = twin
-        while at >= 0 and step[at].get(letter) == to:
-            step[at][letter] = twin
-            at = link[at]
-    return step, early
+class Automaton:
+    """The suffix automaton of a sequence of numbers (0 and more); state 0 is the empty word.
+
+    Nearly all states have one transition: its letter and aim stand in two lists. Only states with several have a table of them all.
+    """
+
+    def __init__(self, w: Sequence[int]):
+        self.letter, self.aim, self.more = [-1], [0], {}
+        #: Where the earliest occurrence of a state's words ends.
+        self.early = [-1]
+        link, size, last = [-1], [0], 0
+        for i, letter in enumerate(w):
+            new = self._add(-1, 0, i)
+            link.append(0)
+            size.append(size[last] + 1)
+            at, last = last, new
+            while at >= 0 and self.step(at, letter) < 0:
+                self._put(at, letter, new)
+                at = link[at]
+            if at < 0:
+                continue
+            to = self.step(at, letter)
+            if size[to] == size[at] + 1:
+                link[new] = to
+                continue
+            twin = self._add(self.letter[to], self.aim[to], self.early[to])
+            if to in self.more:
+                self.more[twin] = self.more[to].copy()
+            link.append(link[to])
+            size.append(size[at] + 1)
+            link[to] = link[new] = twin
+            while at >= 0 and self.step(at, letter) == to:
+                self._put(at, letter, twin)
+                at = link[at]
+
+    def _add(self, letter: int, aim: int, early: int) -> int:
+        self.letter.append(letter)
+        self.aim.append(aim)
+        self.early.append(early)
+        return len(self.letter) - 1
+
+    def _put(self, state: int, letter: int, aim: int) -> None:
+        if state in self.more:
+            self.more[state][letter] = aim
+        elif self.letter[state] in (-1, letter):
+            self.letter[state], self.aim[state] = letter, aim
+        else:
+            self.more[state] = {self.letter[state]: self.aim[state], letter: aim}
+            self.letter[state] = -2
+
+    def step(self, state: int, letter: int) -> int:
+        """The state that a letter leads to; -1 for none."""
+        own = self.letter[state]
+        if own == letter:
+            return self.aim[state]
+        return self.more[state].get(letter, -1) if own == -2 else -1
 
 
 def factors(w: Sequence[int]) -> Iterator[tuple[int, int, int]]:
     """(start, end, start of an earlier occurrence or -1) of the LZ factors of w."""
-    step, early = automaton(w)
+    found = Automaton(w)
     start, n = 0, len(w)
     while start < n:
         state, end, source = 0, start, -1
         while end < n:
-            to = step[state][w[end]]
-            if early[to] >= end:  # its earliest occurrence is this one
+            to = found.step(state, w[end])
+            if found.early[to] >= end:  # its earliest occurrence is this one
                 break
-            state, source, end = to, early[to] - (end - start), end + 1
+            state, source, end = to, found.early[to] - (end - start), end + 1
         end = max(end, start + 1)
         yield start, end, source
         start = end
@@ -183,18 +208,22 @@ def collapsed(words: Sequence[bytes], found: list[Run]) -> bytes:
     return b" ".join(word for word, kept in zip(words, keep, strict=True) if kept) if found else b" ".join(words)
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text: str | Column = "text", least: int = LEAST, times: int = TIMES) -> DataFrame:
-    """(id, runs, collapsed) for every row: the runs as structs of start, length, period in that order, and the text without their repeats."""
+def detect(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST, times: int = TIMES, edit: Callable[[list[bytes], object], list[bytes]] | None = None) -> DataFrame:
+    """(id, runs, collapsed) for every row: the runs as structs of start, length, period in that order, and the text without their repeats.
+
+    edit changes the words of a text, given its id too, before they are looked at.
+    """
     assert times >= 3
-    rows = docs.select(F.col(id_col).alias("id"), (F.col(text) if isinstance(text, str) else text).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     run_type = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "length", "period")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tokens.slices(batch, "text"):
                 all_runs, texts = [], []
-                for value in part.column(1):
+                for own, value in zip(part.column(0), part.column(1), strict=True):
                     words = (value.as_py() or "").encode().split()  # bytes part at ASCII white space alone
+                    words = edit(words, own.as_py()) if edit else words
                     found = runs(words, least, times)
                     all_runs.append([{"start": a, "length": b - a, "period": p} for a, b, p in found])
                     texts.append(collapsed(words, found).decode())

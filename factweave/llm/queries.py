@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.llm import fingerprint, importance, language, lm, media, mixing, near_dedup, packing, periodic, pii, quality, simhash, toxicity
-from factweave.llm.common import WORD, documents, fold
+from factweave.llm.common import documents, fold
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,21 +82,18 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
 
 
-def with_tails(docs: DataFrame) -> DataFrame:
-    """documents, of which those with crc32(doc_id) % 10 = 0 go on periodically from a word on, as the contract of op13 has it."""
-    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
-    rows = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words))
-    rows = rows.withColumn("n", F.size("w")).withColumn("g", F.floor(F.col("h") / 10))
-    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
-    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
-    tail = F.transform(F.sequence(F.col("a"), F.col("n") - 1), lambda i: F.get("w", F.col("a") + (i - F.col("a")) % F.col("p")))
-    changed = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
-    return rows.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), changed).otherwise(F.col("text")).alias("text"))
+def with_tail(words: list[bytes], doc_id: object) -> list[bytes]:
+    """The words of a document; where crc32(doc_id) % 10 = 0 they go on periodically from one of them on, as the contract of op13 has it."""
+    h, n = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    a = h // 10 % n
+    p = 1 + (n - a) // (3 + h // 10 % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
 
 
 def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = periodic.detect(with_tails(documents(spark, sf_dir))).withColumn("best", periodic.strongest(F.col("runs")))
+    found = periodic.detect(documents(spark, sf_dir), edit=with_tail).withColumn("best", periodic.strongest(F.col("runs")))
     lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
     listed = F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")
     best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
