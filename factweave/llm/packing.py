@@ -89,9 +89,12 @@ def pieces(docs: DataFrame, id_col: str, text: str, capacity: int, end_id: int,
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long, key long")
 
 
-def _counts(df: DataFrame, size: str) -> dict[int, int]:
-    """Rows by size: at most one for each unit of capacity."""
-    return {r[0]: r[1] for r in df.groupBy(size).count().collect()}
+def _counts(left: DataFrame, gaps: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """(pieces by length, gaps by room that some piece fits): at most one row of each for each unit of capacity, by one job."""
+    rows = left.select("length", F.lit(0).alias("gap")).union(gaps.select("room", F.lit(1))).groupBy("gap", "length").count().collect()
+    lengths, rooms = ({r.length: r["count"] for r in rows if r.gap == kind} for kind in (0, 1))
+    least = min(lengths, default=0)
+    return lengths, {room: n for room, n in rooms.items() if room >= least}
 
 
 def wanted(lengths: dict[int, int], rooms: dict[int, int], capacity: int) -> int:
@@ -156,9 +159,11 @@ def sequences(cuts: DataFrame, capacity: int) -> DataFrame:
     done = [rows.where(alone).withColumn("sequence_id", F.col("key"))]
     gaps = done[0].select("sequence_id", (F.lit(capacity) - F.col("length")).alias("room"))
     left = rows.where(~alone)
-    while lengths := _counts(left, "length"):
+    while True:
+        lengths, rooms = _counts(left, gaps)
+        if not lengths:
+            return functools.reduce(DataFrame.unionByName, done)
         gaps = gaps.where(F.col("room") >= min(lengths))
-        rooms = _counts(gaps, "room")
         if new := wanted(lengths, rooms, capacity):
             gaps = gaps.unionByName(spark.range(new).select((F.lit(-1 - opened) - F.col("id")).alias("sequence_id"), F.lit(capacity).cast("long").alias("room")))
             opened, rooms[capacity] = opened + new, new + rooms.get(capacity, 0)
@@ -166,9 +171,7 @@ def sequences(cuts: DataFrame, capacity: int) -> DataFrame:
         found = met.where("kind = 0").select("key", F.col("size").alias("length"), "sequence_id")
         done.append(found.where("sequence_id is not null"))
         left = found.where("sequence_id is null").drop("sequence_id")
-        shrunk = met.where("kind = 1").groupBy(F.col("key").alias("sequence_id")).agg((F.max("size") - F.coalesce(F.sum("taken"), F.lit(0))).alias("room"))
-        gaps = materialize(shrunk, "gaps")
-    return functools.reduce(DataFrame.unionByName, done)
+        gaps = met.where("kind = 1").groupBy(F.col("key").alias("sequence_id")).agg((F.max("size") - F.coalesce(F.sum("taken"), F.lit(0))).alias("room"))
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = 1024, end_id: int = 2, vocabulary: str = VOCABULARY) -> DataFrame:

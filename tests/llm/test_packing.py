@@ -65,7 +65,7 @@ def test_sweep_is_best_fit_one_by_one(spark):
     lengths, rooms = rng.integers(1, 40, 300).tolist() + [7] * 150, rng.integers(1, 60, 200).tolist() + [9] * 80
     left = pieces_of(spark, lengths)
     gaps = spark.createDataFrame(list(enumerate(rooms)), "sequence_id long, room long").where(f"room >= {min(lengths)}")
-    many, sizes = _counts(left, "length"), _counts(gaps, "room")
+    many, sizes = _counts(left, gaps)
     met = sweep(left, gaps, many, sizes).collect()
     free = sorted(room for room, k in places(many, sizes) for _ in range(k * sizes[room]))
     want = []
