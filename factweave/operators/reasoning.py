@@ -89,19 +89,14 @@ def _both(qualifier: str) -> Column:
     return F.coalesce(F.array_contains("a_qualifiers", qualifier) & F.array_contains("b_qualifiers", qualifier), F.lit(False))
 
 
-def _compared(pairs: DataFrame) -> DataFrame:
-    """The columns that both ladders ask for."""
-    a_text, b_text = F.lower(F.trim("a_raw_value")), F.lower(F.trim("b_raw_value"))
-    out = pairs.withColumns({"a_text": a_text, "b_text": b_text})
-    known = (F.col("a_period") != "unknown") & (F.col("b_period") != "unknown")
+def context(pairs: DataFrame) -> DataFrame:
+    """What sets the contexts of two claims apart, whatever their values, periods and places."""
     narrow = F.col("a_scope").isin("standalone", "segment", "industry") | F.col("b_scope").isin("standalone", "segment", "industry")
     told = (F.col("a_scope") != "unspecified") & (F.col("b_scope") != "unspecified")
     parts = F.array_sort(F.array("a_sub_metric", "b_sub_metric"))
     named = (F.col("a_sub_metric") != "unspecified") & (F.col("b_sub_metric") != "unspecified") & (F.col("a_sub_metric") != "") & (F.col("b_sub_metric") != "")
-    out = out.withColumns({
-        "identifiers": identifier_shaped(F.col("a_text")) & identifier_shaped(F.col("b_text")),
+    out = pairs.withColumns({
         "family_only": F.col("a_metric_canonical") != F.col("b_metric_canonical"),
-        "same_document": F.col("a_document_id") == F.col("b_document_id"),
         "scope_differs": F.coalesce((F.col("a_scope") != F.col("b_scope")) & (told | narrow), F.lit(False)),
         "basis_differs": F.coalesce(F.col("a_accounting_standard") != F.col("b_accounting_standard"), F.lit(False)),
         "sub_metric_differs": F.coalesce((F.col("a_sub_metric") != F.col("b_sub_metric")) & named & (parts != F.array(F.lit("operations"), F.lit("total"))), F.lit(False)),
@@ -112,14 +107,26 @@ def _compared(pairs: DataFrame) -> DataFrame:
     context_ok = F.lit(True)
     for c in odd:
         context_ok = context_ok & ~F.col(c)
+    return out.withColumn("context_ok", context_ok)
+
+
+def _compared(pairs: DataFrame) -> DataFrame:
+    """The columns that both ladders ask for."""
+    a_text, b_text = F.lower(F.trim("a_raw_value")), F.lower(F.trim("b_raw_value"))
+    out = context(pairs).withColumns({"a_text": a_text, "b_text": b_text})
+    known = (F.col("a_period") != "unknown") & (F.col("b_period") != "unknown")
+    out = out.withColumns({
+        "identifiers": identifier_shaped(F.col("a_text")) & identifier_shaped(F.col("b_text")),
+        "same_document": F.col("a_document_id") == F.col("b_document_id"),
+    })
     same_page = F.col("same_document") & (F.col("a_page_number") == F.col("b_page_number")) & (F.col("a_char_start") == F.col("b_char_start"))
     return out.withColumns({
         "period_ok": F.col("identifiers") | F.coalesce(known & (F.col("a_period") == F.col("b_period")), F.lit(False)),
-        "context_ok": context_ok, "same_sentence": F.coalesce(same_page, F.lit(False)),
+        "same_sentence": F.coalesce(same_page, F.lit(False)),
     })
 
 
-def _ladder(rungs: tuple[Rung, ...], pick) -> Column:
+def ladder(rungs: tuple[Rung, ...], pick) -> Column:
     first, *rest = rungs
     out = F.when(F.expr(first.when), pick(first))
     for rung in rest:
@@ -134,9 +141,9 @@ def _confidence(rung: Rung) -> Column:
 def _judge(out: DataFrame, rungs: tuple[Rung, ...]) -> DataFrame:
     least = F.least("a_confidence", "b_confidence")
     return out.withColumns({
-        "relationship_type": _ladder(rungs, lambda r: F.lit(r.verdict)),
-        "divergence_factor": _ladder(rungs, lambda r: F.lit(r.factor)),
-        "confidence": F.bround(_ladder(rungs, _confidence) * least / 0.9, 2),
+        "relationship_type": ladder(rungs, lambda r: F.lit(r.verdict)),
+        "divergence_factor": ladder(rungs, lambda r: F.lit(r.factor)),
+        "confidence": F.bround(ladder(rungs, _confidence) * least / 0.9, 2),
         "match_basis": F.when(F.col("family_only"), "family").otherwise("exact"),
         "cross_document": ~F.col("same_document"),
         "id": F.sha2(F.concat_ws("|", F.lit("rel"), "a_id", "b_id"), 256),
@@ -156,14 +163,18 @@ def judge_numbers(pairs: DataFrame) -> DataFrame:
     return out.withColumns({"delta_percentage": F.bround("delta_pct", 2), "delta_absolute": F.bround("delta", 4)})
 
 
+def likeness(pairs: DataFrame, similarity: Column) -> DataFrame:
+    """The columns that the ladder of texts asks for, besides periods."""
+    out = pairs.withColumns({"attribute": F.col("a_metric_canonical").startswith("attr."), "equal_text": F.col("a_text") == F.col("b_text"), "similarity": similarity})
+    return out.withColumn("same_text", F.col("equal_text") | (~F.col("identifiers") & (F.col("similarity") >= V.TEXT_SAME)))
+
+
 def judge_texts(pairs: DataFrame) -> DataFrame:
     """Verdicts on pairs of which a side has no number: attributes and states."""
     out = _compared(pairs.where("a_numeric_value is null or b_numeric_value is null"))
     a, b, ids = F.col("a_text"), F.col("b_text"), F.col("identifiers")
-    out = out.withColumns({"attribute": F.col("a_metric_canonical").startswith("attr."), "equal_text": a == b})
     alike = identifier_similarity(F.when(ids, a), F.when(ids, b))
-    out = out.withColumn("similarity", F.when(ids, alike).otherwise(token_similarity(a, b)))
-    out = out.withColumn("same_text", F.col("equal_text") | (~ids & (F.col("similarity") >= V.TEXT_SAME)))
+    out = likeness(out, F.when(ids, alike).otherwise(token_similarity(a, b)))
     return _judge(out, TEXTS).withColumns({"delta_percentage": F.lit(None).cast("double"), "delta_absolute": F.lit(None).cast("double")})
 
 
