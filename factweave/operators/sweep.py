@@ -116,7 +116,9 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, dir
 
     if direction == "nearest":
         early, late = same_key("earlier"), same_key("later")
-        number = lambda c: c.cast("double")
+        kind = dict(right.dtypes)[at]
+        micros = lambda c: F.unix_micros(c.cast("timestamp"))
+        number = {"timestamp": micros, "timestamp_ntz": micros, "date": F.unix_date}.get(kind, lambda c: c)
         nearer = number(time) - number(early[at]) <= number(late[at]) - number(time)
         match = F.when(late.isNull() | nearer, early).otherwise(late)
     else:
