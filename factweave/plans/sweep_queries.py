@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.operators import sweep, tally
+from factweave.operators import spatial, sweep, tally
 from factweave.plans import claims, oracle
 from factweave.plans.queries import query
 
@@ -72,3 +72,23 @@ def verdict_tally(spark, sf):
 def document_tally(spark, sf):
     """Verdict counts of each pair of documents, counted without pairs of facts."""
     return tally.verdict_counts(claims.facts(spark, sf), per_document=True).groupBy("doc_a", "doc_b", "relationship_type").agg(F.sum("n").alias("n"))
+
+
+_BOXES = """lines AS (SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS ix, min(l_suppkey) AS s, min(CAST(l_quantity AS BIGINT)) AS q, l_partkey AS p, l_linenumber AS n FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY l_orderkey, l_linenumber, l_partkey),
+amounts AS (SELECT page, ix, p % 7 * 20 AS x0, n * 20 + q % 15 AS y0, p % 7 * 20 + 60 AS x1, n * 20 + q % 15 + 12 AS y1 FROM lines),
+names AS (SELECT page, ix, s % 7 * 20 + 3 AS x0, n * 22 + page % 9 AS y0, s % 7 * 20 + 63 AS x1, n * 22 + page % 9 + 12 AS y1 FROM lines)"""
+
+
+@query(f"""WITH {_BOXES},
+near AS (SELECT v.page, v.ix AS value_ix, l.ix AS label_ix, CASE WHEN l.y0 - v.y1 BETWEEN -6 AND 28 THEN l.y0 - v.y1 WHEN v.y0 - l.y1 BETWEEN -6 AND 28 THEN v.y0 - l.y1 + 10 END AS d
+  FROM amounts v JOIN names l ON v.page = l.page AND l.x0 < v.x1 AND l.x1 > v.x0 AND abs(l.x0 - v.x0) <= 40),
+asked AS (SELECT page, value_ix, list({{'v': value_ix, 'l': label_ix, 'd': d}} ORDER BY d, label_ix) AS wishes FROM near WHERE d IS NOT NULL GROUP BY ALL),
+told AS (SELECT page, list_reduce(list_prepend([], list(wishes ORDER BY value_ix)), lambda done, x: list_concat(done, list_filter(x, lambda y: NOT list_contains(list_transform(done, lambda z: z.l), y.l))[1:1])) AS done FROM asked GROUP BY page)
+SELECT page, m.v AS value_ix, m.l AS label_ix, CAST(m.d AS DOUBLE) AS d FROM (SELECT page, unnest(done) AS m FROM told)""")
+def tiles_by_grid(spark, sf):
+    """An order is a page whose lines put an amount and a name on it; each amount takes its nearest free name, in block order."""
+    names = spark.read.parquet(f"{sf}/lineitem.parquet")
+    sides = spark.sql(f"WITH lineitem AS (SELECT * FROM {{lineitem}}), {_BOXES} SELECT 'v' AS side, * FROM amounts UNION ALL SELECT 'l', * FROM names", lineitem=names)
+    boxes = sides.select("side", "page", F.col("ix").alias("block_ix"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    near = spatial.near_labels(boxes.where("side = 'v'"), boxes.where("side = 'l'"), ["page"])
+    return spatial.pair_by_order(near, ["page"])
