@@ -1,13 +1,20 @@
 """The engine behind the views: documents, facts and relationships as versioned tables below one path.
 
-Every change writes a new version of the tables and then, as its last step, the version's mark; readers take the highest marked
-version, so a change that breaks off leaves the old state. An upload meets the stored facts incrementally; a rebuild judges all.
+A version is one small file that lists the folders of each table. A change writes new folders and then, as its last step, the file of the next
+version, which must not be there yet: of two writers that began at one version the later one fails to put its file, and does its
+change again on what the other left. A change that breaks off leaves the old state. What a change only adds to is not copied: an
+upload that replaces nothing adds a folder of its own documents, pages and relationships (facts too, where no families are asked for).
+An upload meets the stored facts incrementally; a rebuild judges all, and leaves one folder a table.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,14 +34,21 @@ DOCUMENTS = (
     "subject_country string, document_date string, document_period string, document_kind string"
 )
 PAGES = "document_id string, page_number int, text string, char_count int, token_estimate int, period_hint string, tiles array<struct<value_text:string,label_text:string,bbox:array<double>,start:int,end:int>>"
+#: How often a change is done again when other writers are faster.
+TRIES = 5
 _SHAPES = {"documents": DOCUMENTS, "pages": PAGES, "facts": FACTS, "relationships": RELATIONSHIPS}
 
 
+class Conflict(Exception):
+    """A change could not be made on top of any version before another writer had made the next one."""
+
+
 class Engine:
     """families: a callable from labels to a JSON payload of families, or None for each metric its own."""
 
     def __init__(self, spark: SparkSession, path: str, families_call: Callable[[list[str]], str] | None = None):
         self.spark, self.path, self.call = spark, path.rstrip("/"), families_call
+        self._base: int | None = None
 
     # Versions
 
@@ -43,28 +57,62 @@ class Engine:
         root = hadoop.Path(self.path)
         return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
+    def _log(self, version: int):
+        return self._fs()[1].Path(f"{self.path}/log/{version:012d}.json")
+
+    def _listed(self, version: int) -> dict[str, list[str]]:
+        """Folders by table of a version; of version 0 none."""
+        if not version:
+            return {n: [] for n in NAMES}
+        opened = self._fs()[0].open(self._log(version))
+        try:
+            return json.loads(bytes(opened.readAllBytes()))
+        finally:
+            opened.close()
+
     def version(self) -> int:
-        """The highest version with a mark; 0 before any."""
+        """The highest version; 0 before any."""
         fs, hadoop = self._fs()
-        found = fs.globStatus(hadoop.Path(f"{self.path}/v*/READY")) or []
-        return max((int(s.getPath().getParent().getName()[1:]) for s in found), default=0)
+        found = fs.globStatus(hadoop.Path(f"{self.path}/log/*.json")) or []
+        return max((int(s.getPath().getName()[:-5]) for s in found if s.getLen()), default=0)
 
     def table(self, name: str) -> DataFrame:
-        """One of NAMES as it is now; empty before the first change."""
-        now = self.version()
-        if not now:
+        """One of NAMES as it is now, or as it was when the change under way began; empty before the first change."""
+        folders = self._listed(self.version() if self._base is None else self._base)[name]
+        if not folders:
             return self.spark.createDataFrame([], _SHAPES[name])
-        return self.spark.read.schema(_SHAPES[name]).parquet(f"{self.path}/v{now}/{name}")
-
-    def _commit(self, **changed: DataFrame) -> None:
-        """A new version: the changed tables, and the others as they were."""
-        fs, hadoop = self._fs()
-        after = self.version() + 1
-        for name in NAMES:
-            df = changed[name] if name in changed else self.table(name)
-            columns = [f.name for f in self.spark.createDataFrame([], _SHAPES[name]).schema]
-            df.select(*columns).write.mode("overwrite").parquet(f"{self.path}/v{after}/{name}")
-        fs.create(hadoop.Path(f"{self.path}/v{after}/READY")).close()
+        return self.spark.read.schema(_SHAPES[name]).parquet(*[f"{self.path}/{f}" for f in folders])
+
+    def _change(self, work: Callable[[], tuple[dict[str, DataFrame], dict[str, DataFrame]]]) -> None:
+        """One change: work() tells the tables that are new as a whole, and the rows that others get; again if another writer was faster."""
+        for _ in range(TRIES):
+            self._base = self.version()
+            try:
+                whole, more = work()
+                listed = self._listed(self._base)
+                for name, df in [*whole.items(), *more.items()]:
+                    columns = [f.name for f in self.spark.createDataFrame([], _SHAPES[name]).schema]
+                    folder = f"data/{name}-{uuid.uuid4().hex}"
+                    df.select(*columns).write.parquet(f"{self.path}/{folder}")
+                    listed[name] = [folder] if name in whole else [*listed[name], folder]
+                if self._put(self._base + 1, listed):
+                    return
+            finally:
+                self._base = None
+        raise Conflict(f"{TRIES} times another writer was faster")
+
+    def _put(self, version: int, listed: dict[str, list[str]]) -> bool:
+        """The version's file, unless it is there already."""
+        fs, _ = self._fs()
+        try:
+            opened = fs.create(self._log(version), False)
+        except Py4JJavaError as failure:
+            if "AlreadyExists" in failure.java_exception.getClass().getName() or fs.exists(self._log(version)):
+                return False
+            raise
+        opened.write(bytearray(json.dumps(listed).encode()))
+        opened.close()
+        return True
 
     def _written(self, df: DataFrame, name: str) -> DataFrame:
         """df written to the scratch folder and read again: judging joins it many times, and neither derives nor plans it again."""
@@ -79,6 +127,9 @@ class Engine:
 
         One that comes again under its name replaces the old one, before anything is matched.
         """
+        self._change(lambda: self._uploaded(documents, pages, incremental))
+
+    def _uploaded(self, documents: DataFrame, pages: DataFrame, incremental: bool) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
         names = documents.select("original_name")
         old_docs = self.table("documents")
         gone = old_docs.join(names, "original_name", "left_semi").select("document_id")
@@ -94,13 +145,19 @@ class Engine:
         told = new_docs.select("document_id", F.col("original_name").alias("document_name"), "primary_entity", "subject_country", "document_date", "document_period")
         highest = self.table("facts").agg(F.coalesce(F.max("fact_seq"), F.lit(-1))).first()[0]
         new = self._written(extract.extract(pages.join(told, "document_id"), new_docs, highest + 1), "new")
+        own_pages = pages.select(*self.table("pages").columns)
+        if gone.isEmpty() and incremental and self.call is None:  # no fact that is stored changes
+            added = self._written(self._grouped(new).select(*FACTS.fieldNames()), "facts")
+            return {}, {"documents": new_docs.select(*kept.columns), "pages": own_pages, "facts": added, "relationships": judge(added, self.table("facts"))}
         facts, rels = tables.delete_documents(self.table("facts"), self.table("relationships"), gone)
         every = self._written(self._grouped(facts.unionByName(new)), "facts")
         ids = new_docs.select("document_id")
         grouped_new, grouped_old = every.join(ids, "document_id", "left_semi").select(*FACTS.fieldNames()), every.join(ids, "document_id", "left_anti").select(*FACTS.fieldNames())
-        linked = rels.unionByName(judge(grouped_new, grouped_old)) if incremental else judge(every)
-        all_pages = self.table("pages").join(gone, "document_id", "left_anti").unionByName(pages.select(*self.table("pages").columns))
-        self._commit(documents=kept.unionByName(new_docs.select(*kept.columns)), pages=all_pages, facts=every, relationships=linked)
+        linked = judge(grouped_new, grouped_old) if incremental else judge(every)
+        if gone.isEmpty():
+            return {"facts": every} | ({} if incremental else {"relationships": linked}), {"documents": new_docs.select(*kept.columns), "pages": own_pages} | ({"relationships": linked} if incremental else {})
+        all_pages = self.table("pages").join(gone, "document_id", "left_anti").unionByName(own_pages)
+        return {"documents": kept.unionByName(new_docs.select(*kept.columns)), "pages": all_pages, "facts": every, "relationships": rels.unionByName(linked) if incremental else linked}, {}
 
     def upload_blocks(self, documents: DataFrame, blocks: DataFrame, incremental: bool = True) -> None:
         """upload from page blocks (schema.PAGE_BLOCKS)."""
@@ -119,17 +176,25 @@ class Engine:
 
     def rebuild(self) -> None:
         """Families and relationships of all facts anew."""
-        facts = self._written(self._grouped(self.table("facts")), "facts")
-        self._commit(facts=facts, relationships=judge(facts))
+        def work():
+            facts = self._written(self._grouped(self.table("facts")), "facts")
+            return {"facts": facts, "relationships": judge(facts)}, {}
+
+        self._change(work)
 
     def delete(self, document_id: str) -> None:
         """A document, its pages, facts and their relationships; the rest is judged anew."""
         ids = self.spark.createDataFrame([(document_id,)], "document_id string")
-        facts = self._written(self._grouped(self.table("facts").join(ids, "document_id", "left_anti")), "facts")
-        self._commit(documents=self.table("documents").join(ids, "document_id", "left_anti"), pages=self.table("pages").join(ids, "document_id", "left_anti"), facts=facts, relationships=judge(facts))
+
+        def work():
+            left = {n: self.table(n).join(ids, "document_id", "left_anti") for n in ("documents", "pages", "facts")}
+            left["facts"] = self._written(self._grouped(left["facts"]), "facts")
+            return left | {"relationships": judge(left["facts"])}, {}
+
+        self._change(work)
 
     def clear(self) -> None:
-        self._commit(**{n: self.spark.createDataFrame([], _SHAPES[n]) for n in NAMES})
+        self._change(lambda: ({n: self.spark.createDataFrame([], _SHAPES[n]) for n in NAMES}, {}))
 
     # Reads
 

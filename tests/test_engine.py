@@ -47,3 +47,43 @@ def test_families_bring_labels_together(spark, tmp_path):
     upload(engine, "two.pdf", text.format("Storage area"))
     (r,) = engine.table("relationships").collect()
     assert (r.relationship_type, r.match_basis) == ("CORROBORATED", "family")
+
+
+def folders(engine):
+    return engine._listed(engine.version())
+
+
+def test_an_upload_adds_and_copies_nothing(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"))
+    upload(engine, "one.pdf", ONE)
+    before = folders(engine)
+    upload(engine, "two.pdf", TWO)
+    after = folders(engine)
+    assert all(after[n][: len(before[n])] == before[n] and len(after[n]) == len(before[n]) + 1 for n in after)
+    grown = verdicts(engine)
+    engine.rebuild()
+    assert verdicts(engine) == grown and [len(folders(engine)[n]) for n in ("documents", "facts", "relationships")] == [2, 1, 1]
+
+
+def test_of_two_racing_writers_one_does_its_change_again(spark, tmp_path):
+    store = str(tmp_path / "store")
+    slow, fast = Engine(spark, store), Engine(spark, store)
+    upload(slow, "one.pdf", ONE)
+    real, tries = slow._uploaded, []
+
+    def overtaken(*args):
+        tries.append(slow._base)
+        found = real(*args)
+        if len(tries) == 1:
+            upload(fast, "two.pdf", TWO)
+        return found
+
+    slow._uploaded = overtaken
+    upload(slow, "three.pdf", TWO.replace("1,180", "1,181"))
+    assert tries == [1, 2] and slow.version() == 3
+    assert {r.original_name for r in fast.table("documents").collect()} == {"one.pdf", "two.pdf", "three.pdf"}
+    seqs = [r.fact_seq for r in fast.table("facts").collect()]
+    assert len(seqs) == len(set(seqs))
+    lost = verdicts(fast)
+    fast.rebuild()
+    assert verdicts(fast) == lost
