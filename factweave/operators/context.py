@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from factweave.functions import periods
 from factweave.functions import vocabulary as V
 
-_DAY = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+\d{1,2},?\s+(?:19|20)\d\d"
 # How names, organisations and headings look.
 _COMPANY = r"((?:[A-Z][A-Za-z0-9&'\-]*\.?\s+){1,5}(?:Limited|Ltd\.?|Inc\.?|Incorporated|Corporation|Corp\.?|PLC|LLC|LLP|Pvt\.?\s?Ltd\.?|Private Limited)(?![a-z]))"
 _NAME_STOP = r"(?i)^(?:(?:for|the|of|by|and|with|to|in|on|at|yours|sincerely|faithfully|dear|from|our|company|limited|ltd|a|an|as|or|sub|re)[.,]*\s+)+"
@@ -86,8 +85,8 @@ def _report_year(head: Column) -> Column:
 
 def document_date(head: Column) -> Column:
     """The day that a document is dated or speaks as of, else the end of its report's year, else the first day it names."""
-    told = F.regexp_extract(head, rf"(?i)\b(?:dated|as of|as on)\s+({_DAY})", 1)
-    year, any_day = _report_year(head), F.regexp_extract(head, rf"({_DAY})", 1)
+    told = F.regexp_extract(head, rf"(?i)\b(?:dated|as of|as on)\s+({V.DAY})", 1)
+    year, any_day = _report_year(head), F.regexp_extract(head, rf"({V.DAY})", 1)
     return F.when(told != "", periods.english_date(told)).when(year.isNotNull(), F.concat(year, F.lit("-03-31"))).when(any_day != "", periods.english_date(any_day))
 
 
@@ -95,7 +94,7 @@ def document_period(head: Column) -> Column:
     """The fiscal year that a document reports on: its report's years, its report's year, the year that ended, the FY named most."""
     year = _report_year(head)
     single = F.coalesce(*[F.nullif(F.regexp_extract(head, p, 1), F.lit("")) for p in (r"(?i)annual report\s+(20\d\d)", r"(?i)(20\d\d)\s+annual report")])
-    ended = periods.english_date(F.regexp_extract(head, rf"(?i)year\s+ended\s+({_DAY})", 1))
+    ended = periods.english_date(F.regexp_extract(head, rf"(?i)year\s+ended\s+({V.DAY})", 1))
     named = F.regexp_extract_all(head, F.lit(r"\bFY\s?(\d{2,4})\b"), F.lit(1))
     # The most frequent, the first named of equals: positions break ties.
     ranked = F.array_max(F.transform(F.array_distinct(named), lambda y: F.struct(F.size(F.filter(named, lambda z: z == y)).alias("n"), (-F.array_position(named, y)).alias("order"), y.alias("y"))))

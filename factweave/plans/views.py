@@ -69,7 +69,8 @@ def cases(enriched: DataFrame, top: int = 3) -> DataFrame:
     by = F.when(F.col("relationship_type") == EXPLAINED, F.col("divergence_factor")).otherwise(F.col("relationship_type"))
     named = enriched.withColumn("case", by).where((F.col("relationship_type") != EXPLAINED) | F.col("divergence_factor").isin(*EXPLAINED_CASES))
     ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy("case").orderBy(*_case_order())))
-    return ranked.where(F.col("rank") <= F.when(F.col("relationship_type") == EXPLAINED, 1).otherwise(top))
+    # The literal bound lets each task keep its first rows only; the explained ones are cut further then.
+    return ranked.where(F.col("rank") <= top).where((F.col("relationship_type") != EXPLAINED) | (F.col("rank") == 1))
 
 
 def low_confidence_reasons(facts: DataFrame, top: int = 8) -> DataFrame:
@@ -90,9 +91,9 @@ def review_queue(enriched: DataFrame) -> DataFrame:
     spread = F.when(F.col("delta_percentage").isNotNull(), F.least(F.lit(25.0), F.col("delta_percentage") / 4)).when(F.col("a_normalized_unit") == "TEXT", 12.0).otherwise(0.0)
     rows = enriched.withColumn("base", score).where("base is not null").withColumn("severity", F.bround(F.col("base") * F.col("confidence") + spread, 1))
     group = ["relationship_type", "metric_canonical", "a_period", "entity_canonical", F.least("a_document_name", "b_document_name"), F.greatest("a_document_name", "b_document_name")]
-    within = Window.partitionBy(*group)
-    ranked = rows.withColumn("rank", F.row_number().over(within.orderBy(F.desc("severity"), "a_fact_seq", "b_fact_seq")))
-    return ranked.withColumn("also", F.count(F.lit(1)).over(within) - 1).where("rank = 1").drop("rank", "base")
+    sharpest = F.min_by(F.struct(*rows.drop("base").columns), F.struct(-F.col("severity"), "a_fact_seq", "b_fact_seq"))
+    best = rows.groupBy(*[g if isinstance(g, str) else g.alias(f"document_{i}") for i, g in enumerate(group)]).agg(sharpest.alias("best"), F.count(F.lit(1)).alias("n"))
+    return best.select("best.*", (F.col("n") - 1).alias("also"))
 
 
 def doc_matrix(rels: DataFrame) -> DataFrame:
