@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.operators import spatial, sweep, tally
+from factweave.operators import search, spatial, sweep, tally
 from factweave.plans import claims, oracle
 from factweave.plans.queries import query
+from factweave.sources import scratch
 
 
 def _events(spark: SparkSession, sf: str, kind: str) -> DataFrame:
@@ -92,3 +93,15 @@ def tiles_by_grid(spark, sf):
     boxes = sides.select("side", "page", F.col("ix").alias("block_ix"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
     near = spatial.near_labels(boxes.where("side = 'v'"), boxes.where("side = 'l'"), ["page"])
     return spatial.pair_by_order(near, ["page"])
+
+
+_QUESTION = "tion De"
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains(lower(text), lower('{_QUESTION}'))")
+def search_documents(spark, sf):
+    """Documents that contain a phrase, by their trigrams and the exact test."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    path = scratch.path(spark, "postings")
+    search.write_postings(rows, "doc_id", "text", path)
+    return search.search(rows, "doc_id", "text", _QUESTION, path).select("doc_id")
