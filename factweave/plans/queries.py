@@ -74,13 +74,19 @@ def match_delta_pairs(spark, sf):
     return matching.delta_pairs(facts.where(_NEW), facts.where(f"not {_NEW}")).select("a_id", "b_id")
 
 
-@query(f"{oracle.PAIRS} SELECT least(a_id, b_id) AS one, greatest(a_id, b_id) AS other FROM pairs")
+_SUMS = ("count(*) AS pairs", "CAST(sum((a_fact_seq % 1009) * (b_fact_seq % 1013)) AS BIGINT) AS products", "CAST(sum(a_fact_seq % 1000003 + b_fact_seq % 1000003) AS BIGINT) AS sums")
+
+
+@query(f"""{oracle.PAIRS}, ordered AS (SELECT a_entity_canonical AS entity, a_normalized_unit AS unit, least(a_fact_seq, b_fact_seq) AS a_fact_seq, greatest(a_fact_seq, b_fact_seq) AS b_fact_seq FROM pairs)
+SELECT entity, unit, {', '.join(_SUMS)} FROM ordered GROUP BY ALL""")
 def match_delta_equals_full(spark, sf):
-    """Old pairs and added pairs are all pairs."""
+    """Old pairs and added pairs are all pairs; of each bucket their number and two sums over them."""
     facts = _facts(spark, sf)
     old, new = facts.where(f"not {_NEW}"), facts.where(_NEW)
-    both = matching.bucket_pairs(old).select("a_id", "b_id").union(matching.delta_pairs(new, old).select("a_id", "b_id"))
-    return both.select(F.least("a_id", "b_id").alias("one"), F.greatest("a_id", "b_id").alias("other"))
+    names = ("a_entity_canonical", "a_normalized_unit", "a_fact_seq", "b_fact_seq")
+    both = matching.bucket_pairs(old).select(*names).union(matching.delta_pairs(new, old).select(*names))
+    ordered = both.select(F.col(names[0]).alias("entity"), F.col(names[1]).alias("unit"), F.least(*names[2:]).alias("a_fact_seq"), F.greatest(*names[2:]).alias("b_fact_seq"))
+    return ordered.groupBy("entity", "unit").agg(*[F.expr(s) for s in _SUMS])
 
 
 # The ladder
@@ -143,7 +149,7 @@ def enrich_cross_document(spark, sf):
     return views.enrich(rels, facts).groupBy("cross_document").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("a_fact_seq") % 1000 + F.col("b_fact_seq") % 1000).alias("check_sum"))
 
 
-@query(f"{oracle.JUDGED} SELECT f.id, f.document_id FROM facts f SEMI JOIN linked l ON f.id = l.id")
+@query(f"{oracle.PAIRS} SELECT id, document_id FROM (SELECT id, document_id, count(*) OVER (PARTITION BY entity_canonical, fam, normalized_unit) AS n FROM elig) WHERE n > 1")
 def linked_facts(spark, sf):
     """J7."""
     facts, rels = _rels(spark, sf)

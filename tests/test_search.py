@@ -10,14 +10,14 @@ from factweave.sources import llm
 @pytest.fixture(scope="module")
 def texts(spark, tmp_path_factory):
     rnd = random.Random(6)
-    rows = [(i, "".join(rnd.choice("abÄé 1%_") for _ in range(rnd.randrange(60))), "x") for i in range(400)] + [(400, None, "x"), (401, "", "x"), (7, "again ab1", "x")]
+    rows = [(i, "".join(rnd.choice("abÄé 1%_😀") for _ in range(rnd.randrange(60))), "x") for i in range(400)] + [(400, None, "x"), (401, "", "x"), (7, "again ab1", "x")]
     df = spark.createDataFrame(rows, "id long, body string, gram string")
     path = str(tmp_path_factory.mktemp("search") / "postings")
     search.write_postings(df, "id", "body", path)
     return df, path
 
 
-@pytest.mark.parametrize("question", ["ab1", "AB1", "äé ", "a%_b", "no such thing", "a", "", "bbbbb", "ab ab"])
+@pytest.mark.parametrize("question", ["ab1", "AB1", "äé ", "a%_b", "no such thing", "a", "", "bbbbb", "ab ab", "a😀b", "😀😀"])
 def test_same_rows_as_contains(texts, question):
     df, path = texts
     want = df.where(F.contains(F.lower("body"), F.lower(F.lit(question)))).collect()
