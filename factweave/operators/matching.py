@@ -44,34 +44,46 @@ KEYS = ["k_entity", "k_family", "k_unit"]
 BLOCK = 1024
 
 
-def _dealt(facts: DataFrame, block: int) -> DataFrame:
-    """Facts, each once for every pair of blocks of its bucket that it is in: KEYS, here <= there, own, columns x_*.
+def heavy_buckets(facts: DataFrame, block: int) -> DataFrame:
+    """KEYS and n of the buckets of more than `block` facts; they are no more than all facts by block."""
+    return _side(facts, "x").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
 
-    A bucket of at most `block` facts is one block. A larger one has as many as hold `block` facts each on average; facts are dealt to them by a hash.
+
+def _dealt(facts: DataFrame, heavy: DataFrame, block: int) -> DataFrame:
+    """Facts of heavy buckets, each once for every pair of blocks of its bucket that it is in: KEYS, here <= there, own, columns x_*.
+
+    A bucket has as many blocks as hold `block` facts each on average; facts are dealt to them by a hash.
     """
-    rows = _side(facts, "x")
-    sizes = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    parts = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
-    rows = rows.join(sizes, KEYS, "left").withColumn("parts", parts).drop("n")
+    parts = F.ceil(F.col("n") / block).cast("int")
+    rows = _side(facts, "x").join(heavy, KEYS).withColumn("parts", parts).drop("n")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("x_fact_seq"), F.col("parts")).cast("int"))
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return met.withColumns({"here": F.least("own", "other"), "there": F.greatest("own", "other")}).drop("parts", "other")
 
 
-def bucket_pairs(facts: DataFrame, block: int | None = None) -> DataFrame:
-    """Every admitted pair of a bucket once, the earlier fact first: columns a_* and b_*.
-
-    Heavy buckets are triangles of blocks: each pair of blocks meets once, in a group of its own, so a bucket of n facts is n * n / 2 comparisons in
-    groups of at most two blocks, whatever share of the facts it has, and each fact is copied once a block.
-    """
-    dealt = _dealt(facts, block or BLOCK)
+def _triangles(dealt: DataFrame) -> DataFrame:
+    """The pairs of dealt facts, the earlier one first: each pair of blocks meets once, in a group of its own."""
     group = [*KEYS, "here", "there"]
     one = dealt.where("own = here").select(*group, *[F.col(f"x_{c}").alias(f"one_{c}") for c in COMPARED])
     two = dealt.where("own = there").select(*group, *[F.col(f"x_{c}").alias(f"two_{c}") for c in COMPARED])
     first, second = F.col("one_fact_seq"), F.col("two_fact_seq")
     met = one.join(two, group).where(F.when(F.col("here") == F.col("there"), first < second).otherwise(first != second))
     ordered = [F.when((first < second) == F.lit(side == "a"), F.col(f"one_{c}")).otherwise(F.col(f"two_{c}")).alias(f"{side}_{c}") for side in "ab" for c in COMPARED]
-    return _admitted(met.select(*KEYS, *ordered))
+    return met.select(*KEYS, *ordered)
+
+
+def bucket_pairs(facts: DataFrame, block: int | None = None) -> DataFrame:
+    """Every admitted pair of a bucket once, the earlier fact first: columns a_* and b_*.
+
+    Heavy buckets, if there are any (they are counted first), are triangles of blocks: a bucket of n facts is n * n / 2 comparisons in groups of at most
+    two blocks, whatever share of the facts it has, and each fact is copied once a block. All others meet in one plain join.
+    """
+    heavy = heavy_buckets(facts, block or BLOCK)
+    a, b = _side(facts, "a"), _side(facts, "b")
+    if heavy.isEmpty():
+        return _admitted(a.join(b, KEYS).where("a_fact_seq < b_fact_seq"))
+    light = a.join(heavy.select(*KEYS), KEYS, "left_anti").join(b, KEYS).where("a_fact_seq < b_fact_seq")
+    return _admitted(light.unionByName(_triangles(_dealt(facts, heavy, block or BLOCK))))
 
 
 def delta_pairs(new: DataFrame, old: DataFrame) -> DataFrame:

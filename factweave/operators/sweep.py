@@ -61,7 +61,9 @@ def scan(lined: DataFrame, order: Sequence[str], **steps: Step) -> DataFrame:
     rows = lined.withColumns({f"in_{n}": s.value for n, s in steps.items()})
     within, place = Window.partitionBy("slice_").orderBy(*order), F.struct(*order)
     up_to = {strict: within.rowsBetween(Window.unboundedPreceding, -1 if strict else 0) for strict in (True, False)}
-    from_on = {strict: within.rowsBetween(1 if strict else 0, Window.unboundedFollowing) for strict in (True, False)}
+    # What follows is what came before in the other order: a frame from a row to the end would be read again for each row.
+    backward = Window.partitionBy("slice_").orderBy(*[F.desc_nulls_last(c) for c in order])
+    from_on = {strict: backward.rowsBetween(Window.unboundedPreceding, -1 if strict else 0) for strict in (True, False)}
     before = Window.orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)
     behind = Window.orderBy("slice_").rowsBetween(1, Window.unboundedFollowing)
     here, ends, brought, out = {}, [], [], {}
@@ -78,7 +80,7 @@ def scan(lined: DataFrame, order: Sequence[str], **steps: Step) -> DataFrame:
             here[n], end, over = F.last(x, True).over(up_to[s.strict]), F.max_by(x, known), F.last(edge, True).over(before)
             out[n] = F.coalesce(own, carry)
         else:
-            here[n], end, over = F.first(x, True).over(from_on[s.strict]), F.min_by(x, known), F.first(edge, True).over(behind)
+            here[n], end, over = F.last(x, True).over(from_on[s.strict]), F.min_by(x, known), F.first(edge, True).over(behind)
             out[n] = F.coalesce(own, carry)
         ends.append(end.alias(f"edge_{n}"))
         brought.append(over.alias(f"carry_{n}"))
