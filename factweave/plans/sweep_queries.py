@@ -19,22 +19,23 @@ _EVENTS = """bought AS (SELECT user_id, ts, event_id FROM events WHERE event_typ
 clicks AS (SELECT user_id, ts, min(event_id) AS click FROM events WHERE event_type = 'click' AND user_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL)"""
 
 
-@query(f"WITH {_EVENTS} SELECT b.event_id, c.click, epoch_us(b.ts) - epoch_us(c.ts) AS micros FROM bought b ASOF LEFT JOIN clicks c ON b.user_id = c.user_id AND b.ts >= c.ts")
+@query(f"WITH {_EVENTS} SELECT b.event_id, coalesce(c.click, -1) AS click, coalesce(epoch_us(b.ts) - epoch_us(c.ts), -1) AS micros FROM bought b ASOF LEFT JOIN clicks c ON b.user_id = c.user_id AND b.ts >= c.ts")
 def asof_last_click(spark, sf):
-    """Each purchase with the last click of its user at or before it."""
+    """Each purchase with the last click of its user at or before it; -1 where there is none."""
     met = sweep.asof_join(_events(spark, sf, "purchase"), _events(spark, sf, "click"), ["user_id"], "ts", "backward")
-    return met.select("event_id", F.col("match.event_id").alias("click"), (F.unix_micros("ts") - F.unix_micros("match.ts")).alias("micros"))
+    micros = F.unix_micros("ts") - F.unix_micros("match.ts")
+    return met.select("event_id", F.coalesce("match.event_id", F.lit(-1)).alias("click"), F.coalesce(micros, F.lit(-1)).alias("micros"))
 
 
 @query(f"""WITH {_EVENTS}, back AS (SELECT b.event_id, b.ts, c.click, c.ts AS seen FROM bought b ASOF LEFT JOIN clicks c ON b.user_id = c.user_id AND b.ts >= c.ts),
 ahead AS (SELECT b.event_id, c.click, c.ts AS seen FROM bought b ASOF LEFT JOIN clicks c ON b.user_id = c.user_id AND b.ts <= c.ts),
 met AS (SELECT b.event_id, b.ts, CASE WHEN a.seen IS NULL OR epoch_us(b.ts) - epoch_us(b.seen) <= epoch_us(a.seen) - epoch_us(b.ts) THEN [epoch_us(b.seen), b.click] ELSE [epoch_us(a.seen), a.click] END AS m FROM back b JOIN ahead a USING (event_id))
-SELECT event_id, CASE WHEN abs(epoch_us(ts) - m[1]) <= 3600000000 THEN m[2] END AS click FROM met""")
+SELECT event_id, CASE WHEN abs(epoch_us(ts) - m[1]) <= 3600000000 THEN m[2] ELSE -1 END AS click FROM met""")
 def asof_nearest_click(spark, sf):
-    """Each purchase with the click of its user nearest in time, either way, at most an hour off; equally near, the earlier one."""
+    """Each purchase with the click of its user nearest in time, either way, at most an hour off (else -1); equally near, the earlier one."""
     near = F.abs(F.unix_micros("ts") - F.unix_micros("match.ts")) <= 3_600_000_000
     met = sweep.asof_join(_events(spark, sf, "purchase"), _events(spark, sf, "click"), ["user_id"], "ts", "nearest", reach=near)
-    return met.select("event_id", F.col("match.event_id").alias("click"))
+    return met.select("event_id", F.coalesce("match.event_id", F.lit(-1)).alias("click"))
 
 
 @query("""WITH a AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events WHERE event_type = 'view'), b AS (SELECT user_id, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS t FROM events WHERE event_type = 'purchase'),
