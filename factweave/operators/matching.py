@@ -86,9 +86,16 @@ def bucket_pairs(facts: DataFrame, block: int | None = None) -> DataFrame:
     return _admitted(light.unionByName(_triangles(_dealt(facts, heavy, block or BLOCK))))
 
 
-def delta_pairs(new: DataFrame, old: DataFrame) -> DataFrame:
-    """The pairs that new facts add: each new fact (as a) with every old one, and with later new ones."""
-    return _admitted(_side(new, "a").join(_side(old, "b"), KEYS)).unionByName(bucket_pairs(new))
+def delta_pairs(new: DataFrame, old: DataFrame, ordered: bool = False) -> DataFrame:
+    """The pairs that new facts add: each new fact (as a) with every old one, and with later new ones.
+
+    ordered: the earlier fact is a, whichever of the two is new, so a pair is the same in whatever batch it is made.
+    """
+    met = _side(new, "a").join(_side(old, "b"), KEYS)
+    if ordered:
+        first = F.col("a_fact_seq") < F.col("b_fact_seq")
+        met = met.select(*KEYS, *[F.when(first == F.lit(s == "a"), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"{s}_{c}") for s in "ab" for c in COMPARED])
+    return _admitted(met).unionByName(bucket_pairs(new))
 
 
 def bucket_sizes(facts: DataFrame) -> DataFrame:

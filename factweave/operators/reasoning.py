@@ -184,13 +184,13 @@ RESULT = (
 )
 
 
-def judge(facts: DataFrame, old: DataFrame | None = None) -> DataFrame:
-    """Relationships among facts, or those that facts add to old ones.
+def judge(facts: DataFrame, old: DataFrame | None = None, ordered: bool = False) -> DataFrame:
+    """Relationships among facts, or those that facts add to old ones (ordered: as delta_pairs has it).
 
     A fact's unit is TEXT exactly if it has no number, and the unit is part of the bucket; so numbers and texts never share a
     bucket and are joined apart, which keeps Python out of the numbers' plan.
     """
-    pairs = bucket_pairs if old is None else lambda f: delta_pairs(f, old)
+    pairs = bucket_pairs if old is None else lambda f: delta_pairs(f, old, ordered)
     numbers, texts = pairs(facts.where("numeric_value is not null")), pairs(facts.where("numeric_value is null"))
     named = [F.col(c).alias(c.replace("a_entity", "entity").replace("a_metric", "metric")) for c in RESULT]
     return judge_numbers(numbers).select(*named).unionByName(judge_texts(texts).select(*named))

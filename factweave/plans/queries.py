@@ -555,4 +555,4 @@ def char_similarity(spark, sf):
 
 
 # The remaining operators register themselves above these names.
-from factweave.plans import document_queries, sweep_queries  # noqa: E402, F401
+from factweave.plans import delta_queries, document_queries, sweep_queries  # noqa: E402, F401
