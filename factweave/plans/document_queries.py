@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -351,6 +353,21 @@ def families_fallback(spark, sf):
     return families.group(spark, claims.facts(spark, sf), None).select("id", F.col("predicate_family").alias("family"))
 
 
+def _by_brand(names: list[str]) -> str:
+    """What a model would answer that takes labels of one brand (the last word) for one thing."""
+    brands: dict[str, list[dict]] = {}
+    for n in names:
+        brands.setdefault(n.rpartition(" ")[2], []).append({"raw": n, "confidence": 0.9})
+    return json.dumps({"families": [{"family_id": b, "members": m} for b, m in brands.items()]})
+
+
+@query("SELECT DISTINCT trim(p_name || ' ' || p_brand) AS raw, regexp_extract(p_brand, '[^ ]*$') AS family FROM part WHERE p_name IS NOT NULL AND p_brand IS NOT NULL")
+def families_in_batches(spark, sf):
+    """Labels of all parts in rounds of prompts of at most 200 labels; families are those of one prompt with all of them."""
+    names = spark.read.parquet(f"{sf}/part.parquet").select(F.concat_ws(" ", "p_name", "p_brand").alias("metric")).where("p_name is not null and p_brand is not null")
+    return families.in_batches(names, _by_brand, size=200).select("raw", "family")
+
+
 # Sinks and streams
 
 
