@@ -41,8 +41,23 @@ def _files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
 
+def stream_files(spark: SparkSession, path: str, suffix: str = ".pdf", files: int = 1000) -> DataFrame:
+    """A stream of the files below path as they come, `files` of them a batch at most: path, name, file_size_bytes, upload_time, content.
+
+    Spark keeps which paths it has read, so a restart reads none twice; a file that is written over under its own path does not come again.
+    """
+    shape = "path string, modificationTime timestamp, length long, content binary"
+    found = spark.readStream.format("binaryFile").schema(shape).option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").option("maxFilesPerTrigger", files).load(path)
+    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("file_size_bytes"), F.col("modificationTime").cast("string").alias("upload_time"), "content")
+
+
 def read_files(spark: SparkSession, path: str, *decoders: Decoder, suffix: str = ".pdf") -> DataFrame:
-    """Page blocks of binary files below path by decoders (bytes, name) -> rows of PAGE_BLOCKS without document_id.
+    """decoded_blocks of the binary files below path."""
+    return decoded_blocks(_files(spark, path, suffix), *decoders)
+
+
+def decoded_blocks(files: DataFrame, *decoders: Decoder) -> DataFrame:
+    """Page blocks of files (name, content) by decoders (bytes, name) -> rows of PAGE_BLOCKS without document_id.
 
     No PDF library is assumed: the decoders are given, and each is tried where those before it fail. A file that all of them
     fail on gives one block of type -1 with the last error's text.
@@ -58,11 +73,16 @@ def read_files(spark: SparkSession, path: str, *decoders: Decoder, suffix: str =
                 rows += [{"document_id": name} | r for r in found]
             yield pd.DataFrame([[r.get(c) for c in columns] for r in rows], columns=columns)
 
-    return _files(spark, path, suffix).mapInPandas(run, schema.PAGE_BLOCKS)
+    return files.select("name", "content").mapInPandas(run, schema.PAGE_BLOCKS)
 
 
 def read_info(spark: SparkSession, path: str, *decoders: Decoder, suffix: str = ".pdf") -> DataFrame:
-    """document_id, decoder (-1: all failed), pdf_title, pdf_author and error_message of each file below path.
+    """decoded_info of the binary files below path."""
+    return decoded_info(_files(spark, path, suffix), *decoders)
+
+
+def decoded_info(files: DataFrame, *decoders: Decoder) -> DataFrame:
+    """document_id, decoder (-1: all failed), pdf_title, pdf_author and error_message of each of the files (name, content).
 
     A decoder tells title and author in any of its rows (keys title and author); such a row need have no text.
     """
@@ -76,7 +96,7 @@ def read_info(spark: SparkSession, path: str, *decoders: Decoder, suffix: str =
                 rows.append((name, which, _info(found, "title"), _info(found, "author"), error))
             yield pd.DataFrame(rows, columns=columns)
 
-    return _files(spark, path, suffix).mapInPandas(run, _INFO)
+    return files.select("name", "content").mapInPandas(run, _INFO)
 
 
 def file_info(spark: SparkSession, path: str, suffix: str = ".pdf") -> DataFrame:
