@@ -143,7 +143,41 @@ def value_tokens(spark, sf):
 def period_tokens(spark, sf):
     """Quarters and days of any year, ranges that begin in 20xx."""
     text = F.expr("'in Q2 of FY' || fy || ' and ' || (fy - 1) || '-' || lpad(cast(fy % 100 as string), 2, '0') || ' until March 31, ' || fy")
-    return sales(spark, sf).select("document_id", _arrow(lambda t: ";".join(p.canonical for _, _, p in periods.periods(t)), "string")(text).alias("found"))
+    return sales(spark, sf).select("document_id", F.array_join(F.transform(periods.found(text), lambda p: p["canonical"]), ";").alias("found"))
+
+
+#: A text in each form that a period has (g: a year, gg: its last two digits), and what it says: type, period, first and last day. The last one says none.
+_PERIOD_FORMS = (
+    ("'nine months ended December 31, ' || g", "'date_range'", "'9M-ended-' || g || '-12-31'", "NULL", "g || '-12-31'"),
+    ("'the financial year ended March 31, ' || g", "'fiscal_year'", "'FY' || g", "NULL", "g || '-03-31'"),
+    ("'the first half of FY' || g", "'date_range'", "'FY' || g || '-H1'", "NULL", "NULL"),
+    ("'in H2 FY' || gg", "'date_range'", "'FY' || g || '-H2'", "NULL", "NULL"),
+    ("'Q3 of FY' || gg", "'quarter'", "'FY' || g || '-Q3'", "NULL", "NULL"),
+    ("g || 'Q1 figures'", "'quarter'", "'FY' || g || '-Q1'", "NULL", "NULL"),
+    ("'second quarter of fiscal ' || g", "'quarter'", "'FY' || g || '-Q2'", "NULL", "NULL"),
+    ("'FY' || (g - 1) || '-' || gg", "'fiscal_year'", "'FY' || g", "(g - 1) || '-04-01'", "g || '-03-31'"),
+    ("'growth in FY' || gg", "'fiscal_year'", "'FY' || g", "(g - 1) || '-04-01'", "g || '-03-31'"),
+    ("'fiscal year ' || g", "'fiscal_year'", "'FY' || g", "(g - 1) || '-04-01'", "g || '-03-31'"),
+    ("g || ' fiscal year'", "'fiscal_year'", "'FY' || g", "(g - 1) || '-04-01'", "g || '-03-31'"),
+    ("(g - 1) || '-' || gg || ' (RE)'", "'fiscal_year'", "'FY' || g", "(g - 1) || '-04-01'", "g || '-03-31'"),
+    ("'as of June 30, ' || g", "'point_in_time'", "g || '-06-30'", "g || '-06-30'", "g || '-06-30'"),
+    ("'in June ' || g", "'point_in_time'", "g || '-06'", "NULL", "NULL"),
+    ("'calendar year ' || g", "'fiscal_year'", "'CY' || g", "g || '-01-01'", "g || '-12-31'"),
+    ("'between ' || g || '-' || (g + 15)", "NULL", "NULL", "NULL", "NULL"),
+)
+
+
+def _by_form(column: int) -> str:
+    return "CASE form " + " ".join(f"WHEN {i} THEN {f[column]}" for i, f in enumerate(_PERIOD_FORMS)) + " END"
+
+
+@query(f"""WITH {_SALES}, years AS (SELECT document_id, 2010 + fy % 50 AS g, CAST(10 + fy % 50 AS VARCHAR) AS gg, unnest(range({len(_PERIOD_FORMS) - 1})) AS form FROM sales)
+SELECT document_id, CAST(form AS INT) AS form, {_by_form(1)} AS period_type, {_by_form(2)} AS canonical, coalesce({_by_form(3)}, '') AS start_date, coalesce({_by_form(4)}, '') AS end_date FROM years""")
+def period_forms(spark, sf):
+    """D1, D1a-i, D3: every form of a period in a sentence of each report, found by SQL functions; a range of more than a year is none."""
+    years = sales(spark, sf).selectExpr("document_id", "2010 + fy % 50 AS g", "cast(10 + fy % 50 AS string) AS gg", f"explode(sequence(0, {len(_PERIOD_FORMS) - 1})) AS form")
+    found = years.select("document_id", "form", F.explode(periods.found(F.concat(F.lit("Up by a third, "), F.expr(_by_form(0)), F.lit(".")))).alias("p"))
+    return found.select("document_id", "form", "p.period_type", "p.canonical", *[F.coalesce(F.col(f"p.{c}"), F.lit("")).alias(c) for c in ("start_date", "end_date")])
 
 
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'financial.ebitda_margin' WHEN 1 THEN 'financial.revenue;financial.net_income' ELSE '' END AS found FROM part")
@@ -226,13 +260,9 @@ def label_coverage_anti(spark, sf):
 @query(f"WITH {_SALES} SELECT document_id, 'FY' || fy AS current, 'FY' || (fy - 1) AS previous FROM sales")
 def implied_period(spark, sf):
     """The year under review and the one before, by the document's own period."""
-    def found(t: str) -> str:
-        year, _, text = t.partition("|")
-        return ";".join(p.canonical for _, _, p in S.implied_periods(text, year))
-
-    text = F.expr("'FY' || fy || '|in the year under review, against the previous year'")
-    both = F.split(_arrow(found, "string")(text), ";")
-    return sales(spark, sf).select("document_id", both[0].alias("current"), both[1].alias("previous"))
+    text = F.lit("in the year under review, against the previous year")
+    both = periods.implied(text, F.concat(F.lit("FY"), F.col("fy").cast("string")))
+    return sales(spark, sf).select("document_id", F.get(both, 0)["canonical"].alias("current"), F.get(both, 1)["canonical"].alias("previous"))
 
 
 @query(f"WITH {_SALES} SELECT document_id, fy % 2 = 0 AS partial FROM sales")
