@@ -357,7 +357,37 @@ def test_media_round_trip(spark):
     assert media.with_samples(catalog, folder).count() == 0
 
 
+def media_by_hand(text):
+    """All columns of the query from the text alone, without arrays."""
+    data = (text or "").encode()
+    payload = data + b"\xff" * (-len(data) % 576 if data else 576)
+    lines = b"".join(b"\0" + payload[i : i + 576] for i in range(0, len(payload), 576))
+    png = b"\x89PNG\r\n\x1a\n"
+    for kind, body in ((b"IHDR", (576).to_bytes(4, "big") + (len(payload) // 576).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])), (b"IDAT", zlib.compress(lines, 1)), (b"IEND", b"")):
+        png += len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+    mean, cell = sum(payload) / len(payload), len(payload) // 64
+    spread = math.sqrt(sum((x - mean) ** 2 for x in payload) / len(payload))
+    bits = "".join(str(int(sum(payload[i * cell : (i + 1) * cell]) / cell > mean)) for i in range(64))
+    return (
+        len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(png), hashlib.sha256(png).hexdigest(),
+        f"{mean:.4f}:{spread:.4f}:{int(bits, 2):016x}", 576, len(payload) // 576,
+    )
+
+
+MEDIA_COLUMNS = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+
+
 def test_media_query(spark):
     rows = QUERIES["op7_media_columns"](spark, "/root/testdata/sf0.001").collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
-    assert len(rows) == len(texts) and all(r.n_bytes == len(texts[r.doc_id].encode()) for r in rows)
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert tuple(r[c] for c in MEDIA_COLUMNS) == media_by_hand(texts[r.doc_id]), r.doc_id
+
+
+def test_media_query_of_rows_that_repeat(spark, tmp_path):
+    texts = [None, "", "tie", "tie", "\U0001f600 " * 700, "x" * 576, "x" * 576]
+    rows = [(i % 5, t, "clash") for i, t in enumerate(texts)] * 2
+    spark.createDataFrame(rows, "doc_id long, text string, length string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op7_media_columns"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, *(r[c] for c in MEDIA_COLUMNS)) for r in got) == sorted((d, *media_by_hand(t)) for d, t, _ in rows)
