@@ -97,9 +97,13 @@ def similarity_tokens(text: Column) -> Column:
 
 def token_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of token sets; where one is empty, 1 for equal texts and 0 for others."""
-    x, y = similarity_tokens(a), similarity_tokens(b)
-    same = F.when(F.lower(F.trim(a)) == F.lower(F.trim(b)), 1.0).otherwise(0.0)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), same).otherwise(F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_union(x, y)), F.lit(1)))
+    return words_similarity(similarity_tokens(a), similarity_tokens(b), F.lower(F.trim(a)) == F.lower(F.trim(b)))
+
+
+def words_similarity(x: Column, y: Column, equal: Column) -> Column:
+    """token_similarity of two texts from their sets of tokens, and whether the texts are equal."""
+    both = F.size(F.array_intersect(x, y))
+    return F.when(equal, 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(both / F.greatest(F.size(x) + F.size(y) - both, F.lit(1)))
 
 
 def identifier_shaped(text: Column) -> Column:

@@ -13,6 +13,12 @@ COMPARED = (
     "normalized_numeric_value", "normalized_unit", "period_raw", "period", "scope", "accounting_standard", "sub_metric", "qualifiers", "page_number",
     "char_start", "confidence",
 )
+#: Columns of facts that a comparison reads too, if they are there: what follows from one fact alone is worked out once a fact, not once a pair.
+PREPARED = ("text", "identifier", "words")
+
+
+def _compared(facts: DataFrame) -> list[str]:
+    return [*COMPARED, *[c for c in PREPARED if c in facts.columns]]
 
 
 def family_key() -> Column:
@@ -27,7 +33,7 @@ def eligible(facts: DataFrame) -> DataFrame:
 
 def _side(facts: DataFrame, letter: str) -> DataFrame:
     rows = eligible(facts).where(F.col("entity_canonical").isNotNull() & F.col("normalized_unit").isNotNull())
-    own = [F.col(c).alias(f"{letter}_{c}") for c in COMPARED]
+    own = [F.col(c).alias(f"{letter}_{c}") for c in _compared(facts)]
     return rows.select(F.col("entity_canonical").alias("k_entity"), family_key().alias("k_family"), F.col("normalized_unit").alias("k_unit"), *own)
 
 
@@ -64,11 +70,12 @@ def _dealt(facts: DataFrame, heavy: DataFrame, block: int) -> DataFrame:
 def _triangles(dealt: DataFrame) -> DataFrame:
     """The pairs of dealt facts, the earlier one first: each pair of blocks meets once, in a group of its own."""
     group = [*KEYS, "here", "there"]
-    one = dealt.where("own = here").select(*group, *[F.col(f"x_{c}").alias(f"one_{c}") for c in COMPARED])
-    two = dealt.where("own = there").select(*group, *[F.col(f"x_{c}").alias(f"two_{c}") for c in COMPARED])
+    columns = [c.removeprefix("x_") for c in dealt.columns if c.startswith("x_")]
+    one = dealt.where("own = here").select(*group, *[F.col(f"x_{c}").alias(f"one_{c}") for c in columns])
+    two = dealt.where("own = there").select(*group, *[F.col(f"x_{c}").alias(f"two_{c}") for c in columns])
     first, second = F.col("one_fact_seq"), F.col("two_fact_seq")
     met = one.join(two, group).where(F.when(F.col("here") == F.col("there"), first < second).otherwise(first != second))
-    ordered = [F.when((first < second) == F.lit(side == "a"), F.col(f"one_{c}")).otherwise(F.col(f"two_{c}")).alias(f"{side}_{c}") for side in "ab" for c in COMPARED]
+    ordered = [F.when((first < second) == F.lit(side == "a"), F.col(f"one_{c}")).otherwise(F.col(f"two_{c}")).alias(f"{side}_{c}") for side in "ab" for c in columns]
     return met.select(*KEYS, *ordered)
 
 
@@ -94,7 +101,7 @@ def delta_pairs(new: DataFrame, old: DataFrame, ordered: bool = False) -> DataFr
     met = _side(new, "a").join(_side(old, "b"), KEYS)
     if ordered:
         first = F.col("a_fact_seq") < F.col("b_fact_seq")
-        met = met.select(*KEYS, *[F.when(first == F.lit(s == "a"), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"{s}_{c}") for s in "ab" for c in COMPARED])
+        met = met.select(*KEYS, *[F.when(first == F.lit(s == "a"), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"{s}_{c}") for s in "ab" for c in _compared(new)])
     return _admitted(met).unionByName(bucket_pairs(new))
 
 
