@@ -125,10 +125,10 @@ def replace_documents(facts: DataFrame, again: DataFrame) -> DataFrame:
 
 def delete_documents(facts: DataFrame, rels: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """facts and relationships without the documents in ids (document_id) and all that hangs on them."""
-    gone = facts.join(ids, "document_id", "left_semi").select("id")
     left = rels
-    for side in ("a_id", "b_id"):
-        left = left.join(gone.withColumnRenamed("id", side), side, "left_anti")
+    for side in ("a_document_id", "b_document_id"):
+        # The names of what is deleted go to the relationships; to shuffle these by document would put a large one into one task.
+        left = left.join(F.broadcast(ids.select(F.col("document_id").alias(side))), side, "left_anti")
     return facts.join(ids, "document_id", "left_anti"), left
 
 
