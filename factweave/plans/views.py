@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,15 +14,17 @@ from factweave.operators.reasoning import AGREE, CONFLICT, EXPLAINED, REVIEW
 
 #: What a view shows of each side of a relationship.
 SHOWN = ("fact_seq", "document_name", "entity", "metric", "period", "period_raw", "raw_value", "confidence", "normalized_unit", "exact_quote")
+#: What the review queue reads of them.
+QUEUED = ("fact_seq", "document_name", "period", "normalized_unit")
 # Scores of the review queue and the order of explained cases.
 QUEUE_SCORES = ((CONFLICT, True, 100.0), (CONFLICT, False, 55.0), (REVIEW, True, 45.0), (REVIEW, False, 35.0))
 EXPLAINED_CASES = ("IDENTIFIER_REVISED", "SCOPE_OR_BASIS", "STATUS_CHANGED_OVER_TIME", "DATA_VINTAGE", "PARTIAL_PERIOD", "DIFFERENT_PERIODS")
 
 
-def enrich(rels: DataFrame, facts: DataFrame) -> DataFrame:
-    """Relationships with both their facts; those that have lost one go."""
+def enrich(rels: DataFrame, facts: DataFrame, shown: Sequence[str] = SHOWN) -> DataFrame:
+    """Relationships with both their facts (columns shown of each); those that have lost one go."""
     for side in "ab":
-        own = facts.select(F.col("id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in SHOWN])
+        own = facts.select(F.col("id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in shown])
         rels = rels.join(own, f"{side}_id")
     return rels
 
@@ -240,24 +242,44 @@ def disagrees() -> Column:
     return (F.col("relationship_type") == CONFLICT) | ((F.col("relationship_type") == EXPLAINED) & ~F.col("divergence_factor").eqNullSafe(F.lit("DIFFERENT_PERIODS")))
 
 
-def relationship_list(enriched: DataFrame, kind: str = "ALL", scope: str = "all", metric: str | None = None, pair: tuple[str, str] | None = None, q: str | None = None) -> DataFrame:
-    """Relationships under a chip (a verdict, RECONCILED, NOT_COMPARABLE or ALL), across or within documents, of one metric, of
-    two documents, and with a text anywhere in what a row shows. enriched: with quotes a_exact_quote and b_exact_quote."""
-    rows = enriched if pair is None else pair_filter(enriched, *pair)
+def _listed(kind: str = "ALL", scope: str = "all", metric: str | None = None, pair: tuple[str, str] | None = None) -> Column:
+    """What `relationship_list` asks of a relationship itself."""
+    out = F.lit(True) if pair is None else _of_pair(*pair)
     if kind == "RECONCILED":
-        rows = rows.where((F.col("relationship_type") == EXPLAINED) & disagrees())
+        out = out & (F.col("relationship_type") == EXPLAINED) & disagrees()
     elif kind == "NOT_COMPARABLE":
-        rows = rows.where((F.col("relationship_type") == EXPLAINED) & ~disagrees())
+        out = out & (F.col("relationship_type") == EXPLAINED) & ~disagrees()
     elif kind != "ALL":
-        rows = rows.where(F.col("relationship_type") == kind)
+        out = out & (F.col("relationship_type") == kind)
     if scope in ("cross", "intra"):
-        rows = rows.where(F.col("cross_document") == F.lit(scope == "cross"))
-    if metric:
-        rows = rows.where(F.col("metric_canonical") == metric)
-    if q:
-        shown = F.array_join(F.array(*[F.coalesce(c, F.lit("")) for c in ("a_raw_value", "b_raw_value", "a_entity", "metric_canonical", "a_exact_quote", "b_exact_quote")]), " ")
-        rows = rows.where(F.lower(shown).contains(q.lower()))
-    return rows
+        out = out & (F.col("cross_document") == F.lit(scope == "cross"))
+    return out & (F.col("metric_canonical") == metric) if metric else out
+
+
+def _holds(q: str | None) -> Column:
+    """Whether a text is anywhere in what a row shows."""
+    shown = F.array_join(F.array(*[F.coalesce(c, F.lit("")) for c in ("a_raw_value", "b_raw_value", "a_entity", "metric_canonical", "a_exact_quote", "b_exact_quote")]), " ")
+    return F.lower(shown).contains(q.lower()) if q else F.lit(True)
+
+
+def relationship_list(enriched: DataFrame, kind: str = "ALL", scope: str = "all", metric: str | None = None, pair: tuple[str, str] | None = None, q: str | None = None) -> DataFrame:
+    """Relationships under a chip (a verdict, RECONCILED, NOT_COMPARABLE or ALL), across or within documents, of one metric, of
+    two documents, and with a text anywhere in what a row shows. enriched: with quotes a_exact_quote and b_exact_quote."""
+    return enriched.where(_listed(kind, scope, metric, pair) & _holds(q))
+
+
+def relationship_lists(rels: DataFrame, facts: DataFrame, asked: dict[str, dict]) -> DataFrame:
+    """Several lists in one pass over relationships: columns of `enrich` and list, the name of one; asked: what `relationship_list` takes, by name.
+
+    Relationships that are on no list go before they meet their facts.
+    """
+    conditions = {name: _listed(**{k: v for k, v in how.items() if k != "q"}) for name, how in asked.items()}
+    names = F.array_compact(F.array(*[F.when(c, name) for name, c in conditions.items()]))
+    rows = enrich(rels.withColumn("list", F.explode(names)), facts, ("entity", "raw_value", "exact_quote"))
+    held = F.lit(False)
+    for name, how in asked.items():
+        held = held | ((F.col("list") == name) & _holds(how.get("q")))
+    return rows.where(held)
 
 
 def facets(facts: DataFrame) -> DataFrame:
@@ -281,9 +303,13 @@ def chip_counts(rels: DataFrame) -> DataFrame:
     return rels.select(F.explode(F.array_compact(chips)).alias("chip")).groupBy("chip").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _of_pair(one: str, other: str) -> Column:
+    return F.sort_array(F.array("a_document_id", "b_document_id")) == F.sort_array(F.array(F.lit(one), F.lit(other)))
+
+
 def pair_filter(rels: DataFrame, one: str, other: str) -> DataFrame:
     """Relationships of two documents, whichever is first."""
-    return rels.where(F.sort_array(F.array("a_document_id", "b_document_id")) == F.sort_array(F.array(F.lit(one), F.lit(other))))
+    return rels.where(_of_pair(one, other))
 
 
 def trend_pivot(facts: DataFrame, metric: str, entity: str, documents: list[str]) -> DataFrame:

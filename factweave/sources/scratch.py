@@ -46,13 +46,22 @@ def state(spark: SparkSession, source: str) -> str:
     return " ".join(sorted(f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}" for s in found))
 
 
+def _key(spark: SparkSession, name: str, source: str) -> tuple[str, str, str, str]:
+    return spark.sparkContext.applicationId, name, source, state(spark, source)
+
+
+def held(spark: SparkSession, name: str, source: str) -> DataFrame | None:
+    """The table that `kept` has written for a source, if it has."""
+    return _kept.get(_key(spark, name, source))
+
+
 def kept(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table that make() gives for a source, written once in an application and read from then on, as long as the
     source's files are the same.
 
     Facts and relationships are stored tables of the engine: views read them and do not derive them again.
     """
-    key = (spark.sparkContext.applicationId, name, source, state(spark, source))
+    key = _key(spark, name, source)
     if key not in _kept:
         df, own = make(), path(spark, name)
         df.write.parquet(own)
