@@ -76,9 +76,14 @@ def document_tally(spark, sf):
     return tally.verdict_counts(claims.facts(spark, sf), per_document=True).groupBy("doc_a", "doc_b", "relationship_type").agg(F.sum("n").alias("n"))
 
 
-_BOXES = """lines AS (SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS ix, min(l_suppkey) AS s, min(CAST(l_quantity AS BIGINT)) AS q, l_partkey AS p, l_linenumber AS n FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY l_orderkey, l_linenumber, l_partkey),
-amounts AS (SELECT page, ix, p % 7 * 20 AS x0, n * 20 + q % 15 AS y0, p % 7 * 20 + 60 AS x1, n * 20 + q % 15 + 12 AS y1 FROM lines),
-names AS (SELECT page, ix, s % 7 * 20 + 3 AS x0, n * 22 + page % 9 AS y0, s % 7 * 20 + 63 AS x1, n * 22 + page % 9 + 12 AS y1 FROM lines)"""
+_LINES = "lines AS (SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS ix, min(l_suppkey) AS s, min(CAST(l_quantity AS BIGINT)) AS q, l_partkey AS p, l_linenumber AS n FROM lineitem WHERE l_orderkey IS NOT NULL GROUP BY l_orderkey, l_linenumber, l_partkey)"
+_SIDES = {
+    "v": "p % 7 * 20 AS x0, n * 20 + q % 15 AS y0, p % 7 * 20 + 60 AS x1, n * 20 + q % 15 + 12 AS y1",
+    "l": "s % 7 * 20 + 3 AS x0, n * 22 + page % 9 AS y0, s % 7 * 20 + 63 AS x1, n * 22 + page % 9 + 12 AS y1",
+}
+_BOXES = f"""{_LINES},
+amounts AS (SELECT page, ix, {_SIDES['v']} FROM lines),
+names AS (SELECT page, ix, {_SIDES['l']} FROM lines)"""
 
 
 @query(f"""WITH {_BOXES},
@@ -89,11 +94,10 @@ told AS (SELECT page, list_reduce(list_prepend([], list(wishes ORDER BY value_ix
 SELECT page, m.v AS value_ix, m.l AS label_ix, CAST(m.d AS DOUBLE) AS d FROM (SELECT page, unnest(done) AS m FROM told)""")
 def tiles_by_grid(spark, sf):
     """An order is a page whose lines put an amount and a name on it; each amount takes its nearest free name, in block order."""
-    names = spark.read.parquet(f"{sf}/lineitem.parquet")
-    sides = spark.sql(f"WITH lineitem AS (SELECT * FROM {{lineitem}}), {_BOXES} SELECT 'v' AS side, * FROM amounts UNION ALL SELECT 'l', * FROM names", lineitem=names)
-    boxes = sides.select("side", "page", F.col("ix").alias("block_ix"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    near = spatial.near_labels(boxes.where("side = 'v'"), boxes.where("side = 'l'"), ["page"])
-    return spatial.pair_by_order(near, ["page"])
+    lines = spark.sql(f"WITH lineitem AS (SELECT * FROM {{lineitem}}), {_LINES} SELECT * FROM lines", lineitem=spark.read.parquet(f"{sf}/lineitem.parquet"))
+    both = F.array(*[F.struct(F.lit(side).alias("side"), *[F.expr(c).cast("double").alias(c.split()[-1]) for c in boxes.split(", ")]) for side, boxes in _SIDES.items()])  # both sides of a line from one reading
+    boxes = lines.select("page", F.col("ix").alias("block_ix"), F.explode(both).alias("box")).select("page", "block_ix", "box.*")
+    return spatial.pair_boxes(boxes, ["page"])
 
 
 _QUESTION = "tion De"
