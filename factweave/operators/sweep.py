@@ -129,44 +129,60 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, dir
     return out if reach is None else out.withColumn("match", F.when(reach, F.col("match")))
 
 
-def _clusters(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+#: Rows of a cluster up to which it is settled as one row, in the order of priority; larger ones go in rounds.
+FEW = 512
+
+
+def _clusters(rows: DataFrame, by: Sequence[str], start: str, end: str, last_: str) -> DataFrame:
     """Adds cluster: a number for each chain of intervals of the same keys that overlap. A key's first interval opens one."""
-    order = [*by, "start_", "end_", "rank_"]
+    order = [*by, start, end, last_]
     lined = lined_up(rows, order)
     # Rows are sorted by key, so the highest (key, end) so far is of this key unless this is its first row.
-    seen = scan(lined, order, reached=highest(F.struct(*by, "end_"), strict=True))
+    seen = scan(lined, order, reached=highest(F.struct(*by, end), strict=True))
     same = F.lit(True)
     for c in by:
         same = same & F.col("reached")[c].eqNullSafe(F.col(c))
-    opens = F.col("reached").isNull() | ~same | (F.col("start_") >= F.col("reached.end_"))
+    opens = F.col("reached").isNull() | ~same | (F.col(start) >= F.col("reached")[end])
     return scan(seen.withColumn("opens_", opens.cast("int")).drop("reached"), order, cluster=total(F.col("opens_"))).drop("opens_", "slice_")
 
 
-def claim_intervals(df: DataFrame, by: Sequence[str], start: str, end: str, priority: Sequence[str]) -> DataFrame:
+def claim_intervals(df: DataFrame, by: Sequence[str], start: str, end: str, priority: Sequence[str], few: int = FEW) -> DataFrame:
     """The rows whose interval [start, end) is free when all rows claim theirs one by one, in the order of the columns priority.
 
-    Intervals of different keys by never meet; null keys are one key. Rounds: intervals that overlap in a chain form a cluster; each cluster's first row by priority
-    has its claim, which no earlier row can touch, and the rows that overlap it go; what is left falls apart into smaller clusters, whose first rows
-    claim next. An empty interval collides only inside another. Rows with a null start or end claim nothing and go; rows that repeat share
-    their priority, and one of them stays (an empty one with all its repeats).
+    Intervals of different keys by never meet; null keys are one key. Intervals that overlap in a chain form a cluster, and clusters never meet: one of at most
+    `few` rows is settled as one row. Larger ones go in rounds: each one's first row by priority has its claim, which no earlier row can touch, and the rows that
+    overlap it go; what is left falls apart into smaller clusters. An empty interval collides only inside another. Rows with a null
+    start or end claim nothing and go; rows that repeat share their priority, and one of them stays (an empty one with all its repeats).
     """
-    number = F.struct(*priority)
-    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull())
-    rows = rows.select(F.struct("*").alias("row_"), *[F.col(c).alias(f"by{i}") for i, c in enumerate(by)], F.col(start).alias("start_"), F.col(end).alias("end_"), F.struct(number, F.struct(start, end), F.monotonically_increasing_id()).alias("rank_"))
-    keys = [f"by{i}" for i in range(len(by))]
-    left, done = stored(rows, "claims"), []
-    while not left.isEmpty():
-        held = stored(_clusters(left, keys), "clusters")
-        best = held.groupBy("cluster").agg(F.min(F.struct("rank_", F.col("start_").alias("s"), F.col("end_").alias("e"))).alias("best"))
-        met = held.join(best, "cluster")
-        won = F.col("rank_") == F.col("best.rank_")
-        done.append(met.where(won).select("row_.*"))
-        free = (F.col("end_") <= F.col("best.s")) | (F.col("start_") >= F.col("best.e"))
-        left = stored(met.where(~won & free).select(*rows.columns), "claims")
-    out = df.limit(0)
+    short = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*[F.col(c).alias(s) for c, s in short.items()], F.monotonically_increasing_id().alias("id_"))
+    keys, s, e = [short[c] for c in by], short[start], short[end]
+    first = [*dict.fromkeys([*[short[c] for c in priority], s, e]), "id_"]
+    columns = [*first, *[c for c in rows.columns if c not in first]]
+    few = 0 if "map<" in rows.schema.simpleString() else few  # maps have no order, and a cluster is sorted by whole rows
+    meets = lambda x, y: ~((x[e] <= y[s]) | (x[s] >= y[e]))
+    left, done = rows, []
+    while True:
+        held = stored(_clusters(left, keys, s, e, "id_"), "clusters")
+        many = stored(held.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > few).select("cluster"), "many")
+        last_round = many.isEmpty()
+        if few:
+            small = held if last_round else held.join(many, "cluster", "left_anti")
+            asked = small.repartition("cluster").groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("asked"))
+            took = F.aggregate("asked", F.slice("asked", 1, 0), lambda out, x: F.when(F.exists(out, lambda y: meets(x, y)), out).otherwise(F.concat(out, F.array(x))))
+            done.append(asked.select(F.explode(F.when(F.size("asked") == 1, F.col("asked")).otherwise(took)).alias("x")).select("x.*").select(*rows.columns))
+        if last_round:
+            break
+        big = held.join(many, "cluster")
+        best = big.groupBy("cluster").agg(F.min(F.struct(*first)).alias("best"))
+        met = big.join(best, "cluster")
+        won = F.struct(*first) == F.col("best")
+        done.append(met.where(won).select(*rows.columns))
+        left = stored(met.where(~won & ~meets({s: F.col(s), e: F.col(e)}, F.col("best"))).select(*rows.columns), "claims")
+    out = rows.limit(0)
     for part in done:
         out = out.unionByName(part)
-    return out
+    return out.select(*[F.col(k).alias(c) for c, k in short.items()])
 
 
 def _ranked(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -71,6 +71,26 @@ def test_claims_are_first_come(spark):
     assert sweep.claim_intervals(twice, ["k"], "s", "e", ["p"]).count() == 1
 
 
+@pytest.mark.parametrize("few", [0, 3, 20])
+def test_claims_of_small_and_large_clusters(spark, few):
+    rnd = random.Random(few)
+    rows = [(rnd.choice([0, 1, None]), s := rnd.randrange(250), s + rnd.randint(0, 9), rnd.randrange(40)) for _ in range(130)]
+    rows = list(dict.fromkeys(rows))
+    got = sweep.claim_intervals(frame(spark, rows, "k int, s int, e int, p int"), ["k"], "s", "e", ["p"], few)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(claims_by_hand(rows), key=str)
+
+
+def test_a_chain_of_claims_takes_one_round(spark, monkeypatch):
+    """Rows that wait for each other, one behind the other: settled within their cluster, and no round for each."""
+    rounds, clusters = [], sweep._clusters
+    monkeypatch.setattr(sweep, "_clusters", lambda *a: rounds.append(1) or clusters(*a))
+    rows = [(k, i, i + 2, i) for k in range(3) for i in range(12)]
+    got = sweep.claim_intervals(frame(spark, rows, "k int, s int, e int, p int"), ["k"], "s", "e", ["p"])
+    assert sorted(map(tuple, got.collect())) == sorted(claims_by_hand(rows)) and len(rounds) == 1
+    mapped = frame(spark, rows[:8], "k int, s int, e int, p int").withColumn("more", F.create_map("k", "p"))
+    assert sweep.claim_intervals(mapped, ["k"], "s", "e", ["p"]).count() == len(claims_by_hand(rows[:8]))
+
+
 def greedy(left, right, reach, behind):
     pairs = []
     for k, t, a in left:
