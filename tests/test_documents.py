@@ -196,3 +196,14 @@ def test_decoders_in_turn_and_what_files_tell_of_themselves(spark, tmp_path):
 def test_abbreviations_in_long_lines():
     text = "x" * 5000 + " Mr. Rao met Dr. Sen. " + "y " * 3000 + "end. Another one follows here."
     assert [s[-20:] for s, _, _ in S.sentences(text)][-1].endswith("follows here.") and len(S.sentences(text)) == 2
+
+
+def test_pages_of_one_file_are_read_in_many_tasks(spark):
+    pages = spark.range(40, numPartitions=1).selectExpr(
+        "concat('p', id) AS document_id", "'a.pdf' AS document_name", "1 AS page_number", "'Revenue was Rs. 5 crore in FY24.' AS text", "cast(null AS string) AS period_hint",
+        "cast(null AS array<struct<value_text:string,label_text:string,bbox:array<double>,start:int,end:int>>) AS tiles", "'Acme Limited' AS primary_entity",
+        "cast(null AS string) AS subject_country", "cast(null AS string) AS document_date", "cast(null AS string) AS document_period",
+    )
+    read = extract.read(pages)
+    tasks = read.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(r["count"] for r in tasks) == 40
