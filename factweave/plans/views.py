@@ -151,10 +151,19 @@ def taxonomy_counts(facts: DataFrame, dim: DataFrame) -> DataFrame:
     return dim.join(counts, "canonical", "left").na.fill(0, ["facts"])
 
 
+def _first_labels(facts: DataFrame, count: Column) -> DataFrame:
+    """metric_canonical, facts (a count) and label (that of the first fact) of each metric.
+
+    Labels are counted first, which hashes them: the first label of all facts of a metric would be found by sorting all facts.
+    """
+    labels = facts.groupBy("metric_canonical", "metric").agg(count.alias("facts"), F.min("fact_seq").alias("first"))
+    return labels.groupBy("metric_canonical").agg(F.sum("facts").alias("facts"), F.min_by("metric", "first").alias("label"))
+
+
 def discovered(facts: DataFrame, dim: DataFrame) -> DataFrame:
     """Metrics outside the taxonomy with their first label."""
     own = facts.join(dim.select(F.col("canonical").alias("metric_canonical")), "metric_canonical", "left_anti")
-    return own.groupBy("metric_canonical").agg(F.count(F.lit(1)).alias("facts"), F.min_by("metric", "fact_seq").alias("label"))
+    return _first_labels(own, F.count(F.lit(1)))
 
 
 def _dated() -> Column:
@@ -170,7 +179,7 @@ def timeline(facts: DataFrame, metric: str, entity: str | None = None) -> DataFr
 
 def metrics_available(facts: DataFrame) -> DataFrame:
     """Metrics with dated numbers, how many, and the first label of any fact."""
-    return facts.groupBy("metric_canonical").agg(F.count_if(_dated()).alias("facts"), F.min_by("metric", "fact_seq").alias("label")).where("facts > 0")
+    return _first_labels(facts, F.count_if(_dated())).where("facts > 0")
 
 
 def evaluation(facts: DataFrame, rels: DataFrame) -> DataFrame:

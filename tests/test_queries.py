@@ -82,3 +82,15 @@ def test_delta_equals_full_has_a_row_a_pair(spark, db):
     got = relational.QUERIES["match_delta_equals_full"](spark, SF)
     pairs = db.execute(f"{relational.oracle.PAIRS} SELECT count(*) FROM pairs").fetchone()[0]
     assert got.columns == ["one", "other"] and got.count() == got.distinct().count() == pairs
+
+
+def test_first_labels_without_a_sort_of_all_facts(spark):
+    """Labels of metrics are counted by hashing; no operator sorts what it reads from the fact table."""
+    rows = [("m.a", "A two", 5), ("m.a", "A one", 2), ("m.a", None, 1), ("m.b", "B", 3), ("m.c", "C", 9), ("m.a", "A two", 0)]
+    facts = spark.createDataFrame(rows, "metric_canonical string, metric string, fact_seq long")
+    found = views.discovered(facts, spark.createDataFrame([("m.c",)], "canonical string"))
+    assert sorted(map(tuple, found.collect())) == [("m.a", 4, "A two"), ("m.b", 1, "B")]
+    facts = facts.withColumns({"normalized_numeric_value": F.lit(1.0), "period": F.lit("FY2024")})
+    plan = views.metrics_available(facts)._jdf.queryExecution().executedPlan().toString().splitlines()
+    below = plan[max((i for i, line in enumerate(plan) if "HashAggregate" in line), default=0) :]
+    assert len(below) < len(plan) and not any("Sort" in line for line in below)
