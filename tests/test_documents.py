@@ -207,3 +207,16 @@ def test_pages_of_one_file_are_read_in_many_tasks(spark):
     read = extract.read(pages)
     tasks = read.groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions")) and sum(r["count"] for r in tasks) == 40
+
+
+def test_sentences_are_counted_without_their_texts(spark):
+    """Only the count comes back from Python, and it is that of the spans; nulls and empty texts have none."""
+    rows = [(i, t) for i, t in enumerate(["Costs of labour rose to 5.5 crore. Mr. Smith of No. 7 agreed.\nShort.", None, "", "Ünïcode sentences are counted 😀 too. Another one follows here!", "x" * 40])]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    both = docs.select(layout.sentence_count(F.col("text")).alias("n"), layout.sentence_spans(F.col("text")).alias("spans"), "text").collect()
+    assert [r.n for r in both] == [len(r.spans) for r in both] == [2, 0, 0, 2, 1]
+    assert all(r.text[s.start : s.end] == s.text for r in both for s in r.spans)
+    from factweave.plans import document_queries
+
+    plan = document_queries.sentence_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "sentence_spans" not in plan and "sentence_count(" in plan
