@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions import vocabulary as V
 from factweave.functions.numbers import rounding_half_unit
-from factweave.functions.texts import identifier_shaped, token_similarity
+from factweave.functions.texts import identifier_shaped, similarity_tokens, words_similarity
 from factweave.operators import sweep
 from factweave.operators.matching import KEYS, eligible, family_key
 from factweave.operators.reasoning import NUMBERS, TEXTS, Rung, context, identifier_similarity, ladder, likeness
@@ -71,10 +71,10 @@ def _members(facts: DataFrame, per_document: bool, sentences: bool) -> DataFrame
     if sentences:
         placed = F.col("page_number").isNotNull() & F.col("char_start").isNotNull()
         levels.append(F.when(placed, F.struct(F.lit(SENTENCE).alias("level"), F.col("document_id").alias("g_document"), F.col("page_number").cast("int").alias("g_page"), F.col("char_start").cast("int").alias("g_start"))))
-    rows = rows.withColumn("at", F.explode(F.array_compact(F.array(*levels)))).select("*", "at.*")
+    rows = rows.withColumn("at", F.explode(F.array(*levels))).where("at is not null").select("*", "at.*")
     undated = F.struct(F.lit(False).alias("dated"), F.lit("").alias("g_period"))
     dated = F.when(F.col("period") != "unknown", F.struct(F.lit(True).alias("dated"), F.col("period").alias("g_period")))
-    return rows.withColumn("when", F.explode(F.array_compact(F.array(undated, dated)))).select("*", "when.*").drop("at", "when")
+    return rows.withColumn("when", F.explode(F.array(undated, dated))).where("when is not null").select("*", "when.*").drop("at", "when")
 
 
 def _sum_pairs(a: Column, b: Column, n: Column, m: Column) -> Column:
@@ -171,17 +171,22 @@ def _numbers(facts: DataFrame, per_document: bool) -> DataFrame:
 
 
 def _texts(facts: DataFrame, per_document: bool) -> DataFrame:
-    text = F.lower(F.trim("raw_value"))
-    rows = _members(facts.where("numeric_value is null"), per_document, False)
-    identifier = F.coalesce(identifier_shaped(text), F.lit(False))
+    rows = _members(facts.where("numeric_value is null").withColumn("text", F.lower(F.trim("raw_value"))), per_document, False)
     rows = rows.where(~F.col("dated") | ~F.col("metric_canonical").startswith("attr."))  # verdicts on attributes have no period
-    own = F.struct("metric_canonical", "predicate_family", text.alias("text"), identifier.alias("identifier"), *["document_id"] * per_document)
+    own = F.struct("metric_canonical", "predicate_family", "text", *["document_id"] * per_document)
     classes = rows.select(*GROUP, own.alias("ctx")).groupBy(*GROUP, "ctx").agg(F.count(F.lit(1)).alias("w"))
-    pairs = _sides(_met(classes, GROUP, "w")).withColumn("identifiers", F.col("a_identifier") & F.col("b_identifier"))
-    a, b, ids = F.col("a_text"), F.col("b_text"), F.col("identifiers")
-    pairs = likeness(pairs, F.when(ids, identifier_similarity(F.when(ids, a), F.when(ids, b))).otherwise(token_similarity(a, b)))
+    # Most dated facts are alone in their group; what a comparison costs is worked out for pairs alone, words only where the wordings differ.
+    pairs = _sides(_met(classes, GROUP, "w").where("n > 0"))
+    a, b, unlike = F.col("a_text"), F.col("b_text"), F.col("a_text") != F.col("b_text")
+    identifier = lambda side: F.coalesce(identifier_shaped(F.col(f"{side}_text")), F.lit(False))
+    pairs = pairs.withColumn("identifiers", identifier("a") & identifier("b"))
+    ids, n = F.col("identifiers"), F.col("n")
+    words = {f"{side}_words": F.when(unlike & ~ids, similarity_tokens(F.col(f"{side}_text"))) for side in "ab"}
+    plain = words_similarity(F.col("a_words"), F.col("b_words"), a == b)
+    # Only pairs of two different identifiers go to Python.
+    same, codes = pairs.where(~(ids & F.coalesce(unlike, F.lit(True)))).withColumns(words), pairs.where(ids & F.coalesce(unlike, F.lit(True)))
+    pairs = likeness(same, plain).drop(*words).unionByName(likeness(codes, identifier_similarity(a, b)))
     pairs = pairs.withColumn("family_only", F.col("a_metric_canonical") != F.col("b_metric_canonical"))
-    n = F.col("n")
 
     def undated(sign, inside, _):
         return [_case(sign * n, False, inside)]

@@ -55,6 +55,23 @@ def test_counts_of_lifted_claims(spark):
     assert counted(tally.verdict_counts(df)) == judged(df)
 
 
+def test_only_pairs_of_texts_are_compared(spark, monkeypatch):
+    """A wording that is alone in its group makes no pair, and only pairs of two different identifiers are asked of Python."""
+    seen = []
+
+    def likeness(pairs, similarity):
+        codes = "_identifier_similarity" in pairs.select(similarity)._jdf.queryExecution().toString()
+        seen.append((codes, [tuple(r) for r in pairs.select("n", "a_text", "b_text").collect()]))
+        return reasoning.likeness(pairs, similarity)
+
+    monkeypatch.setattr(tally, "likeness", likeness)
+    texts = [TEXT | {"raw_value": t, "period": p} for t, p in (("active", "FY2023"), ("ceased", "FY2024"))]
+    df = facts(spark, *texts, ID | {"raw_value": "ABC1234"}, ID | {"raw_value": "ABC1235"}, ID | {"raw_value": "ABC1234"})
+    assert counted(tally.verdict_counts(df, True), "doc_a", "doc_b") == judged(df, "doc_a", "doc_b")
+    assert all(n > 0 for _, rows in seen for n, *_ in rows)
+    assert sorted((codes, a != b) for codes, rows in seen for _, a, b in rows) == [(False, False), (False, True), (True, True), (True, True)]
+
+
 def test_edges(spark):
     df = facts(spark, {})
     assert tally.verdict_counts(df).count() == 0 and tally.verdict_counts(df.limit(0), True).count() == 0
