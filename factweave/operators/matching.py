@@ -55,6 +55,11 @@ def heavy_buckets(facts: DataFrame, block: int) -> DataFrame:
     return _side(facts, "x").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
 
 
+def light(facts: DataFrame) -> bool:
+    """Whether no bucket of facts, and so none of any part of them, is heavy."""
+    return heavy_buckets(facts, BLOCK).isEmpty()
+
+
 def _dealt(facts: DataFrame, heavy: DataFrame, block: int) -> DataFrame:
     """Facts of heavy buckets, each once for every pair of blocks of its bucket that it is in: KEYS, here <= there, own, columns x_*.
 
@@ -79,21 +84,22 @@ def _triangles(dealt: DataFrame) -> DataFrame:
     return met.select(*KEYS, *ordered)
 
 
-def bucket_pairs(facts: DataFrame, block: int | None = None) -> DataFrame:
+def bucket_pairs(facts: DataFrame, block: int | None = None, none_heavy: bool = False) -> DataFrame:
     """Every admitted pair of a bucket once, the earlier fact first: columns a_* and b_*.
 
     Heavy buckets, if there are any (they are counted first), are triangles of blocks: a bucket of n facts is n * n / 2 comparisons in groups of at most
     two blocks, whatever share of the facts it has, and each fact is copied once a block. All others meet in one plain join.
+    none_heavy: that there are none is known (`light`), and nothing is counted.
     """
     heavy = heavy_buckets(facts, block or BLOCK)
     a, b = _side(facts, "a"), _side(facts, "b")
-    if heavy.isEmpty():
+    if none_heavy or heavy.isEmpty():
         return _admitted(a.join(b, KEYS).where("a_fact_seq < b_fact_seq"))
     light = a.join(heavy.select(*KEYS), KEYS, "left_anti").join(b, KEYS).where("a_fact_seq < b_fact_seq")
     return _admitted(light.unionByName(_triangles(_dealt(facts, heavy, block or BLOCK))))
 
 
-def delta_pairs(new: DataFrame, old: DataFrame, ordered: bool = False) -> DataFrame:
+def delta_pairs(new: DataFrame, old: DataFrame, ordered: bool = False, none_heavy: bool = False) -> DataFrame:
     """The pairs that new facts add: each new fact (as a) with every old one, and with later new ones.
 
     ordered: the earlier fact is a, whichever of the two is new, so a pair is the same in whatever batch it is made.
@@ -102,7 +108,7 @@ def delta_pairs(new: DataFrame, old: DataFrame, ordered: bool = False) -> DataFr
     if ordered:
         first = F.col("a_fact_seq") < F.col("b_fact_seq")
         met = met.select(*KEYS, *[F.when(first == F.lit(s == "a"), F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(f"{s}_{c}") for s in "ab" for c in _compared(new)])
-    return _admitted(met).unionByName(bucket_pairs(new))
+    return _admitted(met).unionByName(bucket_pairs(new, none_heavy=none_heavy))
 
 
 def bucket_sizes(facts: DataFrame) -> DataFrame:

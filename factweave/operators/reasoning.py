@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from factweave.functions import vocabulary as V
 from factweave.functions.numbers import rounding_half_unit
 from factweave.functions.texts import alignment, identifier_shaped, similarity_tokens, words_similarity
-from factweave.operators.matching import bucket_pairs, delta_pairs
+from factweave.operators.matching import bucket_pairs, delta_pairs, light
 from factweave.schema import column_type
 
 AGREE, CONFLICT, EXPLAINED, REVIEW = "CORROBORATED", "CONTRADICTION", "CONTEXTUALLY_EXPLAINED", "INSUFFICIENT_EVIDENCE"
@@ -200,9 +200,10 @@ def judge(facts: DataFrame, old: DataFrame | None = None, ordered: bool = False)
 
     A fact's unit is TEXT exactly if it has no number, and the unit is part of the bucket; so numbers and texts never share a
     bucket and are joined apart, which keeps Python out of the numbers' plan. Pairs of two identifiers are made by themselves, so that
-    only they go through it.
+    only they go through it. Buckets are counted once for all three.
     """
-    pairs = bucket_pairs if old is None else lambda f: delta_pairs(f, old, ordered)
+    none_heavy = light(facts)
+    pairs = lambda f: bucket_pairs(f, none_heavy=none_heavy) if old is None else delta_pairs(f, old, ordered, none_heavy)
     facts, old = prepared(facts), old if old is None else prepared(old)
     numbers, texts = pairs(facts.where("numeric_value is not null")), facts.where("numeric_value is null")
     words = pairs(texts).where(~F.coalesce(F.col("a_identifier") & F.col("b_identifier"), F.lit(False)))

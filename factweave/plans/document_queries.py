@@ -428,13 +428,8 @@ def stream_incremental(spark, sf):
     root = scratch.path(spark, "stream")
     claims.facts(spark, sf).repartition(12, "id").write.parquet(f"{root}/in")
     stream = spark.readStream.schema(FACTS).option("maxFilesPerTrigger", 4).parquet(f"{root}/in")
-    incremental.start(stream, f"{root}/store", f"{root}/checkpoint").awaitTermination()
-    rels = spark.read.parquet(f"{root}/store/relationships")
-    # A later batch is side a of its pairs; the id of a pair is that of the earlier fact first.
-    place = lambda c: F.struct(F.regexp_extract(c, r"^f(\d+)-", 1).cast("int"), F.regexp_extract(c, r"-(\d+)$", 1).cast("long"))
-    first = place("a_id") < place("b_id")
-    own = F.sha2(F.concat_ws("|", F.lit("rel"), F.when(first, F.col("a_id")).otherwise(F.col("b_id")), F.when(first, F.col("b_id")).otherwise(F.col("a_id"))), 256)
-    return rels.select(own.alias("id"), "relationship_type")
+    incremental.start(stream, f"{root}/store", f"{root}/checkpoint", ordered=True).awaitTermination()
+    return spark.read.parquet(f"{root}/store/relationships").select("id", "relationship_type")
 
 
 @query("SELECT CAST(user_id AS BIGINT) AS user_id, event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY ALL")

@@ -35,8 +35,11 @@ def _stored(spark: SparkSession, path: str, before: int, parts: list[int]) -> Da
     return rows.where((F.col("batch") < before) & F.col("part").isin(parts)).select(*FACTS.fieldNames())
 
 
-def start(facts: DataFrame, store: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Match a stream of facts against store/facts and keep both sides there: store/facts, store/relationships by batch."""
+def start(facts: DataFrame, store: str, checkpoint: str, once: bool = True, ordered: bool = False) -> StreamingQuery:
+    """Match a stream of facts against store/facts and keep both sides there: store/facts, store/relationships by batch.
+
+    ordered: side a is the earlier fact of a pair, as in a full run, and not the one that the later batch brings.
+    """
     spark = facts.sparkSession
 
     def add(batch: DataFrame, number: int) -> None:
@@ -46,7 +49,7 @@ def start(facts: DataFrame, store: str, checkpoint: str, once: bool = True) -> S
         new = spark.read.schema(shape).parquet(f"{store}/facts/batch={number}")
         parts = [r.part for r in new.select("part").distinct().collect()]  # at most PARTS numbers
         old = _stored(spark, f"{store}/facts", number, parts)
-        judge(new.drop("part"), old).write.mode("overwrite").parquet(f"{store}/relationships/batch={number}")
+        judge(new.drop("part"), old, ordered).write.mode("overwrite").parquet(f"{store}/relationships/batch={number}")
 
     writer = facts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
