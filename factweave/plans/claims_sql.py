@@ -46,6 +46,8 @@ _CLAIMS = (
     _claim(15, "names-short", "part", "p_partkey", "'Part_' || cast(p_partkey as string)", "attr.name", "CASE p_partkey % 4 WHEN 0 THEN p_name || ' of the ' || p_type || ' range' WHEN 1 THEN p_type || ' ' || p_name || ' range' WHEN 2 THEN p_name ELSE 'unlisted' END", "null", "null", "'TEXT'", "'undated'", category="'corporate'", sub_metric="'attribute'", scope="'corporate'", basis="'n/a'", confidence="0.9", period_type="'not_applicable'", period_end="cast(null as string)", method="'rule_attribute'"),
 )
 
+#: The facts from ledger, shipped, segmented, rated and the tables orders and part.
+CLAIMS_SQL = " UNION ALL ".join(_CLAIMS)
 FACTS_SQL = f"""
 ledger AS (SELECT cast(c_nationkey as bigint) AS k, cast({FY.format('o_orderdate')} as bigint) AS fy, cast(sum(cast(round(o_totalprice * 100) as bigint)) as bigint) AS cents, cast(count(*) as bigint) AS n
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
@@ -55,5 +57,5 @@ segmented AS (SELECT cast(c_nationkey as bigint) AS k, cast({FY.format('o_orderd
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3, 4),
 rated AS (SELECT cast(c_nationkey as bigint) AS k, cast({FY.format('l_shipdate')} as bigint) AS fy, cast(round(10000.0 * sum(cast(round(l_discount * 100) as bigint)) / (count(*) * 100)) as double) / 100 AS rate
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
-facts AS ({' UNION ALL '.join(_CLAIMS)})
+facts AS ({CLAIMS_SQL})
 """
