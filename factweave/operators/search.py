@@ -67,7 +67,7 @@ def write_postings(rows: DataFrame, id_col: str, text: str, path: str) -> None:
 def _grams(spark: SparkSession, texts: list[str]) -> list[int]:
     """The distinct trigrams of some texts, lower-cased as those of rows are."""
     lower = spark.range(1).select(F.array(*[F.lower(F.lit(t)).cast("binary") for t in texts])).first()[0]
-    return np.unique(trigrams(pa.array([bytes(t) for t in lower], pa.binary()))[0]).tolist()
+    return np.unique(trigrams(pa.array([bytes(t or b"") for t in lower], pa.binary()))[0]).tolist()
 
 
 def _lists(spark: SparkSession, path: str, id_type: str, grams: list[int]) -> DataFrame:

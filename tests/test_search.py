@@ -33,6 +33,11 @@ def test_only_the_parts_of_the_question_are_read(spark, texts):
     assert 0 < len(read) <= search.SALTS < len(whole) and "PartitionFilters: [" in found._jdf.queryExecution().toString()
 
 
+def test_no_question_has_no_rows(texts):
+    df, path = texts
+    assert search.search(df, "id", "body", None, path).collect() == []
+
+
 def _grams(text):
     data = text.lower().encode()
     return {int.from_bytes(data[i : i + 3], "big") for i in range(len(data) - 2)}
